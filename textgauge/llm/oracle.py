@@ -4,6 +4,15 @@
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 SHINGLES = "CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END"
 
+OP3 = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), b AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest({SHINGLES}) AS sh FROM d), bs AS (SELECT DISTINCT item_id, unnest({SHINGLES}) AS sh FROM b),
+n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM bs JOIN ds USING (sh) GROUP BY ALL)
+SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles / item_shingles AS containment FROM m JOIN n USING (item_id)
+WHERE 100 * shared_shingles >= 80 * item_shingles
+"""
+
 OP5 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
@@ -22,4 +31,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def oracle_sql():
-    return {"op5_warc_salvage": OP5, "op6_exact_dedup": OP6}
+    return {"op3_decontaminate": OP3, "op5_warc_salvage": OP5, "op6_exact_dedup": OP6}

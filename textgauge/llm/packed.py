@@ -79,7 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), start + SLICE_TEXTS, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
 
@@ -134,7 +134,7 @@ class Words:
         return shingle_hashes(self.hash, self.text, self.count, self.first, k)
 
 
-def shingle_hashes(h: np.ndarray, text: np.ndarray, count: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(h: np.ndarray, text: np.ndarray, count: np.ndarray, first: np.ndarray, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     n = len(h)
     if n == 0:
         return np.empty(0, U64), np.empty(0, np.int64)
@@ -146,21 +146,37 @@ def shingle_hashes(h: np.ndarray, text: np.ndarray, count: np.ndarray, first: np
     begin = at[whole]
     out = mix((sums[begin + k] - sums[begin]) * inverse[begin] + U64(k))
     owner = text[whole]
-    short = np.flatnonzero((count > 0) & (count < k))
-    if len(short):
-        a, b = first[short], first[short] + count[short]
-        out = np.concatenate([out, mix((sums[b] - sums[a]) * inverse[a] + count[short].astype(U64))])
-        owner = np.concatenate([owner, short])
+    few = np.flatnonzero((count > 0) & (count < k)) if short else ()
+    if len(few):
+        a, b = first[few], first[few] + count[few]
+        out = np.concatenate([out, mix((sums[b] - sums[a]) * inverse[a] + count[few].astype(U64))])
+        owner = np.concatenate([owner, few])
     return out, owner
 
 
+#: Identity of a shingle where sets are compared: so many bits of its hash; a slice has 2**12 texts at most.
+KEY_BITS = 51
+SLICE_TEXTS = 1 << 12
+
+
 def distinct_by_text(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (hash, text) pairs, ordered by text, then hash."""
-    if len(h) == 0:
-        return h, text
-    order = np.argsort(h, kind="stable")
-    order = order[np.argsort(text[order].astype(np.int32), kind="stable")]
-    h, text = h[order], text[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return h[keep], text[keep]
+    """The distinct (51-bit key, text) pairs of a slice, ordered by text, then key: one sort of plain integers."""
+    x = np.sort((text.astype(U64) << U64(KEY_BITS + 1)) | (h >> U64(64 - KEY_BITS)))
+    if len(x):
+        keep = np.ones(len(x), bool)
+        np.not_equal(x[1:], x[:-1], out=keep[1:])
+        x = x[keep]
+    return x & U64((1 << KEY_BITS) - 1), (x >> U64(KEY_BITS + 1)).astype(np.int64)
+
+
+def member_of(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted table."""
+    if len(table) == 0:
+        return np.zeros(len(keys), bool)
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return table[at] == keys
+
+
+def column(values, kind: pa.DataType) -> pa.Array:
+    return pa.array(values, type=kind)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from . import language_id
 from .common import read_table
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .warc import round_trip
 
 
+def op3_decontaminate(spark, sf_dir):
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_salvage(spark, sf_dir):
     return round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -15,5 +21,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

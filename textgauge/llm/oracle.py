@@ -30,5 +30,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+OP9 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest({SHINGLES}) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT r.a AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
+
 def oracle_sql():
-    return {"op3_decontaminate": OP3, "op5_warc_salvage": OP5, "op6_exact_dedup": OP6}
+    return {"op3_decontaminate": OP3, "op5_warc_salvage": OP5, "op6_exact_dedup": OP6, "op9_ngram_jaccard": OP9}

@@ -6,6 +6,7 @@ from . import language_id
 from .common import read_table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .warc import round_trip
 
 
@@ -26,5 +27,9 @@ def op7_language_id(spark, sf_dir):
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

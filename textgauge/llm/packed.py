@@ -180,3 +180,36 @@ def member_of(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
+
+
+_CODEC: list[pa.Codec] = []
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """The arrays as one block: the bytes of each are dealt by their place in the number, which leaves long runs, then zstd."""
+    if not _CODEC:
+        _CODEC.append(pa.Codec("zstd", 1))
+    heads, bodies = [], []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        body = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
+        squeezed = _CODEC[0].compress(body, asbytes=True) if body else b""
+        heads.append(np.array([ord(a.dtype.kind), a.itemsize, len(a), len(squeezed)], np.uint32).tobytes())
+        bodies.append(squeezed)
+    return bytes([len(arrays)]) + b"".join(heads) + b"".join(bodies)
+
+
+def unpack(block: bytes) -> list[np.ndarray]:
+    if not _CODEC:
+        _CODEC.append(pa.Codec("zstd", 1))
+    heads = np.frombuffer(block, np.uint32, 4 * block[0], 1).reshape(-1, 4)
+    at, out = 1 + 16 * block[0], []
+    for kind, size, n, squeezed in heads.tolist():
+        dtype = np.dtype(f"{chr(kind)}{size}")
+        if n:
+            body = _CODEC[0].decompress(block[at : at + squeezed], n * size, asbytes=True)
+            out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, n).T).view(dtype).ravel())
+        else:
+            out.append(np.empty(0, dtype))
+        at += squeezed
+    return out

@@ -7,9 +7,14 @@ from .common import read_table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .katz import score_corpus
 from .warc import round_trip
 
 
+def op1_katz_lm(spark, sf_dir):
+    return score_corpus(read_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 

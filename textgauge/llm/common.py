@@ -44,6 +44,8 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     """Writes the frame to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing of it."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
+    # the shuffles behind it are garbage now; Spark drops their files when the driver's JVM has collected them
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

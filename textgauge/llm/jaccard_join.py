@@ -46,6 +46,8 @@ SMALL_MOST, SUBSET_COST, POSTING_COST = 24, 3.0, 6.0
 FLUSH = 1 << 20
 
 POSTING = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<u4"), ("q", "<u2")])
+#: Bytes of a packed posting, for the number of buckets.
+POSTING_BYTES = 17
 
 
 def need(n, m, t: int = THRESHOLD):
@@ -127,28 +129,31 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(read, "kind int, a long, b long, c long")
 
 
-ENTRY = "kind int, bucket int, a long, b long, n int, q int, data binary"
-ENTRY_NAMES = "kind bucket a b n q data"
+ENTRY = "kind int, bucket int, a long, b long, n int, q int, light int, data binary"
+ENTRY_NAMES = "kind bucket a b n q light data"
 
 
-def rows(kind: int, k: int, a=None, b=None, n=None, q=None, bucket=None, data=None) -> pa.RecordBatch:
+def rows(kind: int, k: int, a=None, b=None, n=None, q=None, light=None, bucket=None, data=None) -> pa.RecordBatch:
     def col(x, t):
         return pa.nulls(k, t) if x is None else pa.array(x, t)
 
-    return batch(ENTRY_NAMES, np.full(k, kind, np.int32), col(bucket, pa.int32()), col(a, pa.int64()), col(b, pa.int64()), col(n, pa.int32()), col(q, pa.int32()), col(data, pa.binary()))
+    return batch(ENTRY_NAMES, np.full(k, kind, np.int32), col(bucket, pa.int32()), col(a, pa.int64()), col(b, pa.int64()), col(n, pa.int32()), col(q, pa.int32()), col(light, pa.int32()), col(data, pa.binary()))
 
 
 def enter(heavy: np.ndarray, boundary: int, buckets: int):
-    """A function for mapInArrow: blocks of light postings (kind 0), postings of heavy shingles (1), subsets of small sets (2)."""
+    """A function for mapInArrow: blocks of light postings (kind 0), postings of heavy shingles (1), subsets of small sets (2).
+
+    The rows of the last two kinds only pass through the buckets; they are dealt by set, so no shingle fills one.
+    """
 
     def flush(held):
         x = np.concatenate(held)
         to = (x["h"] % P.U64(buckets)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
+        order = np.lexsort((x["h"], to))
         x, to = x[order], to[order]
         first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         ends = np.r_[first[1:], len(to)]
-        yield rows(0, len(first), bucket=to[first], data=[x[i:j].tobytes() for i, j in zip(first, ends)])
+        yield rows(0, len(first), bucket=to[first], data=[P.pack(*(x[f][i:j] for f in POSTING.names)) for i, j in zip(first, ends)])
 
     def subsets(keys, first, n, sets):
         out = []
@@ -173,7 +178,8 @@ def enter(heavy: np.ndarray, boundary: int, buckets: int):
             first = np.cumsum(n) - n
             if boundary and (small := subsets(keys, first, np.where(new, n, 0), sets)):
                 key, s, side = zip(*small)
-                yield rows(2, len(s), a=P.mix(np.array(key, P.U64)).astype(np.int64), b=s, n=side)
+                s = np.array(s, np.int64)
+                yield rows(2, len(s), a=P.mix(np.array(key, P.U64)).astype(np.int64), b=s, n=side, bucket=(s % buckets).astype(np.int32))
             large = new & (100 * n >= THRESHOLD * (boundary + 1))
             use = large[text]
             keys, text = keys[use], text[use]
@@ -198,8 +204,8 @@ def enter(heavy: np.ndarray, boundary: int, buckets: int):
             size += len(x)
             if hot.any():
                 t = text[hot]
-                # a: shingle, b: set, n: size, q: place; bucket: light shingles of the set
-                yield rows(1, len(t), a=keys[hot].astype(np.int64), b=sets[t], n=n[t], q=np.minimum(place[hot], 1 << 30), bucket=np.minimum(light[t], 1 << 30))
+                # a: shingle, b: set, n: size, q: place, light: light shingles of the set
+                yield rows(1, len(t), a=keys[hot].astype(np.int64), b=sets[t], n=n[t], q=place[hot], light=light[t], bucket=(sets[t] % buckets).astype(np.int32))
             if size > FLUSH:
                 yield from flush(held)
                 held, size = [], 0
@@ -218,10 +224,17 @@ def possible(n, m, p, q):
 
 def scan(batches):
     """The light lists of one bucket: pairs (kind 3) of sets a < b; lists that aren't light stay rows (kind 1)."""
-    held = [np.frombuffer(x.as_py(), POSTING) for part in batches for x in part.column("data")]
+    held: list[list[np.ndarray]] = []
+    for part in batches:
+        kind = np.asarray(part.column("kind"))
+        held += [P.unpack(x) for x in part.column("data").filter(pa.array(kind == 0)).to_pylist()]
+        if (kind > 0).any():
+            yield part.filter(pa.array(kind > 0))
     if not held:
         return
-    x = np.concatenate(held)
+    x = np.empty(sum(len(b[0]) for b in held), POSTING)
+    for k, f in enumerate(POSTING.names):
+        x[f] = np.concatenate([b[k] for b in held])
     x = x[np.lexsort((x["s"], x["h"]))]
     keep = np.ones(len(x), bool)
     keep[1:] = (x["h"][1:] != x["h"][:-1]) | (x["s"][1:] != x["s"][:-1])
@@ -242,19 +255,27 @@ def scan(batches):
         yield rows(3, len(pairs), a=pairs[:, 0], b=pairs[:, 1])
     for k in np.flatnonzero(length > LIGHT):
         y = x[first[k] : first[k] + length[k]]
-        yield rows(1, len(y), a=y["h"].astype(np.int64), b=y["s"], n=y["n"].astype(np.int32), q=y["q"].astype(np.int32), bucket=np.zeros(len(y), np.int32))
+        yield rows(1, len(y), a=y["h"].astype(np.int64), b=y["s"], n=y["n"].astype(np.int32), q=y["q"].astype(np.int32), light=np.zeros(len(y), np.int32))
 
 
 def scan_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from scan(batches)
 
 
+def could_be(batches):
+    """The pairs that the lowest 16 bits of their sets' keys don't rule out: those that agree there are no fewer than the keys shared."""
+    for part in batches:
+        a, b = ([np.frombuffer(x, np.uint16) for x in part.column(c).to_pylist()] for c in ("low_a", "low_b"))
+        ok = [min(int(P.member_of(x, y).sum()), int(P.member_of(y, x).sum())) >= need(len(x), len(y)) for x, y in zip(a, b)]
+        yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def verify(batches):
     """The linked ones of pairs with their sets' keys, as edges between the sets' documents."""
     for part in batches:
-        a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in part.column(c)] for c in ("keys_a", "keys_b"))
-        linked = [100 * int(P.member_of(x, y).sum()) >= THRESHOLD * (len(x) + len(y) - int(P.member_of(x, y).sum())) for x, y in zip(a, b)]
-        yield batch("u v", part.column("doc_a"), part.column("doc_b")).filter(pa.array(linked, pa.bool_()))
+        a, b = ([P.unpack(x)[0] for x in part.column(c).to_pylist()] for c in ("keys_a", "keys_b"))
+        ok = [int(P.member_of(x, y).sum()) >= need(len(x), len(y)) for x, y in zip(a, b)]
+        yield batch("u v", part.column("doc_a"), part.column("doc_b")).filter(pa.array(ok, pa.bool_()))
 
 
 class JaccardJoin:
@@ -273,18 +294,16 @@ class JaccardJoin:
         sizes = {r.n: r.k for r in self.members.where(F.col("n").between(1, SMALL_MOST)).groupBy("n").agg(F.countDistinct("set").alias("k")).collect()}
         postings = self.members.agg(F.sum(F.col("n") * (100 - THRESHOLD) / 100 + 1)).first()[0] or 0
         self.boundary = choose_boundary(sizes)
-        self.buckets = buckets_for(self.spark, postings * POSTING.itemsize)
+        self.buckets = buckets_for(self.spark, postings * POSTING_BYTES)
         told = self.spark.sparkContext.broadcast(heavy)
         boundary, buckets = self.boundary, self.buckets
 
         def read(batches):
             yield from enter(told.value, boundary, buckets)(batches)
 
-        entered = materialise(self.docs.mapInArrow(read, ENTRY), "jaccard-entries")
-        scanned = entered.where("kind = 0").select("bucket", "data").groupBy("bucket").applyInArrow(scan_group, ENTRY)
-        self.scanned = materialise(scanned, "jaccard-pairs")
-        self.subsets = entered.where("kind = 2").select("a", F.col("b").alias("s"), F.col("n").alias("side"))
-        self.long = entered.where("kind = 1").unionByName(self.scanned.where("kind = 1")).select(F.col("a").alias("h"), F.col("b").alias("s"), "n", "q", F.col("bucket").alias("light"))
+        self.scanned = materialise(self.docs.mapInArrow(read, ENTRY).groupBy("bucket").applyInArrow(scan_group, ENTRY), "jaccard-lists")
+        self.subsets = self.scanned.where("kind = 2").select("a", F.col("b").alias("s"), F.col("n").alias("side")).distinct()
+        self.long = self.scanned.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s"), "n", "q", "light").distinct()
 
     def candidate_sets(self) -> None:
         """The keys of all sets that are in a pair or in a long list, with the smallest document of each."""
@@ -297,17 +316,22 @@ class JaccardJoin:
             for part in P.slices(batches):
                 k, text, n, sets = sets_of(part.column("text"))
                 ends = np.cumsum(n)
-                yield batch("set doc keys", sets, part.column("id"), pa.array([k[e - c : e].tobytes() for e, c in zip(ends, n)], pa.binary()))
+                yield batch("set doc keys low", sets, part.column("id"), pa.array([P.pack(k[e - c : e]) for e, c in zip(ends, n)], pa.binary()), pa.array([np.sort(k[e - c : e].astype(np.uint16)).tobytes() for e, c in zip(ends, n)], pa.binary()))
 
         # an id that stands for several texts comes with each of them; equal sets are one
-        found = texts.mapInArrow(keys, "set long, doc long, keys binary")
+        found = texts.mapInArrow(keys, "set long, doc long, keys binary, low binary")
         self.sets = materialise(found, "jaccard-sets", "none")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Edges (u, v) between documents for those pairs (a, b) of sets that are linked."""
-        a = self.sets.select(F.col("set").alias("a"), F.col("doc").alias("doc_a"), F.col("keys").alias("keys_a"))
-        b = self.sets.select(F.col("set").alias("b"), F.col("doc").alias("doc_b"), F.col("keys").alias("keys_b"))
-        both = pairs.join(a, "a").join(b, "b").select("doc_a", "keys_a", "doc_b", "keys_b")
+
+        def side(x: str, *columns: str) -> DataFrame:
+            return self.sets.select(F.col("set").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+
+        low = self.sets.groupBy("set").agg(F.first("low").alias("low"))
+        a, b = low.toDF("a", "low_a"), low.toDF("b", "low_b")
+        left = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "low_a", "low_b").mapInArrow(could_be, "a long, b long"), "jaccard-left")
+        both = left.join(side("a", "doc", "keys"), "a").join(side("b", "doc", "keys"), "b").select("doc_a", "keys_a", "doc_b", "keys_b")
         return materialise(both.mapInArrow(verify, "u long, v long"), "jaccard-links")
 
     def subset_edges(self) -> DataFrame:

@@ -8,6 +8,8 @@ from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .katz import score_corpus
+from .mixing import mix
+from .token_shards import token_shards
 from .warc import round_trip
 
 
@@ -15,6 +17,11 @@ def op1_katz_lm(spark, sf_dir):
     return score_corpus(read_table(spark, sf_dir, "documents"))
 
 
+def op2_pfair_mix(spark, sf_dir):
+    mixed = mix(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "mix_source", "mix_block", "mix_place", "mix_epoch", "mix_slot")
+
+
 def op3_decontaminate(spark, sf_dir):
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -36,5 +43,9 @@ def op9_ngram_jaccard(spark, sf_dir):
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_token_shards(spark, sf_dir):
+    return token_shards(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

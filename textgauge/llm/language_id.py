@@ -96,8 +96,8 @@ def gram_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return (x >> P.U64(36)).astype(np.int64), (x & P.U64((1 << 36) - 1)).astype(np.int64), count, has
 
 
-def text_vectors(column: pa.Array, tile: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, has a letter) of a slice's texts."""
+def text_vectors(column: pa.Array, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, has a letter) of a slice's texts; a tile of trigram vectors fits a core's cache."""
     text, gram, count, has = gram_counts(column)
     out = np.zeros((len(has), DIMENSIONS), np.float32)
     if len(text):

@@ -21,7 +21,6 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at is None:
         at = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "textgauge")
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 

@@ -43,7 +43,7 @@ HEAVY_MOST = 500_000
 #: The largest B to consider, and costs of a subset row and of a posting with its share of the scans, in microseconds.
 SMALL_MOST, SUBSET_COST, POSTING_COST = 24, 3.0, 6.0
 #: Postings that a task holds back before it sends them on in blocks.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 POSTING = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<u4"), ("q", "<u2")])
 #: Bytes of a packed posting, for the number of buckets.
@@ -115,7 +115,7 @@ def profile(docs: DataFrame) -> DataFrame:
             new[np.setdiff1d(np.arange(len(sets)), np.unique(sets, return_index=True)[1])] = False
             seen = np.concatenate([seen, sets[new]])
             kept.append(keys[new[text]])
-            if sum(map(len, kept)) > 8 * FLUSH:
+            if sum(map(len, kept)) > 2 * FLUSH:
                 yield from count(kept)
                 kept = []
         yield from count(kept)

@@ -17,7 +17,7 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Texts are handled in slices of about so many bytes, which bounds a worker's memory.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

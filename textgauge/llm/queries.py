@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .katz import score_corpus
 from .mixing import mix
+from .pii import find_pii
 from .token_shards import token_shards
 from .warc import round_trip
 
@@ -26,6 +27,10 @@ def op3_decontaminate(spark, sf_dir):
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark, sf_dir):
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op5_warc_salvage(spark, sf_dir):
     return round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
 

@@ -1,8 +1,86 @@
-"""The corpus pipeline: language ID, near-duplicate removal, decontamination, mixing, token shards."""
+"""The corpus pipeline: language ID, near-duplicate removal, decontamination, mixing, token shards.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before has kept.  All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+
+from textgauge.llm import language_id  # noqa: E402
+from textgauge.llm.common import materialise, read_table, ship  # noqa: E402
+from textgauge.llm.decontaminate import decontaminate  # noqa: E402
+from textgauge.llm.jaccard_join import jaccard_components  # noqa: E402
+from textgauge.llm.mixing import mix  # noqa: E402
+from textgauge.llm.token_shards import token_shards  # noqa: E402
+
+#: A document's best cosine must reach this; texts without letters have no language at all.
+MIN_COSINE = 0.05
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the profiles are learned from these same documents."""
+    ship(spark)
+    return language_id.keep_identified(docs, language_id.train(docs), min_score=MIN_COSINE)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked documents, the one with the smallest id.
+
+    Of rows that share the id of one that stays, one stays.  Rows without id can't be named as anyone's copy and stay.
+    """
+    ship(spark)
+    joined = jaccard_components(docs)
+    gone = materialise(joined.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialise(again, "pipeline-again")
+    if not again.isEmpty():  # ids that repeat
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: every document at least once, those of sources below their target weight repeated as the schedule says."""
+    ship(spark)
+    return mix(docs).select(*docs.columns)
+
+
+def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token shards' sequences."""
+    ship(spark)
+    return token_shards(docs)
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("token-ID output", shard_stage),
+]
+
+#: Prototypes, schedules and token ids have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written to the shared folder and read again by the next."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{k}")
+    return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import cotraining, language_id
 from .common import read_table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
@@ -52,5 +52,10 @@ def op8_token_shards(spark, sf_dir):
     return token_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op10_cotraining(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return cotraining.score_quality(docs, cotraining.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

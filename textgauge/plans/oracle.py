@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from textgauge.plans import queries  # noqa: F401  (registers them)
+from textgauge.plans.registry import SQL
+
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from textgauge.plans import text_queries
+from textgauge.plans.registry import QUERIES
+
+feature_means_by_lang = text_queries.feature_means_by_lang
+
 
 def queries():
-    return {}
+    return dict(QUERIES)

@@ -157,18 +157,21 @@ def leakage_form(c: Column) -> Column:
     return strip(F.regexp_replace(strip_accents(F.lower(strip(coerce(c)))), "[^0-9a-záàâãéêíóôõúç]+", " "))
 
 
-def char_ngrams(c: Column, n: int = 5) -> Column:
-    """The distinct n-grams of the text between two blanks on each side; all of it if it has n characters at most."""
-    padded = F.concat(F.lit("  "), c, F.lit("  "))
+def runs(c: Column, n: int) -> Column:
+    """All runs of n characters.  The characters are an array first: a string's i-th character is only found from its start."""
 
-    def grams(p: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, F.lit(n))))
-
-    def of(p: Column) -> Column:
-        return F.when(F.length(p) <= 4, F.array().cast("array<string>")).when(F.length(p) <= n, F.array(p)).otherwise(grams(p))
+    def of(chars: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(chars) - n)
+        return F.when(F.size(chars) >= n, F.transform(at, lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))).otherwise(F.array().cast("array<string>"))
 
     # a lambda's variable is evaluated once, an expression inside of a lambda for each element
-    return F.transform(F.array(padded), of)[0]
+    return F.transform(F.array(F.split(c, "")), of)[0]
+
+
+def char_ngrams(c: Column, n: int = 5) -> Column:
+    """The distinct n-grams of the text between two blanks on each side; all of it if it has n characters at most."""
+    padded = F.concat(F.lit("  "), c, F.lit("  "))
+    return F.when(c == "", F.array().cast("array<string>")).when(F.length(padded) <= n, F.array(padded)).otherwise(F.array_distinct(runs(padded, n)))
 
 
 def ratio(a: Column, b: Column) -> Column:

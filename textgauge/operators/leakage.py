@@ -37,8 +37,9 @@ def target_like_columns(columns: list[str], exempt: list[str]) -> list[str]:
 
 def gram_sets(df: DataFrame, keep: list[str], text: Column, n: int = 5) -> DataFrame:
     """keep, size and grams (64-bit hashes) of each row's normalised text."""
-    rows = df.select(*keep, T.leakage_form(text).alias("k")).withColumn("chars", F.length("k")).withColumn("g", T.char_ngrams(F.col("k"), n))
-    return rows.select(*keep, "chars", F.size("g").cast("long").alias("size"), F.transform("g", lambda g: F.xxhash64(g)).alias("grams"))
+    rows = df.select(*keep, T.leakage_form(text).alias("k"))
+    rows = rows.select(*keep, F.length("k").alias("chars"), F.transform(T.char_ngrams(F.col("k"), n), lambda g: F.xxhash64(g)).alias("grams"))
+    return rows.select(*keep, "chars", F.size("grams").cast("long").alias("size"), "grams")
 
 
 def near_duplicates(left: DataFrame, right: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, length_ratio: float = 0.70, n: int = 5) -> DataFrame:

@@ -262,7 +262,8 @@ def overlapping(name: str, check: str, value, sql: str) -> None:
 overlapping("k01_id_overlap", "id", lambda: F.col("source"), "source")
 overlapping("k01_text_overlap", "exact_text", lambda: F.col("text"), "text")
 overlapping("k02_normalised_overlap", "normalised_text", lambda: T.leakage_form(F.col("text")), S.leakage_form("text"))
-GRAMS = f"k0 AS (SELECT doc_id, {S.leakage_form('text')} AS k FROM documents), k1 AS (SELECT doc_id, length(k) AS chars, {S.char_ngrams('k')} AS g FROM k0), k2 AS (SELECT doc_id, unnest(g) AS gram FROM k1)"
+GRAMS = f"""k0 AS (SELECT doc_id, {S.leakage_form('text')} AS k FROM documents), kc AS (SELECT doc_id, k, string_split('  ' || k || '  ', '') AS c FROM k0),
+k1 AS (SELECT doc_id, length(k) AS chars, CASE WHEN k = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(c) - 3, 2)), lambda i: array_to_string(c[i:i + 4], ''))) END AS g FROM kc), k2 AS (SELECT doc_id, unnest(g) AS gram FROM k1)"""
 
 
 @query(f"""WITH {GRAMS}, j AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS i FROM k2 a JOIN k2 b USING (gram) WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY ALL)

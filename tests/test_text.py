@@ -71,7 +71,7 @@ def test_features(spark):
     assert list(rows[0].asDict())[2:] == lexicons.FEATURES
     blank = rows[3].asDict()
     assert blank["num_palavras"] == blank["num_sentencas"] == 0 and all(v == 0 for k, v in blank.items() if k in lexicons.FEATURES)
-    assert rows[0].num_sentencas == 2 and rows[0].num_palavras == 9
+    assert rows[0].num_sentencas == 2 and rows[0].num_palavras == 10
     with pytest.raises(ValueError):
         features.linguistic(spark.createDataFrame([], "t string"), "t", long_word=0)
 

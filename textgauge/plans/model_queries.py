@@ -258,3 +258,51 @@ def e13_confidence(spark, sf):
     m = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
     rows = table(spark, sf, "embeddings").select("vec_id", m.alias("m")).select("vec_id", E.softmax(F.col("m")).alias("s"))
     return rows.select("vec_id", F.bround(F.array_max("s"), 6).alias("confidence"))
+
+
+def labelled_documents(spark, sf):
+    from textgauge.operators import models as M
+
+    rows = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("y"))
+    return M.model_frame(rows, "doc_id", "text", "y")
+
+
+def scored(kind: str, name: str):
+    def run(spark, sf):
+        from textgauge.operators import models as M
+
+        folds = E.stratified_folds(labelled_documents(spark, sf), "id", "target", 5).cache()
+        model = M.fit(folds.where("fold > 0").drop("fold"), kind, name, max_iter=20) if name != "random_forest" else M.fit(folds.where("fold > 0").drop("fold"), kind, name, trees=10, depth=6)
+        return M.score(model, folds.where("fold = 0")).withColumn("experiment", F.lit(f"{kind}__{name}"))
+
+    return run
+
+
+query(name="m08_logistic_regression")(scored("tfidf_word_plus_linguistic_metrics", "logistic_regression"))
+query(name="m09_linear_svm")(scored("tfidf_word", "linear_svm"))
+query(name="m10_random_forest")(scored("linguistic_metrics", "random_forest"))
+query(name="m12_char_representation")(scored("tfidf_char", "logistic_regression"))
+
+
+@query()
+def m21_grid_search(spark, sf):
+    from textgauge.operators import models as M
+
+    found = M.search(labelled_documents(spark, sf), "linguistic_metrics", "logistic_regression", [{"c": c, "max_iter": 10} for c in (0.1, 1.0)], 2)
+    return spark.createDataFrame([(r["rank"], str(r["params"]), r["mean"], r["std"]) for r in found], "rank long, params string, mean double, std double")
+
+
+@query()
+def m24_cross_validation(spark, sf):
+    from textgauge.operators import models as M
+
+    rows = M.cross_validate(labelled_documents(spark, sf), ["linguistic_metrics"], ["logistic_regression"], 2, max_iter=10)
+    return E.summary(spark.createDataFrame(rows), "experiment", ["f1_macro", "f1_weighted", "accuracy"])
+
+
+@query()
+def e12_predictions(spark, sf):
+    from textgauge.operators import models as M
+
+    model = M.fit(labelled_documents(spark, sf), "linguistic_metrics", "logistic_regression", max_iter=10)
+    return M.predict(model, documents(spark, sf), "doc_id", "text").select("id", "predicted", "confidence", "warning", "preview")

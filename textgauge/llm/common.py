@@ -41,12 +41,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the files of shuffles that no query needs any more: it does when the driver's JVM collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes the frame to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing of it."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    release(spark)  # what the query before this one has held until its last listener was told
     df.write.option("compression", compression).parquet(path)
-    # the shuffles behind it are garbage now; Spark drops their files when the driver's JVM has collected them
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed as P
-from .common import buckets_for, crc_mod, materialise
+from .common import buckets_for, crc_mod, materialise, release
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens that make a chunk full.
 CHUNK_TOKENS = 1 << 21
+#: The buckets of pairs are counted in so many parts, one after the other, so that only a part's questions are on disk.
+PARTS = 3
 END = P.U64(0x5EED0E4D5EED0E4D)
 BEGIN = P.U64(0x5EED0B055EED0B05)
 LOW48 = P.U64((1 << 48) - 1)
@@ -103,8 +105,8 @@ def by_bucket(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return order, to[first], first, np.r_[first[1:], len(to)].astype(np.int64)
 
 
-def cut(buckets: int):
-    """For mapInArrow: chunks, and what each asks the buckets of the vocabulary."""
+def cut():
+    """For mapInArrow: chunks."""
 
     def close(chunk, tokens, counts, ids, held):
         h, count = np.concatenate(tokens), np.concatenate(counts)
@@ -114,10 +116,7 @@ def cut(buckets: int):
         place = np.empty(len(rank), np.int64)
         place[rank] = np.arange(len(rank))
         words, local = words[rank], place[local]
-        train = np.bincount(local[np.repeat(~held, count)], minlength=len(words))
         yield message(CHUNK, chunk, 0, [P.pack(words, local.astype(np.uint32), count.astype(np.uint32), np.concatenate(ids), held.astype(np.uint8))])
-        order, bucket, first, end = by_bucket((words % P.U64(buckets)).astype(np.int32))
-        yield message(ASK_WORDS, chunk, bucket, [P.pack(words[order[a:b]], train[order[a:b]].astype(np.uint32)) for a, b in zip(first, end)])
 
     def read(batches):
         from pyspark import TaskContext
@@ -145,6 +144,19 @@ def gather(batches) -> list[tuple[int, int, int, bytes]]:
     return sorted(out, key=lambda x: x[:3])
 
 
+def ask_words(buckets: int):
+    """For mapInArrow: what each chunk asks the buckets of the vocabulary."""
+
+    def ask(batches):
+        for _, chunk, _, data in (x for part in batches for x in gather([part])):
+            words, local, count, _, held = P.unpack(data)
+            train = np.bincount(local[np.repeat(held == 0, count)], minlength=len(words))
+            order, bucket, first, end = by_bucket((words % P.U64(buckets)).astype(np.int32))
+            yield message(ASK_WORDS, chunk, bucket, [P.pack(words[order[a:b]], train[order[a:b]].astype(np.uint32)) for a, b in zip(first, end)])
+
+    return ask
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket of the vocabulary: its table, its counts of counts, and the answers to all chunks."""
     asked = gather(batches)
@@ -198,10 +210,14 @@ class Chunk:
         return pairs, h[first], first
 
 
-def ask_pairs(buckets: int, hot_count: int, begins: int):
+def ask_pairs(buckets: int, hot_count: int, begins: int, part: int, parts: int):
+    """What a chunk asks those buckets of pairs whose number leaves `part` modulo `parts`."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(gather(batches), buckets, hot_count, begins)
         for bucket, a, b in zip(chunk.bucket, chunk.first, chunk.end):
+            if bucket % parts != part:
+                continue
             pairs, h, first = chunk.runs(a, b)
             w = chunk.second[pairs]
             block = P.pack(chunk.keys[h], np.diff(np.r_[first, len(pairs)]).astype(np.uint32), (chunk.word_count[h] >= hot_count).astype(np.uint8) + (chunk.word_count[h] > hot_count), chunk.keys[w] & LOW48, chunk.word_count[w].astype(np.uint32), chunk.pair_train[pairs])
@@ -229,7 +245,9 @@ def count_pairs(unigrams: Unigrams):
         at[order] = group
         h, w, cw, hot = h[new], w[new], cw[new], hot[new]
         seen = total > 0
-        yield message(TABLE, -1, bucket, [P.pack(h[seen], w[seen], total[seen])])
+        # the table: each history once, with the number of its words, then the words and counts
+        own, n = np.unique(h[seen], return_counts=True)
+        yield message(TABLE, -1, bucket, [P.pack(own, n.astype(np.uint32), w[seen], total[seen].astype(np.uint32))])
         yield message(STATS, -1, bucket, [P.pack(np.r_[total.sum(), seen.sum(), np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]])])
         begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         of = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
@@ -309,14 +327,17 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held"), 1)).alias("begins")).first()
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     begins, buckets = size.begins, buckets_for(spark, size.bytes or 0)
-    chunks = materialise(rows.mapInArrow(cut(buckets), MESSAGE), "katz-chunks")
-    words = materialise(chunks.where(F.col("kind") == ASK_WORDS).groupBy("bucket").applyInArrow(count_words, MESSAGE), "katz-words")
+    chunks = materialise(rows.mapInArrow(cut(), MESSAGE), "katz-chunks", "none")
+    words = materialise(chunks.mapInArrow(ask_words(buckets), MESSAGE).groupBy("bucket").applyInArrow(count_words, MESSAGE), "katz-words")
     total, distinct, *n = statistics(words)
     unigrams = Unigrams(total, distinct, np.array(n))
     hot_count = max(1024, int(total) // (4 * buckets))
-    known = chunks.where(F.col("kind") == CHUNK).unionByName(words.where(F.col("kind") == TELL_WORDS))
-    asked = known.groupBy("chunk").applyInArrow(ask_pairs(buckets, hot_count, begins), MESSAGE)
-    pairs = materialise(asked.groupBy("bucket").applyInArrow(count_pairs(unigrams), MESSAGE), "katz-pairs")
+    known = chunks.unionByName(words.where(F.col("kind") == TELL_WORDS))
+    pairs = None
+    for part in range(PARTS):
+        asked = known.groupBy("chunk").applyInArrow(ask_pairs(buckets, hot_count, begins, part, PARTS), MESSAGE)
+        counted = materialise(asked.groupBy("bucket").applyInArrow(count_pairs(unigrams), MESSAGE), "katz-pairs")
+        pairs = counted if pairs is None else pairs.unionByName(counted)
     d = discounts(statistics(pairs)[2:])
     hot: dict[int, tuple[np.ndarray, float]] = {}
     for r in pairs.where(F.col("kind") == HOT).select("data").toLocalIterator():
@@ -324,5 +345,6 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for k, x, m in zip(keys.tolist(), rare.reshape(-1, DISCOUNTED), mass):
             have = hot.get(k, (0, 0.0))
             hot[k] = have[0] + x, have[1] + m
+    release(spark)
     known = known.unionByName(pairs.where(F.col("kind") == TELL_PAIRS))
     return known.groupBy("chunk").applyInArrow(evaluate(buckets, hot_count, begins, unigrams, d, hot, id_col), schema)

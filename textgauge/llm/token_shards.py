@@ -16,6 +16,7 @@ import posixpath
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,11 @@ KEY = 0x1D872B41
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[[ord(c) for c in ",.;:!?"]] = True
+
+
 def permute(x: np.ndarray, n: int, key: int = KEY, rounds: int = 6) -> np.ndarray:
     """The slots of the numbers x < n: a keyed permutation of 0 .. n - 1."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
@@ -73,37 +79,69 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = offsets[:-1].copy()  # where the white space at the end of each text begins
     last[text] = ends
     tail = last < offsets[1:]
-    s = np.concatenate([starts - glued, gap[body], starts[loose] - 1, last[tail]])
-    e = np.concatenate([ends, starts[body] - 1, starts[loose], offsets[1:][tail]])
-    t = np.concatenate([text, text[body], text[loose], np.flatnonzero(tail)])
+    # marks at a word's end after a letter are a piece: "word," and "word" share theirs
+    stem, lengths = ends.copy(), ends - starts
+    for k in range(3):
+        can = (lengths > k + 1) & (stem == ends - k)
+        stem -= can & MARK[raw[np.maximum(stem - 1, 0)]]
+    cut = (stem < ends) & LETTER[raw[np.maximum(stem - 1, 0)]]
+    stem = np.where(cut, stem, ends)
+    s = np.concatenate([starts - glued, stem[cut], gap[body], starts[loose] - 1, last[tail]])
+    e = np.concatenate([stem, ends[cut], starts[body] - 1, starts[loose], offsets[1:][tail]])
+    t = np.concatenate([text, text[cut], text[body], text[loose], np.flatnonzero(tail)])
     order = np.argsort(s, kind="stable")
     return s[order], e[order], t[order]
 
 
-def encode(column: pa.Array, bpe, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-    """(token ids of all texts, each with the end token after it; their numbers by text)."""
-    raw, offsets = P.text_buffer(column)
-    data = raw.tobytes()
-    s, e, t = pieces(raw, offsets)
-    h = P.span_hashes(raw, s, e)
-    _, at, which = np.unique(h, return_index=True, return_inverse=True)
-    ids = [bpe.encode_ordinary(data[a:b].decode("utf-8", "replace")) for a, b in zip(s[at].tolist(), e[at].tolist())]
-    n = np.array([len(x) for x in ids], np.int64)
-    flat = np.array([y for x in ids for y in x], np.int32)
-    size = n[which]
-    begin = (np.cumsum(n) - n)[which]
-    count = np.bincount(t, weights=size, minlength=len(offsets) - 1).astype(np.int64) + 1
-    out = np.full(count.sum(), end, np.int32)
-    place = np.cumsum(size) - size + t  # t end tokens stand before
-    out[np.arange(size.sum()) + np.repeat(place - (np.cumsum(size) - size), size)] = flat[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
-    odd = np.unique(np.searchsorted(offsets, [m.start() for m in WIDE_SPACE.finditer(data)], side="right") - 1) if WIDE_SPACE.search(data) else []
-    if len(odd):
-        parts = np.split(out, np.cumsum(count)[:-1])
-        for k in odd:
-            parts[k] = np.array([*bpe.encode_ordinary(data[offsets[k] : offsets[k + 1]].decode("utf-8", "replace")), end], np.int32)
-        count = np.array([len(x) for x in parts], np.int64)
-        out = np.concatenate(parts)
-    return out, count
+class Encoder:
+    """Encodes slices of one task; pieces that have come before are not encoded again."""
+
+    MOST = 1 << 20
+
+    def __init__(self, vocabulary: str, pattern: str, end: int = END):
+        self.bpe, self.end = encoder(vocabulary, pattern), end
+        self.clear()
+
+    def clear(self):
+        self.hash, self.size, self.begin, self.flat = np.empty(0, P.U64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def learn(self, data: bytes, h: np.ndarray, s: np.ndarray, e: np.ndarray):
+        ids = [self.bpe.encode_ordinary(data[a:b].decode("utf-8", "replace")) for a, b in zip(s.tolist(), e.tolist())]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        h = np.concatenate([self.hash, h])
+        order = np.argsort(h)
+        begin = len(self.flat) + np.cumsum(n) - n
+        self.hash, self.size, self.begin = h[order], np.concatenate([self.size, n])[order], np.concatenate([self.begin, begin])[order]
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of all texts, each with the end token after it; their numbers by text)."""
+        raw, offsets = P.text_buffer(column)
+        data = raw.tobytes()
+        s, e, t = pieces(raw, offsets)
+        h = P.span_hashes(raw, s, e)
+        key, at, which = np.unique(h, return_index=True, return_inverse=True)
+        new = np.flatnonzero(~P.member_of(key, self.hash))
+        if len(new):
+            if len(self.hash) > self.MOST:
+                self.clear()
+                new = np.arange(len(key))
+            self.learn(data, key[new], s[at[new]], e[at[new]])
+        which = np.searchsorted(self.hash, key)[which]
+        size, begin = self.size[which], self.begin[which]
+        count = np.bincount(t, weights=size, minlength=len(offsets) - 1).astype(np.int64) + 1
+        out = np.full(count.sum(), self.end, np.int32)
+        within = np.cumsum(size) - size
+        at = np.arange(size.sum())
+        out[at + np.repeat(t, size)] = self.flat[at + np.repeat(begin - within, size)]  # t end tokens stand before
+        odd = np.unique(np.searchsorted(offsets, [m.start() for m in WIDE_SPACE.finditer(data)], side="right") - 1) if WIDE_SPACE.search(data) else []
+        if len(odd):
+            parts = np.split(out, np.cumsum(count)[:-1])
+            for k in odd:
+                parts[k] = np.array([*self.bpe.encode_ordinary(data[offsets[k] : offsets[k + 1]].decode("utf-8", "replace")), self.end], np.int32)
+            count = np.array([len(x) for x in parts], np.int64)
+            out = np.concatenate(parts)
+        return out, count
 
 
 class Packer:
@@ -152,9 +190,9 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     def number(batches):
         from pyspark import TaskContext
 
-        bpe, total = encoder(vocabulary, pattern), 0
+        bpe, total = Encoder(vocabulary, pattern, end), 0
         for part in P.slices(batches):
-            total += len(encode(part.column("text"), bpe, end)[0])
+            total += len(bpe.encode(part.column("text"))[0])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([-(-total // length)])], ["task", "n"])
 
     # one row a task comes to the driver
@@ -167,7 +205,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        bpe, packer = encoder(vocabulary, pattern), Packer(length, end)
+        bpe, packer = Encoder(vocabulary, pattern, end), Packer(length, end)
 
         def send(begin, tokens, ids, real=None):
             n = first[task] + begin + np.arange(len(tokens))
@@ -181,7 +219,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 yield int(k), block
 
         for part in P.slices(batches):
-            tokens, count = encode(part.column("text"), bpe, end)
+            tokens, count = bpe.encode(part.column("text"))
             if sent := list(send(*packer.add(tokens, count, np.asarray(part.column("id"))))):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sent)], ["shard", "data"])
         *rest, real = packer.finish()

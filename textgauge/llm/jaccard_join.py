@@ -14,7 +14,8 @@ c(n, m) = ceil(T (n + m) / (100 + T)) of them, T being the threshold in hundredt
     components are compared.  So a group of n near copies takes about n comparisons instead of n * n, and no link between
     components is lost.
 
-Candidate pairs are verified on the whole sets.  Only tables in the shared folder stand between the steps.
+Candidate pairs are verified on the whole sets, after two bounds that never drop a link: parity sketches and the lowest bits of
+the keys.  Only tables in the shared folder stand between the steps.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import packed as P
@@ -40,12 +41,14 @@ LIGHT = 64
 SEEN = 4
 #: The heavy shingles that are told to all tasks: the most frequent ones, at most so many (8 bytes each).
 HEAVY_MOST = 500_000
-#: The largest B to consider, and costs of a subset row and of a posting with its share of the scans, in microseconds.
-SMALL_MOST, SUBSET_COST, POSTING_COST = 24, 3.0, 6.0
+#: The largest B to consider, and estimated costs of a subset row and of a posting with its share of scans and verification, in microseconds.
+SMALL_MOST, SUBSET_COST, POSTING_COST = 24, 3.0, 20.0
 #: Postings that a task holds back before it sends them on in blocks.
 FLUSH = 1 << 19
 
 POSTING = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<u4"), ("q", "<u2")])
+#: Marks a watched set in q; places are cut off below it, which only loosens their bound.
+WATCHED = 1 << 15
 #: Bytes of a packed posting, for the number of buckets.
 POSTING_BYTES = 17
 
@@ -99,6 +102,28 @@ def sets_of(column: pa.Array):
     return keys, text, np.bincount(text, minlength=words.texts).astype(np.int64), identity(keys, text, words.texts)
 
 
+#: Bits of a set's parity sketch, in longs.
+PARITY = [f"p{k}" for k in range(8)]
+
+
+def parities(keys: np.ndarray, text: np.ndarray, texts: int) -> list[np.ndarray]:
+    """For each set 512 bits: whether an odd number of its keys falls on the bit.
+
+    Two sets' sketches differ in no more bits than their symmetric difference has keys.
+    """
+    width = 64 * len(PARITY)
+    odd = np.bincount(text * width + (keys & P.U64(width - 1)).astype(np.int64), minlength=texts * width) & 1
+    return list(np.packbits(odd.astype(np.uint8).reshape(texts, width), axis=1).view(np.int64).reshape(texts, len(PARITY)).T)
+
+
+def parity_allows(x: str, y: str) -> Column:
+    """Whether the sketches leave room for a link between sets of n keys each."""
+    n = F.col(f"{x}n").cast("long") + F.col(f"{y}n").cast("long")
+    differ = sum((F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))).cast("long") for p in PARITY[1:]), F.bit_count(F.col(f"{x}p0").bitwiseXOR(F.col(f"{y}p0"))).cast("long"))
+    # a link needs a difference of at most n + m - 2 * THRESHOLD (n + m) / (100 + THRESHOLD)
+    return differ * (100 + THRESHOLD) <= n * (100 - THRESHOLD)
+
+
 def batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names.split())
 
@@ -199,13 +224,16 @@ def enter(heavy: np.ndarray, boundary: int, buckets: int):
             keys, text, hot, place = keys[use], text[use], hot[use], place[use]
             x = np.empty((~hot).sum(), POSTING)
             t = text[~hot]
-            x["h"], x["s"], x["n"], x["q"] = keys[~hot], sets[t], n[t], np.minimum(place[~hot], 65535)
+            # a set with a heavy shingle in its prefix has all its light ones there: it is watched
+            watched = np.zeros(len(n), np.uint16)
+            watched[text[hot]] = WATCHED
+            x["h"], x["s"], x["n"], x["q"] = keys[~hot], sets[t], n[t], np.minimum(place[~hot], WATCHED - 1).astype(np.uint16) | watched[t]
             held.append(x)
             size += len(x)
             if hot.any():
                 t = text[hot]
-                # a: shingle, b: set, n: size, q: place, light: light shingles of the set
-                yield rows(1, len(t), a=keys[hot].astype(np.int64), b=sets[t], n=n[t], q=place[hot], light=light[t], bucket=(sets[t] % buckets).astype(np.int32))
+                # a: shingle, b: set, n: size, q: place, light: 1 for watched sets
+                yield rows(1, len(t), a=keys[hot].astype(np.int64), b=sets[t], n=n[t], q=place[hot], light=np.ones(len(t), np.int32), bucket=(sets[t] % buckets).astype(np.int32))
             if size > FLUSH:
                 yield from flush(held)
                 held, size = [], 0
@@ -241,6 +269,12 @@ def scan(batches):
     x = x[keep]
     first = np.flatnonzero(np.r_[True, x["h"][1:] != x["h"][:-1]])
     length = np.diff(np.r_[first, len(x)])
+    # light shingles that a watched set shares with no other watched one
+    single = x[first[length == 1]]
+    s, k = np.unique(single["s"][single["q"] >= WATCHED], return_counts=True)
+    if len(s):
+        yield rows(4, len(s), a=s, n=k.astype(np.int32))
+    x["q"] &= WATCHED - 1
     found = []
     for k in np.unique(length[(length > 1) & (length <= LIGHT)]):
         i, j = np.triu_indices(k, 1)
@@ -278,6 +312,14 @@ def verify(batches):
         yield batch("u v", part.column("doc_a"), part.column("doc_b")).filter(pa.array(ok, pa.bool_()))
 
 
+def shared_enough(x: str, y: str) -> Column:
+    """Whether two members of a long list can be linked, by their sizes, places and shingles that they have alone."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    place = F.least(n - F.col(f"{x}q"), m - F.col(f"{y}q"))
+    alone = F.coalesce(F.least(n - F.col(f"{x}u"), m - F.col(f"{y}u")) + F.col(f"{x}u") * 0 + F.col(f"{y}u") * 0, place)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * THRESHOLD) & (F.least(place, alone) * (100 + THRESHOLD) >= (n + m) * THRESHOLD)
+
+
 class JaccardJoin:
     """The join's tables over one corpus; `result()` is what most callers want."""
 
@@ -303,7 +345,11 @@ class JaccardJoin:
 
         self.scanned = materialise(self.docs.mapInArrow(read, ENTRY).groupBy("bucket").applyInArrow(scan_group, ENTRY), "jaccard-lists")
         self.subsets = self.scanned.where("kind = 2").select("a", F.col("b").alias("s"), F.col("n").alias("side")).distinct()
-        self.long = self.scanned.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s"), "n", "q", "light").distinct()
+        alone = self.scanned.where("kind = 4").groupBy(F.col("a").alias("s")).agg(F.sum("n").alias("alone"))
+        long = self.scanned.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s"), "n", "q", "light").distinct()
+        # u: shingles that no other watched set has; null in lists whose sets aren't all watched
+        own = F.when(F.col("light") == 1, F.coalesce("alone", F.lit(0)))
+        self.long = materialise(long.join(alone, "s", "left").select("h", "s", F.col("n").cast("long").alias("n"), F.col("q").cast("long").alias("q"), own.cast("long").alias("u")), "jaccard-long")
 
     def candidate_sets(self) -> None:
         """The keys of all sets that are in a pair or in a long list, with the smallest document of each."""
@@ -316,18 +362,25 @@ class JaccardJoin:
             for part in P.slices(batches):
                 k, text, n, sets = sets_of(part.column("text"))
                 ends = np.cumsum(n)
-                yield batch("set doc keys low", sets, part.column("id"), pa.array([P.pack(k[e - c : e]) for e, c in zip(ends, n)], pa.binary()), pa.array([np.sort(k[e - c : e].astype(np.uint16)).tobytes() for e, c in zip(ends, n)], pa.binary()))
+                yield batch("set doc n keys low " + " ".join(PARITY), sets, part.column("id"), n, pa.array([P.pack(k[e - c : e]) for e, c in zip(ends, n)], pa.binary()), pa.array([np.sort(k[e - c : e].astype(np.uint16)).tobytes() for e, c in zip(ends, n)], pa.binary()), *parities(k, text, len(n)))
 
         # an id that stands for several texts comes with each of them; equal sets are one
-        found = texts.mapInArrow(keys, "set long, doc long, keys binary, low binary")
+        found = texts.mapInArrow(keys, "set long, doc long, n long, keys binary, low binary, " + ", ".join(f"{p} long" for p in PARITY))
         self.sets = materialise(found, "jaccard-sets", "none")
 
+    def sketches(self) -> DataFrame:
+        return self.sets.select("set", "n", *PARITY).distinct()
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Edges (u, v) between documents for those pairs (a, b) of sets that are linked."""
 
         def side(x: str, *columns: str) -> DataFrame:
             return self.sets.select(F.col("set").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
+        # three steps, each on what the one before has left: sketches of 64 bytes, 2 bytes of each key, whole keys
+        sketch = self.sketches()
+        x, y = (sketch.select(F.col("set").alias(k), F.struct("n", *PARITY).alias(k * 2)) for k in "ab")
+        pairs = materialise(pairs.join(x, "a").join(y, "b").where(parity_allows("aa.", "bb.")).select("a", "b"), "jaccard-sketched")
         low = self.sets.groupBy("set").agg(F.first("low").alias("low"))
         a, b = low.toDF("a", "low_a"), low.toDF("b", "low_b")
         left = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "low_a", "low_b").mapInArrow(could_be, "a long, b long"), "jaccard-left")
@@ -346,9 +399,8 @@ class JaccardJoin:
     def roots(self) -> DataFrame:
         self.entries()
         self.candidate_sets()
-        pivot = self.long.groupBy("h").agg(F.min(F.struct("light", "s", "n", "q")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        close = (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * THRESHOLD) & (F.col("s") != F.col("p.s"))
-        starred = self.long.join(pivot, "h").where(close).select(F.least("s", "p.s").alias("a"), F.greatest("s", "p.s").alias("b"))
+        pivot = self.long.groupBy("h").agg(F.min(F.struct("u", "s", "n", "q")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        starred = self.long.join(pivot, "h").where(shared_enough("", "p.") & (F.col("s") != F.col("p.s"))).select(F.least("s", "p.s").alias("a"), F.greatest("s", "p.s").alias("b"))
         pairs = materialise(self.scanned.where("kind = 3").select("a", "b").unionByName(starred).distinct(), "jaccard-candidates")
         edges = self.linked(pairs)
         if self.boundary:
@@ -356,13 +408,11 @@ class JaccardJoin:
         roots = components(edges)
         if not self.long.isEmpty():
             root_of = self.sets.select("set", F.col("doc").alias("node")).join(roots, "node", "left").select(F.col("set").alias("s"), F.coalesce("root", "node").alias("root")).groupBy("s").agg(F.min("root").alias("root"))
-            member = self.long.join(root_of, "s")
+            member = self.long.join(root_of, "s").join(self.sketches().drop("n").withColumnRenamed("set", "s"), "s")
             open_ = member.groupBy("h").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("h")
             left = materialise(member.join(open_, "h", "left_semi"), "jaccard-open")
             a, b = left.alias("x"), left.alias("y")
-            n, m = F.col("x.n").cast("long"), F.col("y.n").cast("long")
-            enough = F.least(n - F.col("x.q"), m - F.col("y.q")) * (100 + THRESHOLD) >= (n + m) * THRESHOLD
-            on = (F.col("x.h") == F.col("y.h")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (F.least(n, m) * 100 >= F.greatest(n, m) * THRESHOLD) & enough
+            on = (F.col("x.h") == F.col("y.h")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & shared_enough("x.", "y.") & parity_allows("x.", "y.")
             more = a.join(b, on).select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
             edges = self.linked(more).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
             roots = components(edges)

@@ -29,7 +29,7 @@ PERIOD = 1000
 #: Without weights given, a source's weight is its number of documents to this power.
 TEMPERATURE = 0.9
 #: Rows that one task ranks, about; and the most sources.
-RANKED, MOST_SOURCES = 65_536, 100_000
+RANKED, MOST_SOURCES = 8_192, 100_000
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:

@@ -89,6 +89,23 @@ def test_mix(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mix_keeps_exact_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 500)
+    weights = {"hot": 5000.0} | {f"s{i:03}": 25.0 for i in range(400)}
+    want = {s: Fraction(w) / 15000 for s, w in weights.items()}
+    had = dict.fromkeys(weights, 0)
+    for t, (s, _) in zip(range(1, 3001), mixing.slots_of(mixing.exact_weights(weights))):
+        had[s] += 1
+        assert t % 100 or all(abs(had[x] - w * t) < 1 for x, w in want.items())
+    rows = [(i, "hot" if i < 1000 else f"s{i % 400:03}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(docs, {s: 1000.0 if s == "hot" else 5.0 for s in weights}, block=1).collect()
+    assert sorted(r.mix_slot for r in got) == list(range(len(got)))
+    assert {r.doc_id for r in got} == {i for i, _ in rows} and len(got) == 3000  # nothing is repeated
+    rare = mixing.mix(docs, {"hot": 1.0, "s001": 1.0 / 1024}, block=1, horizon="cover").where("mix_source = 's001'").collect()
+    assert len(rare) == 5 and {r.mix_epoch for r in rare} == {0}  # due less than a slot of a thousand
+
+
 def test_permutation():
     for n in (1, 2, 3, 5, 100, 4097):
         assert sorted(token_shards.permute(np.arange(n), n).tolist()) == list(range(n))

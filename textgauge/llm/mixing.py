@@ -5,8 +5,10 @@ release, and must have run by slot ceil(k / w), its deadline.  One slot after th
 one with the earliest deadline.  As the weights sum to one, no deadline is missed, so after any number t of slots each source
 has had more than w t - 1 and fewer than w t + 1 blocks.
 
-Weights are shares of `period` slots, so the schedule repeats after a period.  Only one period is simulated, on the driver;
-its table has `period` rows, and block j of a source with share a lies in period j // a at the place of its block j % a.
+Releases and deadlines are exact: weights are kept as whole numbers over their total, and every slot up to the end of the mix
+is scheduled.  That takes one step for each slot on the driver, which keeps only one job of each source and hands the slots on
+in pieces of `PIECE` as a table, joined by source and block.  With a `period` given, weights are rounded to whole slots of it
+first.
 Ranks within a source come from counts by source and hash bucket, so a source with a third of all rows is ranked by as many
 tasks as its rows need.
 """
@@ -15,7 +17,12 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +31,10 @@ from .common import materialise
 
 #: Documents a block.
 BLOCK = 16
-#: Slots after which the schedule repeats; with more sources than half of this it grows to twice their number.
+#: Slots of a period for `shares`; with more sources than half of this it grows to twice their number.
 PERIOD = 1000
+#: Slots that the driver holds at once.
+PIECE = 1 << 19
 #: Without weights given, a source's weight is its number of documents to this power.
 TEMPERATURE = 0.9
 #: Rows that one task ranks, about; and the most sources.
@@ -49,22 +58,50 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def schedule(share: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, number of its block in the period) of each slot of one period, by earliest deadline among the released."""
-    period = sum(share.values())
-    waiting = [(k * period // a, -(-(k + 1) * period // a), s, k) for s, a in share.items() for k in range(a)]
-    waiting.sort()
-    ready, out, at = [], [], 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            _, deadline, s, k = waiting[at]
-            heapq.heappush(ready, (deadline, s, k))
-            at += 1
+def exact_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The positive weights as whole numbers in the same proportions, without rounding."""
+    use = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    scale = math.lcm(*(w.denominator for w in use.values()))
+    return {s: int(w * scale) for s, w in use.items()}
+
+
+def slots_of(weights: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, number of its block) of one slot after the other, by earliest deadline among the released blocks."""
+    total = sum(weights.values())
+    waiting = [(0, s, 0) for s in weights]
+    heapq.heapify(waiting)
+    ready, slot = [], 0
+    while weights:
+        while waiting and waiting[0][0] <= slot:
+            _, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[s]), s, k))
         deadline, s, k = heapq.heappop(ready)
         if deadline <= slot:
             raise AssertionError("a deadline was missed")
-        out.append((s, k))
-    return out
+        heapq.heappush(waiting, ((k + 1) * total // weights[s], s, k + 1))
+        yield s, k
+        slot += 1
+
+
+def schedule(share: dict[str, int]) -> list[tuple[str, int]]:
+    """The slots of one period."""
+    return [x for x, _ in zip(slots_of(share), range(sum(share.values())))]
+
+
+def slot_pieces(weights: dict[str, int], blocks: dict[str, int], horizon: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The slots up to the end of the mix: number of the first, sources by their place in `weights`, and their blocks."""
+    number, left = {s: i for i, s in enumerate(weights)}, len(weights)
+    ends = {"cover": 0, "shortest": left - 1}[horizon]
+    sources, numbers, first = [], [], 0
+    for s, k in slots_of(weights):
+        sources.append(number[s])
+        numbers.append(k)
+        left -= k + 1 == blocks[s]
+        if left <= ends or len(sources) == PIECE:
+            yield first, np.array(sources, np.int32), np.array(numbers, np.int64)
+            first, sources, numbers = first + len(sources), [], []
+        if left <= ends:
+            return
 
 
 def source_counts(docs: DataFrame, source_col: str) -> dict[str, int]:
@@ -74,7 +111,7 @@ def source_counts(docs: DataFrame, source_col: str) -> dict[str, int]:
     return {r["s"]: r["count"] for r in found}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, horizon: str = "cover") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int | None = None, horizon: str = "cover") -> DataFrame:
     """The documents, with all their columns, and mix_slot, mix_source, mix_block, mix_place, mix_epoch.
 
     A row that is scheduled several times comes several times.  horizon "cover" ends the mix when each source has had all its
@@ -82,29 +119,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     "shortest" ends it when the first source has had all its blocks, and what the others have left is left out.  A null
     source is the source ''.  Sources without a weight, or with 0, are left out; weights of sources that don't occur are
     ignored.  Within a source rows are ordered by a hash of the id, then the id; repeated rows are scheduled each, in any
-    order.  An empty table gives an empty mix.  Columns of the names that are added are replaced.
+    order.  An empty table gives an empty mix.  Columns of the names that are added are replaced.  "cover" repeats the others as
+often as the least favoured source's weight demands, so a weight far below its size's share makes a long mix.
     """
     spark = docs.sparkSession
     added = ["mix_slot", "mix_source", "mix_block", "mix_place", "mix_epoch"]
     counts = source_counts(docs, source_col)
     if weights is None:
         weights = {s: n**TEMPERATURE for s, n in counts.items()}
-    share = shares({s: w for s, w in weights.items() if s in counts}, period)
-    slots = schedule(share)
-    length, place = len(slots), {x: k for k, x in enumerate(slots)}
-    blocks = {s: -(-counts[s] // block) for s in share}
-    last = {s: (n - 1) // share[s] * length + place[s, (n - 1) % share[s]] for s, n in blocks.items()}
-    end = {"cover": max, "shortest": min}[horizon](last.values(), default=-1) + 1
-    # scheduled blocks of each source before the end
-    whole, rest = divmod(end, length) if length else (0, 0)
-    had = dict.fromkeys(share, 0)
-    for s, _ in slots[:rest]:
-        had[s] += 1
-    total = {s: whole * share[s] + had[s] for s in share}
-
-    # at most MOST_SOURCES and max(period, twice the sources) rows
-    facts = F.broadcast(spark.createDataFrame([(s, share[s], blocks[s], total[s]) for s in share], "mix_source string, share long, blocks long, total long"))
-    table = F.broadcast(spark.createDataFrame([(s, k, i) for (s, k), i in place.items()], "mix_source string, k long, i long"))
+    weights = {s: w for s, w in weights.items() if s in counts}
+    exact = exact_weights(weights) if period is None else shares(weights, period)
+    blocks = {s: -(-counts[s] // block) for s in exact}
+    total, pieces = dict.fromkeys(exact, 0), []
+    names = list(exact)
+    for first, sources, numbers in slot_pieces(exact, blocks, horizon):
+        for i, n in zip(*np.unique(sources, return_counts=True)):
+            total[names[i]] += int(n)
+        piece = pa.table({"mix_number": sources, "j": numbers, "mix_slot": first + np.arange(len(sources))})
+        pieces.append(materialise(spark.createDataFrame(piece, "mix_number int, j long, mix_slot long"), "mix-slots"))
+    table = reduce(DataFrame.unionByName, pieces) if pieces else spark.createDataFrame([], "mix_number int, j long, mix_slot long")
+
+    # at most MOST_SOURCES rows
+    facts = F.broadcast(spark.createDataFrame([(s, i, blocks[s], total[s]) for i, s in enumerate(names)], "mix_source string, mix_number int, blocks long, total long"))
 
     buckets = max(1, -(-sum(counts.values()) // RANKED))
     rows = docs.drop(*added).withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
@@ -120,7 +156,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     times = F.when(F.col("total") > F.col("mix_block"), F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1 - F.col("mix_block")) / F.col("blocks")).cast("long")))
     out = ranked.withColumn("mix_epoch", F.explode(times))
     j = F.col("mix_block") + F.col("mix_epoch") * F.col("blocks")
-    out = out.withColumn("j", j).withColumn("k", F.col("j") % F.col("share")).join(table, ["mix_source", "k"])
-    out = out.withColumn("mix_slot", F.floor(F.col("j") / F.col("share")).cast("long") * length + F.col("i"))
+    out = out.withColumn("j", j).join(table, ["mix_number", "j"])
     keep = [c for c in docs.columns if c not in added]
     return out.select(*keep, *added)

@@ -70,6 +70,43 @@ def test_leakage(spark):
     leakage.gate({"critical": 1}, False)
 
 
+def test_near_copies_across_splits(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from textgauge.plans import corpus_queries, model_queries
+
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(["rio", "criança", "árvore", "tarde", "longamente", "observou", "antiga"]) + str(draw.randrange(30)) for _ in range(20)) for _ in range(30)]
+    split = lambda i: "train" if i % 20 < 14 else "val" if i % 20 < 17 else "test"
+    rows = [(i, texts[i % 29] + (" fim" if i % 3 else ""), split(i)) for i in range(90)] + [(100, None, "train"), (114, "", "val")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, split string")
+    form = lambda t: (t or "").replace("ç", "c").replace("á", "a")
+    pairs = [("train", "val"), ("train", "test"), ("val", "test")]
+    near, cosine = {}, {}
+    for a, b in pairs:
+        mine = [(i, form(t), s) for i, t, s in rows if s in (a, b)]
+        terms = {i: Counter(g for w in t.split() for g in ([f" {w} "] if len(w) < 4 else [f" {w} "[k : k + 5] for k in range(len(w) - 2)])) for i, t, _ in mine}
+        df = Counter(g for c in terms.values() for g in c)
+        vec = {i: {g: n * (math.log((1 + len(mine)) / (1 + df[g])) + 1) for g, n in c.items()} for i, c in terms.items()}
+        unit = {i: {g: x / math.sqrt(sum(y * y for y in v.values())) for g, x in v.items()} for i, v in vec.items()}
+        grams = {i: {f"  {t}  "[k : k + 5] for k in range(len(t))} if t else set() for i, t, _ in mine}
+        for i, t, s in mine:
+            for j, u, r in mine:
+                if (s, r) == (a, b):
+                    dot = round(sum(x * unit[j].get(g, 0) for g, x in unit[i].items()), 6)
+                    shared = len(grams[i] & grams[j])
+                    if dot >= 0.92:
+                        cosine[a, b, i, j] = dot
+                    if t and u and round(shared / (len(grams[i] | grams[j])), 6) >= 0.92:
+                        near[a, b, i, j] = round(shared / len(grams[i] | grams[j]), 6)
+    for want, find in ((near, corpus_queries.near_duplicates_by_split), (cosine, model_queries.cosine_pairs_by_split)):
+        got = {tuple(r)[:4]: r.similarity for r in find(docs).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+        assert any(i % 2 == j % 2 for _, _, i, j in got) and {k[:2] for k in got} == set(pairs)
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame(list(zip(["baixa", "media", "alta", "alta"], ["baixa", "media", "media", "alta"])), "y string, p string")
     m = evaluate.metrics(rows).first()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +27,12 @@ def value_overlap(df: DataFrame, value: Column, check: str) -> DataFrame:
     return counts.select(F.explode(entries).alias("x")).select("x.*")
 
 
+def across_splits(df: DataFrame, find: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """What `find` makes of the rows of each pair of splits, with left_split and right_split; df has a column split."""
+    sides = [(a, b, find(df.where(F.col("split") == a).drop("split"), df.where(F.col("split") == b).drop("split"))) for a, b in PAIRS]
+    return reduce(DataFrame.unionByName, [x.select(F.lit(a).alias("left_split"), F.lit(b).alias("right_split"), *x.columns) for a, b, x in sides])
+
+
 def target_like_columns(columns: list[str], exempt: list[str]) -> list[str]:
     """Columns whose normalised name is one that gives the target away, or contains `target`."""
     import re

@@ -277,11 +277,36 @@ def k05_near_duplicates(spark, sf):
     return leakage.near_duplicates(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "doc_id", "text")
 
 
+#: A turn's split is its conversation's; 0, 1, 2 for train, val, test.
+TURN_SPLIT = "CASE WHEN ({0} // 1000) % 20 < 14 THEN 0 WHEN ({0} // 1000) % 20 < 17 THEN 1 ELSE 2 END"
+SPLIT_NAMES = "['train', 'val', 'test']"
+
+
+def split_turns(spark, sf):
+    from textgauge.plans.registry import table
+
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", prepare.assigned_split(F.col("conv_id")).alias("split"))
+
+
+def split_documents(spark, sf):
+    return documents(spark, sf).select("doc_id", "text", prepare.assigned_split(F.col("doc_id")).alias("split"))
+
+
+def near_duplicates_by_split(rows):
+    return leakage.across_splits(rows, lambda a, b: leakage.near_duplicates(a, b, "doc_id", "text"))
+
+
+@query(f"""WITH {GRAMS}, j AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS i FROM k2 a JOIN k2 b ON a.gram = b.gram AND 100 * a.n >= 91 * b.n AND 100 * b.n >= 91 * a.n WHERE {TURN_SPLIT.format('a.doc_id')} < {TURN_SPLIT.format('b.doc_id')} GROUP BY ALL)
+SELECT {SPLIT_NAMES}[{TURN_SPLIT.format('left_id')} + 1] AS left_split, {SPLIT_NAMES}[{TURN_SPLIT.format('right_id')} + 1] AS right_split, left_id, right_id, round_even(i / (len(x.g) + len(y.g) - i), 6) AS similarity FROM j JOIN k1 x ON x.doc_id = left_id JOIN k1 y ON y.doc_id = right_id
+WHERE round_even(i / (len(x.g) + len(y.g) - i), 6) >= 0.92 AND least(x.chars, y.chars) >= 0.7 * greatest(x.chars, y.chars)""")
+def k05_near_duplicates_by_split(spark, sf):
+    return near_duplicates_by_split(split_turns(spark, sf))
+
+
 @query()
 def k05_near_duplicate_documents(spark, sf):
     """Too slow in SQL on whole documents; the query above and the tests hold the operator against it on short texts."""
-    rows = documents(spark, sf).select("doc_id", "text")
-    return leakage.near_duplicates(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "doc_id", "text")
+    return near_duplicates_by_split(split_documents(spark, sf))
 
 
 @query("WITH s AS (SELECT CASE WHEN doc_id % 20 < 14 THEN 'train' WHEN doc_id % 20 < 17 THEN 'val' ELSE 'test' END AS split, lang AS target FROM documents) SELECT split, target, count(*) AS rows FROM s GROUP BY ALL")

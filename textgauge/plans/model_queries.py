@@ -8,9 +8,10 @@ from textgauge.functions import features as X
 from textgauge.functions import lexicons as lex
 from textgauge.functions import text as T
 from textgauge.operators import evaluate as E
+from textgauge.operators import leakage
 from textgauge.operators import vectorize as V
 from textgauge.plans import sql as S
-from textgauge.plans.corpus_queries import GRAMS  # noqa: F401
+from textgauge.plans.corpus_queries import GRAMS, SPLIT_NAMES, TURN_SPLIT, split_documents, split_turns  # noqa: F401
 from textgauge.plans.registry import documents, query, table
 
 #: A prediction that SQL can make too: the true language, or English for ids whose digest begins below 4.
@@ -92,6 +93,39 @@ def k06_cosine_pairs(spark, sf):
     return V.cosine_pairs(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), 0.92)
 
 
+def cosine_pairs_by_split(rows):
+    """Weights are fitted on both sides of each pair of splits, on normalised texts."""
+    rows = rows.withColumn("text", T.leakage_form(F.col("text")))
+
+    def find(left, right):
+        both = left.unionByName(right)
+        counts = V.term_counts(both, "doc_id", V.char_wb_terms(F.col("text")))
+        weights = V.tfidf(counts, V.vocabulary(counts, both.count()), "doc_id")
+        return V.cosine_pairs(*(weights.join(side.select("doc_id"), "doc_id", "left_semi") for side in (left, right)), 0.92)
+
+    return leakage.across_splits(rows, find)
+
+
+SPLIT_WB = f"""x0 AS (SELECT doc_id, {TURN_SPLIT.format('doc_id')} AS split, {S.leakage_form('text')} AS k FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)),
+pr AS (SELECT * FROM (VALUES (0, 1), (0, 2), (1, 2)) t(l, r)), nd AS (SELECT l, r, count(*) AS n FROM x0 JOIN pr ON split IN (l, r) GROUP BY ALL),
+x1 AS (SELECT doc_id, split, ' ' || unnest(list_filter(string_split(k, ' '), lambda w: w <> '')) || ' ' AS p FROM x0),
+x2 AS (SELECT doc_id, split, unnest(CASE WHEN length(p) <= 5 THEN [p] ELSE list_transform(range(1, length(p) - 3), lambda i: substr(p, i, 5)) END) AS term FROM x1),
+c1 AS (SELECT doc_id, split, term, count(*) AS tf FROM x2 GROUP BY ALL), c2 AS (SELECT c1.*, l, r FROM c1 JOIN pr ON split IN (l, r)),
+v0 AS (SELECT l, r, term, count(*) AS df FROM c2 GROUP BY ALL), v1 AS (SELECT l, r, term, ln((1.0 + n) / (1.0 + df)::DOUBLE) + 1 AS idf FROM v0 JOIN nd USING (l, r)),
+w0 AS (SELECT l, r, doc_id, split, term, tf * idf AS w FROM c2 JOIN v1 USING (l, r, term)), w1 AS (SELECT l, r, doc_id, split, term, w / sqrt(sum(w * w) OVER (PARTITION BY l, r, doc_id)) AS weight FROM w0)"""
+
+
+@query(f"WITH {SPLIT_WB} SELECT {SPLIT_NAMES}[l + 1] AS left_split, {SPLIT_NAMES}[r + 1] AS right_split, a.doc_id AS left_id, b.doc_id AS right_id, round(sum(a.weight * b.weight), 6) AS similarity FROM w1 a JOIN w1 b USING (l, r, term) WHERE a.split = l AND b.split = r GROUP BY ALL HAVING round(sum(a.weight * b.weight), 6) >= 0.92")
+def k06_cosine_pairs_by_split(spark, sf):
+    return cosine_pairs_by_split(split_turns(spark, sf))
+
+
+@query()
+def k06_cosine_pair_documents(spark, sf):
+    """Too slow in SQL on whole documents, as in k05."""
+    return cosine_pairs_by_split(split_documents(spark, sf))
+
+
 SCALED = ["num_palavras", "num_sentencas", "type_token_ratio"]
 
 

@@ -85,3 +85,51 @@ def test_empty(spark):
     assert score_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = score_corpus(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert one.n_tokens == 1
+
+
+def test_longer_orders_match_brute_force(spark):
+    split = [(100 + i, " ".join(f"the the w{(i * 37 + j) % 900}" for j in range(100))) for i in range(40)]
+    for rows, order in ((ROWS, 3), (ROWS, 4), (split, 3)):
+        held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+        grams = [Counter() for _ in range(order + 1)]
+        for (_, t), h in zip(rows, held):
+            padded = ["<s>"] * (order - 1) + tokens(t)
+            for n in range(1, order + 1) if not h else ():
+                grams[n].update(tuple(padded[k - n + 1 : k + 1]) for k in range(order - 1, len(padded)))
+        total = sum(grams[1].values())
+        d, after = [None], [None, None]
+        for c in grams[1:]:
+            n = Counter(min(x, DISCOUNTED + 2) for x in c.values())
+            d.append(discounts(np.array([0] + [n[r] for r in range(1, DISCOUNTED + 2)])))
+        for c in grams[2:]:
+            after.append(defaultdict(dict))
+            for g, x in c.items():
+                after[-1][g[:-1]][g[-1]] = x
+        disc = lambda c, n: c * (d[n][c] if c <= DISCOUNTED else 1.0)
+        unknown = sum(c - disc(c, 1) for c in grams[1].values()) / total
+        weights = {}
+
+        def p(h, w):
+            n = len(h) + 1
+            if n == 1:
+                return disc(grams[1][w,], 1) / total if grams[1][w,] else unknown
+            seen = after[n].get(h)
+            if not seen:
+                return p(h[1:], w)
+            if h not in weights:
+                c = sum(seen.values())
+                rest = sum(x - disc(x, n) for x in seen.values()) / c
+                s, rest = (1.0, rest) if rest > 0 else (c / (c + 1), 1 / (c + 1))
+                weights[h] = s / c, rest / max(1 - sum(p(h[1:], x) for x in seen), unknown if n == 2 else 1e-12)
+            return weights[h][0] * disc(seen[w], n) if w in seen else weights[h][1] * p(h[1:], w)
+
+        want = []
+        for i, t in rows:
+            padded = ["<s>"] * (order - 1) + tokens(t)
+            want.append((str(i), len(tokens(t)), sum(math.log10(p(tuple(padded[k - order + 1 : k]), padded[k])) for k in range(order - 1, len(padded)))))
+        got = [(str(r.doc_id), r.n_tokens, r.score) for r in score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), order=order).collect()]
+        assert len(got) == len(want)
+        for g, w in zip(sorted(got), sorted(want)):
+            assert g[:2] == w[:2] and math.isclose(g[2], w[2], abs_tol=1e-6), (order, g, w)
+        for h in list(after[order])[:5] + [("w1",) * (order - 1), ("never",) * (order - 1)]:
+            assert math.isclose(sum(p(h, w) for (w,) in [*grams[1], ("unknown word",)]), 1, abs_tol=1e-9)

@@ -1,22 +1,25 @@
 """Katz back-off language model over words, counted, stored and evaluated in blocks.
 
-The model has two orders.  With d the Good-Turing discounts of an order, c the training counts and h the word before:
+The model has `order` orders.  With d the Good-Turing discounts of an order, c the training counts, h the order - 1 words
+before and h' all of them but the first:
 
     P(w | h) = d(c(h w)) c(h w) / c(h)      if h w was seen in training
-             = a(h) P(w)                    otherwise, with a(h) = (1 - sum of the first line) / (1 - sum of P over the same words)
+             = a(h) P(w | h')               otherwise, with a(h) = (1 - sum of the first line) / (1 - sum of P(. | h') over the same words)
     P(w)     = d(c(w)) c(w) / N             if w was seen in training
              = what the seen words leave    for all unknown words together
 
-so both orders sum to exactly one over the known words and the unknown one.  A text is evaluated from its beginning (a word
-of its own, only ever a history) to its end (a token like others).
+so all orders sum to exactly one over the known words and the unknown one.  A history not seen in training has a(h) = 1.  A
+text is evaluated from its beginning (a word of its own, only ever in histories, which it fills up) to its end (a token like
+others).
 
 No token is a row.  Each task turns its documents into chunks: the distinct words' hashes, and each token as a number among
 them.  A chunk sends each bucket of the vocabulary its distinct words there with their training counts; the bucket adds up
 the counts of all chunks, stores them as its part of the model and answers each chunk in the order of its question.  The same
-goes for pairs of words, bucketed by the first word, where the question also says how often the second word occurs at all,
-so that the bucket can add up the probabilities that a(h) needs.  A frequent first word is split over several buckets by the
-second; the sums that a(h) needs are then added up on the driver, for at most `4 * buckets` words.  Words and pairs are told
-apart by 64-bit (the second of a pair: 48-bit) hashes.
+goes for longer n-grams, order by order, bucketed by their history, where the question also says how often the last word
+occurs at all (from triples on, its probability after h'), so that the bucket can add up the probabilities that a(h) needs.
+Before it asks for an order, a chunk evaluates the one below from the answers that it has.  A frequent history is split over
+several buckets by the last word; the sums that a(h) needs are then added up on the driver, for at most `4 * buckets`
+histories.  Histories are told apart by 64-bit, last words by 48-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,14 +38,16 @@ from .common import buckets_for, crc_mod, materialise, release
 DISCOUNTED = 5
 #: Tokens that make a chunk full.
 CHUNK_TOKENS = 1 << 21
-#: The buckets of pairs are counted in so many parts, one after the other, so that only a part's questions are on disk.
+#: The buckets of an order are counted in so many parts, one after the other, so that only a part's questions are on disk.
 PARTS = 3
+#: From triples on there are so many times the buckets, as more of the n-grams are distinct.
+LONG_BUCKETS = 3
 END = P.U64(0x5EED0E4D5EED0E4D)
 BEGIN = P.U64(0x5EED0B055EED0B05)
 LOW48 = P.U64((1 << 48) - 1)
 MESSAGE = "kind int, chunk long, bucket int, data binary"
 #: Kinds of messages.
-CHUNK, ASK_WORDS, TELL_WORDS, ASK_PAIRS, TELL_PAIRS, TABLE, STATS, HOT = range(8)
+CHUNK, ASK_WORDS, TELL_WORDS, ASK_GRAMS, TABLE, STATS, HOT, TELL_GRAMS = range(8)  # TELL_GRAMS + n for order n
 
 
 def message(kind: int, chunks, buckets, blocks: list[bytes]) -> pa.RecordBatch:
@@ -172,62 +177,124 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield message(TELL_WORDS, x[1], bucket, [P.pack(total[at[e - len(p[0]) : e]])])
 
 
-class Chunk:
-    """A chunk with the training counts of its words, and its distinct pairs by bucket."""
+class Order:
+    """What the counted buckets of one order have in common."""
 
-    def __init__(self, messages: list[tuple[int, int, int, bytes]], buckets: int, hot_count: int, begins: int):
-        (own,) = (x for x in messages if x[0] == CHUNK)
-        self.id = own[1]
-        self.words, self.local, self.count, ids, held = P.unpack(own[3])
-        self.ids, self.held = ids.reshape(-1, 2), held.astype(bool)
-        order, bucket, first, end = by_bucket((self.words % P.U64(buckets)).astype(np.int32))
-        self.word_count = np.zeros(len(self.words) + 1, np.int64)
-        told = {x[2]: x[3] for x in messages if x[0] == TELL_WORDS}
+    def __init__(self, n: int, buckets: int, total: int):
+        self.n, self.buckets = n, buckets * (LONG_BUCKETS if n > 2 else 1)
+        self.hot_count = max(1024, total // (4 * self.buckets))
+        self.d = np.ones(DISCOUNTED + 1)
+        self.hot: dict[int, tuple[np.ndarray, float]] = {}
+
+
+def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of histories that are longer by a word."""
+    return P.mix(P.mix(history + P.U64(5)) + word)
+
+
+class Words:
+    """The distinct words of a chunk: hash, training count and probability of each, and each token's place among them."""
+
+    def __init__(self, chunk: Chunk, told: dict[int, bytes], buckets: int, unigrams: Unigrams):
+        self.key, self.at, self.begin = chunk.words, chunk.local, np.array([BEGIN])
+        order, bucket, first, end = by_bucket((self.key % P.U64(buckets)).astype(np.int32))
+        self.count = np.zeros(len(self.key), np.int64)
         for b, i, j in zip(bucket, first, end):
-            self.word_count[order[i:j]] = P.unpack(told[int(b)])[0]
-        self.word_count[-1] = begins  # as a history, BEGIN stands before each training text
-        keys = np.r_[self.words, BEGIN]
-        starts = np.cumsum(self.count.astype(np.int64)) - self.count
-        history = np.empty(len(self.local), np.int64)
-        history[1:] = self.local[:-1]
-        history[starts] = len(self.words)
-        train = np.repeat(~self.held, self.count)
-        code, self.pair = np.unique(history * len(keys) + self.local, return_inverse=True)
-        self.pair_train = np.bincount(self.pair, weights=train, minlength=len(code)).astype(np.uint32)
-        self.history, self.second = code // len(keys), code % len(keys)
-        self.keys = keys
-        often = self.word_count[self.history]
-        splits = np.maximum(1, -(-often // hot_count)).astype(P.U64)
-        sub = np.where(splits > 1, P.mix(keys[self.second] + P.U64(3)) % splits + P.U64(1), P.U64(0))
-        to = (P.mix(keys[self.history] + sub * P.BASE) % P.U64(buckets)).astype(np.int32)
+            self.count[order[i:j]] = P.unpack(told[int(b)])[0]
+        self.p = unigrams.probability(self.count)
+
+
+class Grams:
+    """The distinct n-grams of a chunk, by bucket; `take` gives their training counts and probabilities."""
+
+    def __init__(self, chunk: Chunk, below: Words | Grams, order: Order, begins: int):
+        self.of, size = order, len(chunk.words)
+        self.keys, self.often = np.r_[below.key, below.begin], np.r_[below.count, begins]
+        self.begin = joined(below.begin, np.array([BEGIN]))
+        history = np.empty(len(chunk.local), np.int64)
+        history[1:] = below.at[:-1]
+        history[chunk.starts] = len(below.key)  # the beginning is the history of each text's first token
+        code, one, self.at = np.unique(history * size + chunk.local, return_index=True, return_inverse=True)
+        self.train = np.bincount(self.at, weights=chunk.train, minlength=len(code)).astype(np.uint32)
+        self.history, self.second = code // size, code % size
+        self.word = chunk.words[self.second]
+        self.lower = below.p[below.at[one]]
+        self.asked = below.count[below.at[one]].astype(np.uint32) if order.n == 2 else self.lower
+        splits = np.maximum(1, -(-self.often[self.history] // order.hot_count)).astype(P.U64)
+        sub = np.where(splits > 1, P.mix(self.word + P.U64(3)) % splits + P.U64(1), P.U64(0))
+        to = (P.mix(self.keys[self.history] + sub * P.BASE) % P.U64(order.buckets)).astype(np.int32)
         self.order, self.bucket, self.first, self.end = by_bucket(to)
 
     def runs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs of one bucket, and where a new history begins among them."""
-        pairs = self.order[a:b]
-        h = self.history[pairs]
+        """The n-grams of one bucket, and where a new history begins among them."""
+        grams = self.order[a:b]
+        h = self.history[grams]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        return pairs, h[first], first
+        return grams, h[first], first
+
+    def take(self, told: dict[int, bytes], unigrams: Unigrams) -> None:
+        self.count = np.zeros(len(self.history), np.int64)
+        d, often = self.of.d, self.often
+        lost = np.arange(1, DISCOUNTED + 1) * (1 - d[1:])
+        left, mass = np.zeros(len(self.keys)), np.zeros(len(self.keys))
+        for bucket, a, b in zip(self.bucket, self.first, self.end):
+            total, rare, m = P.unpack(told[int(bucket)])
+            grams, h, _ = self.runs(a, b)
+            self.count[grams], left[h], mass[h] = total, (rare.reshape(-1, DISCOUNTED) * lost).sum(1), m
+        for k in np.flatnonzero(often > self.of.hot_count):
+            if int(self.keys[k]) in self.of.hot:
+                rare, mass[k] = self.of.hot[int(self.keys[k])]
+                left[k] = (rare * lost).sum()
+        left = left / np.maximum(often, 1)
+        none = (left <= 0) & (often > 0)  # a history without rare n-grams: one more token, one not seen after it
+        scale = np.where(none, often / (often + 1), 1.0)
+        left = np.where(none, 1 / (often + 1), left)
+        back = np.where(often > 0, left / np.maximum(1 - mass, unigrams.unknown if self.of.n == 2 else 1e-12), 1.0)
+        h = self.history
+        self.p = np.where(self.count > 0, scale[h] * discounted(self.count, d) / np.maximum(often[h], 1), back[h] * self.lower)
+        self.key = joined(self.keys[h], self.word)
 
 
-def ask_pairs(buckets: int, hot_count: int, begins: int, part: int, parts: int):
-    """What a chunk asks those buckets of pairs whose number leaves `part` modulo `parts`."""
+class Chunk:
+    """A chunk with its words, and its n-grams up to the last of `orders`; those of the last are only taken if it is counted."""
+
+    def __init__(self, messages: list[tuple[int, int, int, bytes]], buckets: int, unigrams: Unigrams, orders: list[Order], begins: int, counted: int):
+        (own,) = (x for x in messages if x[0] == CHUNK)
+        self.id = own[1]
+        self.words, local, self.count, ids, held = P.unpack(own[3])
+        self.local = local.astype(np.int64)
+        self.ids, self.held = ids.reshape(-1, 2), held.astype(bool)
+        self.starts = np.cumsum(self.count.astype(np.int64)) - self.count
+        self.train = np.repeat(~self.held, self.count)
+
+        def told(kind: int) -> dict[int, bytes]:
+            return {x[2]: x[3] for x in messages if x[0] == kind}
+
+        self.unigrams = self.top = Words(self, told(TELL_WORDS), buckets, unigrams)
+        for order in orders:
+            self.top = Grams(self, self.top, order, begins)
+            if order.n <= counted:
+                self.top.take(told(TELL_GRAMS + order.n), unigrams)
+
+
+def ask_grams(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int, part: int, parts: int):
+    """What a chunk asks those buckets of the last order whose number leaves `part` modulo `parts`."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(gather(batches), buckets, hot_count, begins)
-        for bucket, a, b in zip(chunk.bucket, chunk.first, chunk.end):
+        chunk = Chunk(gather(batches), buckets, unigrams, orders, begins, orders[-1].n - 1)
+        top, hot = chunk.top, orders[-1].hot_count
+        for bucket, a, b in zip(top.bucket, top.first, top.end):
             if bucket % parts != part:
                 continue
-            pairs, h, first = chunk.runs(a, b)
-            w = chunk.second[pairs]
-            block = P.pack(chunk.keys[h], np.diff(np.r_[first, len(pairs)]).astype(np.uint32), (chunk.word_count[h] >= hot_count).astype(np.uint8) + (chunk.word_count[h] > hot_count), chunk.keys[w] & LOW48, chunk.word_count[w].astype(np.uint32), chunk.pair_train[pairs])
-            yield message(ASK_PAIRS, chunk.id, bucket, [block])
+            grams, h, first = top.runs(a, b)
+            block = P.pack(top.keys[h], np.diff(np.r_[first, len(grams)]).astype(np.uint32), (top.often[h] >= hot).astype(np.uint8) + (top.often[h] > hot), top.word[grams] & LOW48, top.asked[grams], top.train[grams])
+            yield message(ASK_GRAMS, chunk.id, bucket, [block])
 
     return ask
 
 
-def count_pairs(unigrams: Unigrams):
-    """One bucket of pairs: its table, its counts of counts, the sums of split histories, and the answers to all chunks."""
+def count_grams(unigrams: Unigrams, n: int):
+    """One bucket of n-grams: its table, its counts of counts, the sums of split histories, and the answers to all chunks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = gather(batches)
@@ -235,25 +302,25 @@ def count_pairs(unigrams: Unigrams):
         bucket = asked[0][2]
         h = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
         hot = np.concatenate([np.repeat(p[2], p[1]) for p in parts]) > 1
-        w, cw, c = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
+        w, lower, c = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
         order = np.lexsort((w, h))
-        h, w, cw, hot = h[order], w[order], cw[order], hot[order]
+        h, w, lower, hot = h[order], w[order], lower[order], hot[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
         group = np.cumsum(new) - 1
         total = np.bincount(group, weights=c[order]).astype(np.int64)
         at = np.empty(len(order), np.int64)
         at[order] = group
-        h, w, cw, hot = h[new], w[new], cw[new], hot[new]
+        h, w, lower, hot = h[new], w[new], lower[new], hot[new]
         seen = total > 0
         # the table: each history once, with the number of its words, then the words and counts
-        own, n = np.unique(h[seen], return_counts=True)
-        yield message(TABLE, -1, bucket, [P.pack(own, n.astype(np.uint32), w[seen], total[seen].astype(np.uint32))])
+        own, many = np.unique(h[seen], return_counts=True)
+        yield message(TABLE, -1, bucket, [P.pack(own, many.astype(np.uint32), w[seen], total[seen].astype(np.uint32))])
         yield message(STATS, -1, bucket, [P.pack(np.r_[total.sum(), seen.sum(), np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]])])
         begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         of = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
-        # by history: numbers of pairs seen 1 .. DISCOUNTED times, and the probability of all words seen after it
+        # by history: numbers of n-grams seen 1 .. DISCOUNTED times, and the lower probability of all words seen after it
         rare = np.stack([np.bincount(of, weights=total == r, minlength=len(begin)) for r in range(1, DISCOUNTED + 1)], 1).astype(np.int64)
-        mass = np.bincount(of, weights=np.where(seen, unigrams.probability(cw), 0.0), minlength=len(begin))
+        mass = np.bincount(of, weights=np.where(seen, unigrams.probability(lower) if n == 2 else lower, 0.0), minlength=len(begin))
         split = hot[begin]
         if split.any():
             yield message(HOT, -1, bucket, [P.pack(h[begin][split], rare[split].ravel(), mass[split])])
@@ -261,38 +328,17 @@ def count_pairs(unigrams: Unigrams):
         for x, p, e in zip(asked, parts, end):
             mine = at[e - len(p[3]) : e]
             own = of[mine[np.cumsum(p[1]) - p[1]]]
-            yield message(TELL_PAIRS, x[1], bucket, [P.pack(total[mine].astype(np.uint32), rare[own].ravel().astype(np.uint32), mass[own])])
+            yield message(TELL_GRAMS + n, x[1], bucket, [P.pack(total[mine].astype(np.uint32), rare[own].ravel().astype(np.uint32), mass[own])])
 
     return count
 
 
-def evaluate(buckets: int, hot_count: int, begins: int, unigrams: Unigrams, d: np.ndarray, hot: dict[int, tuple[np.ndarray, float]], id_col: str):
+def evaluate(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int, id_col: str):
     """The scores of a chunk's texts."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        messages = gather(batches)
-        chunk = Chunk(messages, buckets, hot_count, begins)
-        told = {x[2]: x[3] for x in messages if x[0] == TELL_PAIRS}
-        pair_count = np.zeros(len(chunk.history), np.int64)
-        rare, mass = np.zeros((len(chunk.keys), DISCOUNTED)), np.zeros(len(chunk.keys))
-        for bucket, a, b in zip(chunk.bucket, chunk.first, chunk.end):
-            total, r, m = P.unpack(told[int(bucket)])
-            pairs, h, _ = chunk.runs(a, b)
-            pair_count[pairs], rare[h], mass[h] = total, r.reshape(-1, DISCOUNTED), m
-        for k in np.flatnonzero(chunk.word_count > hot_count):
-            if int(chunk.keys[k]) in hot:
-                rare[k], mass[k] = hot[int(chunk.keys[k])]
-        often = chunk.word_count
-        left = (rare * np.arange(1, DISCOUNTED + 1) * (1 - d[1:])).sum(1) / np.maximum(often, 1)
-        none = (left <= 0) & (often > 0)  # a history without rare pairs: one more token, one not seen after it
-        scale = np.where(none, often / (often + 1), 1.0)
-        left = np.where(none, 1 / (often + 1), left)
-        back = np.where(often > 0, left / np.maximum(1 - mass, unigrams.unknown), 1.0)
-        h, w = chunk.history, chunk.second
-        lower = unigrams.probability(chunk.word_count[:-1])
-        p = np.where(pair_count > 0, scale[h] * discounted(pair_count, d) / np.maximum(often[h], 1), back[h] * lower[w])
-        first = np.cumsum(chunk.count.astype(np.int64)) - chunk.count
-        c = chunk.word_count[:-1]
+        chunk = Chunk(gather(batches), buckets, unigrams, orders, begins, len(orders) + 1)
+        first, c = chunk.starts, chunk.unigrams.count
         base = np.log10((c + 1) / (unigrams.total + unigrams.distinct + 1))
         yield pa.RecordBatch.from_arrays(
             [
@@ -302,7 +348,7 @@ def evaluate(buckets: int, hot_count: int, begins: int, unigrams: Unigrams, d: n
                 pa.array(np.add.reduceat((c > 0)[chunk.local].astype(np.int64), first)),
                 pa.array(np.full(len(first), unigrams.total)),
                 pa.array(np.add.reduceat(base[chunk.local], first)),
-                pa.array(np.add.reduceat(np.log10(p)[chunk.pair], first)),
+                pa.array(np.add.reduceat(np.log10(chunk.top.p)[chunk.top.at], first)),
             ],
             [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
@@ -315,8 +361,8 @@ def statistics(table: DataFrame) -> np.ndarray:
     return sum((P.unpack(r.data)[0] for r in table.where(F.col("kind") == STATS).select("data").toLocalIterator()), np.zeros(DISCOUNTED + 4, np.int64))
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, folds: int = 7) -> DataFrame:
-    """Scores of all texts under the model of those outside the held-out fold (crc32 of the id as text, modulo folds).
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, folds: int = 7, order: int = 2) -> DataFrame:
+    """Scores of all texts under the model, of n-grams up to `order` words, of those outside the held-out fold (crc32 of the id as text, modulo folds).
 
     Returns the id, held_out, n_tokens, n_known, train_tokens, base_score (an add-one unigram model) and score, all log10.
     A null or empty text is one token, its end.  A null id counts as an empty text for the fold.  If all texts are held out,
@@ -331,20 +377,22 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words = materialise(chunks.mapInArrow(ask_words(buckets), MESSAGE).groupBy("bucket").applyInArrow(count_words, MESSAGE), "katz-words")
     total, distinct, *n = statistics(words)
     unigrams = Unigrams(total, distinct, np.array(n))
-    hot_count = max(1024, int(total) // (4 * buckets))
     known = chunks.unionByName(words.where(F.col("kind") == TELL_WORDS))
-    pairs = None
-    for part in range(PARTS):
-        asked = known.groupBy("chunk").applyInArrow(ask_pairs(buckets, hot_count, begins, part, PARTS), MESSAGE)
-        counted = materialise(asked.groupBy("bucket").applyInArrow(count_pairs(unigrams), MESSAGE), "katz-pairs")
-        pairs = counted if pairs is None else pairs.unionByName(counted)
-    d = discounts(statistics(pairs)[2:])
-    hot: dict[int, tuple[np.ndarray, float]] = {}
-    for r in pairs.where(F.col("kind") == HOT).select("data").toLocalIterator():
-        keys, rare, mass = P.unpack(r.data)
-        for k, x, m in zip(keys.tolist(), rare.reshape(-1, DISCOUNTED), mass):
-            have = hot.get(k, (0, 0.0))
-            hot[k] = have[0] + x, have[1] + m
-    release(spark)
-    known = known.unionByName(pairs.where(F.col("kind") == TELL_PAIRS))
-    return known.groupBy("chunk").applyInArrow(evaluate(buckets, hot_count, begins, unigrams, d, hot, id_col), schema)
+    orders: list[Order] = []
+    for n in range(2, order + 1):
+        orders.append(Order(n, buckets, int(total)))
+        grams = None
+        for part in range(PARTS):
+            asked = known.groupBy("chunk").applyInArrow(ask_grams(buckets, unigrams, orders, begins, part, PARTS), MESSAGE)
+            counted = materialise(asked.groupBy("bucket").applyInArrow(count_grams(unigrams, n), MESSAGE), "katz-grams")
+            grams = counted if grams is None else grams.unionByName(counted)
+        orders[-1].d = discounts(statistics(grams)[2:])
+        hot = orders[-1].hot
+        for r in grams.where(F.col("kind") == HOT).select("data").toLocalIterator():
+            keys, rare, mass = P.unpack(r.data)
+            for k, x, m in zip(keys.tolist(), rare.reshape(-1, DISCOUNTED), mass):
+                have = hot.get(k, (0, 0.0))
+                hot[k] = have[0] + x, have[1] + m
+        release(spark)
+        known = known.unionByName(grams.where(F.col("kind") == TELL_GRAMS + n))
+    return known.groupBy("chunk").applyInArrow(evaluate(buckets, unigrams, orders, begins, id_col), schema)

@@ -15,7 +15,7 @@ from .warc import round_trip
 
 
 def op1_katz_lm(spark, sf_dir):
-    return score_corpus(read_table(spark, sf_dir, "documents"))
+    return score_corpus(read_table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_pfair_mix(spark, sf_dir):

@@ -151,3 +151,40 @@ def test_entry_is_whole():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
+
+
+def test_registered_models_do_the_whole_search(spark, monkeypatch):
+    from textgauge.operators import models as M
+    from textgauge.plans import model_queries, registry
+
+    assert len(M.grid(M.SEARCH_SPACES["logistic_regression"])) == 16 and len(M.grid(M.SEARCH_SPACES["linear_svm"])) == 8
+    drawn = M.random_points(M.SEARCH_SPACES["logistic_regression"])
+    assert len(drawn) == 10 and len({str(p) for p in drawn}) == 10 and len(M.random_points(M.SEARCH_SPACES["random_forest"])) == 8
+    assert M.classifier("logistic_regression", 5).getMaxIter() == 2000 and M.classifier("random_forest", 5).getMaxDepth() == 20
+    fits = []
+
+    def fit(train, kind, name, **parameters):
+        fits.append((kind, name, str(parameters)))
+
+    scores = spark.createDataFrame([(0.5, 0.5, 0.5)], "f1_macro double, f1_weighted double, accuracy double")
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "id long, target string")
+    monkeypatch.setattr(M, "fit", fit)
+    monkeypatch.setattr(M, "score", lambda model, df: scores)
+    monkeypatch.setattr(model_queries, "labelled_documents", lambda spark, sf: rows)
+    assert registry.QUERIES["m24_cross_validation"](spark, "").count() == 12 and len(fits) == 60
+    fits.clear()
+    assert registry.QUERIES["m10_random_forest"](spark, "").count() == 5 and {f[2] for f in fits} == {"{}"}
+    fits.clear()
+    monkeypatch.setattr(M, "REPRESENTATIONS", ["tfidf_word"])
+    assert registry.QUERIES["m21_grid_search"](spark, "").count() == 32 and len(fits) == 160 and len(set(fits)) == 32
+
+
+def test_group_column(spark):
+    rows = spark.createDataFrame([(1, "A ", None), (2, " a", "x"), (3, None, "Y"), (4, "", "y ")], "id long, obra string, autor string")
+    column, strategy, groups = evaluate.select_group_column(rows, "id")
+    assert (column, strategy) == ("autor", "fallback_column") and [r["group"] for r in groups.orderBy("id").collect()] == ["nan", "x", "y", "y"]
+    assert evaluate.select_group_column(rows, "id", "autor")[1] == "preferred_column"
+    column, strategy, groups = evaluate.select_group_column(rows.drop("autor"), "id")
+    assert strategy == "synthetic_row_id" and groups.select("group").distinct().count() == 4
+    with pytest.raises(ValueError):
+        evaluate.select_group_column(rows.drop("autor"), "id", by_row=False)

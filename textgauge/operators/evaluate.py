@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textgauge.functions import text as T
+
 
 class MergeError(ValueError):
     """Two tables that should match row by row don't."""
@@ -88,6 +92,26 @@ def stratified_folds(df: DataFrame, id_col: str, target: str, k: int) -> DataFra
     return df.withColumn("fold", ((rank - 1) % k).cast("int"))
 
 
+GROUP_CANDIDATES = ("obra", "titulo", "título", "title", "work", "autor", "author", "fonte", "source")
+
+
+def select_group_column(df: DataFrame, id_col: str, preferred: str = "obra", candidates: Sequence[str] = GROUP_CANDIDATES, by_row: bool = True) -> tuple[str, str, DataFrame]:
+    """The first candidate with two usable groups at least: its name, how it was found, and the group of each id.
+
+    Nulls and blanks aren't usable; in a column that is chosen, nulls are a group of their own, 'nan'.  Without such a column
+    each id is a group, or, with by_row off, it is an error.
+    """
+    present = [c for c in dict.fromkeys([*([preferred] if preferred else []), *candidates]) if c in df.columns]
+    usable = df.agg(*(F.countDistinct(F.when(~T.is_blank(F.col(c)), T.group_value(F.col(c)))).alias(c) for c in present)).first() if present else {}
+    for c in present:
+        if usable[c] >= 2:
+            group = F.when(F.col(c).isNull(), "nan").otherwise(T.group_value(F.col(c)))
+            return c, "preferred_column" if c == preferred else "fallback_column", df.select(id_col, group.alias("group"))
+    if not by_row:
+        raise ValueError("no column has two usable groups")
+    return "__row_group__", "synthetic_row_id", df.select(id_col, F.concat(F.lit("row_"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("group"))
+
+
 def group_folds(sizes: dict[str, int], k: int) -> dict[str, int]:
     """Largest group first into the lightest fold."""
     k = min(k, len(sizes))

@@ -302,12 +302,12 @@ def labelled_documents(spark, sf):
 
 
 def scored(kind: str, name: str):
+    """Metrics of each of five folds under the model of the others."""
+
     def run(spark, sf):
         from textgauge.operators import models as M
 
-        folds = E.stratified_folds(labelled_documents(spark, sf), "id", "target", 5).cache()
-        model = M.fit(folds.where("fold > 0").drop("fold"), kind, name, max_iter=20) if name != "random_forest" else M.fit(folds.where("fold > 0").drop("fold"), kind, name, trees=10, depth=6)
-        return M.score(model, folds.where("fold = 0")).withColumn("experiment", F.lit(f"{kind}__{name}"))
+        return spark.createDataFrame(M.cross_validate(labelled_documents(spark, sf), [kind], [name], 5)).drop("fit_seconds")
 
     return run
 
@@ -318,25 +318,44 @@ query(name="m10_random_forest")(scored("linguistic_metrics", "random_forest"))
 query(name="m12_char_representation")(scored("tfidf_char", "logistic_regression"))
 
 
-@query()
-def m21_grid_search(spark, sf):
-    from textgauge.operators import models as M
+def searched(points):
+    """The search over `points` of each classifier's space, for all representations."""
 
-    found = M.search(labelled_documents(spark, sf), "linguistic_metrics", "logistic_regression", [{"c": c, "max_iter": 10} for c in (0.1, 1.0)], 2)
-    return spark.createDataFrame([(r["rank"], str(r["params"]), r["mean"], r["std"]) for r in found], "rank long, params string, mean double, std double")
+    def run(spark, sf):
+        from textgauge.operators import models as M
+
+        rows, out = labelled_documents(spark, sf).cache(), []
+        for kind in M.REPRESENTATIONS:
+            for name in M.CLASSIFIERS:
+                found = M.search(rows, kind, name, points(M, M.SEARCH_SPACES[name]), 5)
+                out += [(f"{kind}__{name}", r["rank"], str(r["params"]), r["mean"], r["std"]) for r in found]
+        rows.unpersist()
+        return spark.createDataFrame(out, "experiment string, rank long, params string, mean double, std double")
+
+    return run
+
+
+query(name="m21_grid_search")(searched(lambda M, space: M.grid(space)))
+query(name="m21_random_search")(searched(lambda M, space: M.random_points(space)))
 
 
 @query()
 def m24_cross_validation(spark, sf):
     from textgauge.operators import models as M
 
-    rows = M.cross_validate(labelled_documents(spark, sf), ["linguistic_metrics"], ["logistic_regression"], 2, max_iter=10)
+    rows = M.cross_validate(labelled_documents(spark, sf), M.REPRESENTATIONS, M.CLASSIFIERS, 5)
     return E.summary(spark.createDataFrame(rows), "experiment", ["f1_macro", "f1_weighted", "accuracy"])
 
 
+@query()
+def m27_group_column(spark, sf):
+    column, strategy, groups = E.select_group_column(documents(spark, sf), "doc_id")
+    return groups.groupBy("group").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(column).alias("column"), F.lit(strategy).alias("strategy"), "group", "rows")
+
+
 @query()
 def e12_predictions(spark, sf):
     from textgauge.operators import models as M
 
-    model = M.fit(labelled_documents(spark, sf), "linguistic_metrics", "logistic_regression", max_iter=10)
+    model = M.fit(labelled_documents(spark, sf), "linguistic_metrics", "logistic_regression")
     return M.predict(model, documents(spark, sf), "doc_id", "text").select("id", "predicted", "confidence", "warning", "preview")

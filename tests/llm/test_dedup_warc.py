@@ -39,6 +39,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_long_url_comes_back(spark, tmp_path):
+    url = "http://a/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, url, "<p>x</p>"), (2, url, "<p>x</p>"), (3, "u", "y")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.record_type) for r in warc.round_trip(pages).collect()) == [(1, "revisit"), (2, "response"), (3, "response")]
+    warc.write_warc(pages, f"file://{tmp_path}").count()
+    got = warc.read_warc(spark, f"file://{tmp_path}")
+    assert {r.page_id: r.url for r in got.collect()} == {1: url, 2: url, 3: "u"}
+
+
 def damaged(parts):
     records = [warc.record_bytes(i, "u", f"payload {i}".encode() * 20, base64.b32encode(hashlib.sha1(f"payload {i}".encode() * 20).digest()).decode(), None, False) for i in range(5)]
     return [warc.member(r) if parts == "gzip" else r for r in records]

@@ -26,6 +26,8 @@ ARCHIVE_BYTES = 4 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
+#: Bytes of headers that are looked through where records are not compressed; in a member, its own length bounds them.
+PLAIN_HEADER_MOST = 1 << 16
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -56,13 +58,13 @@ def member(record: bytes, level: int = 1) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
-    """(headers, block, end) of the record at that byte, or None if a check fails."""
+def parse_record(data: bytes, at: int, header_most: int | None = None) -> tuple[dict, bytes, int] | None:
+    """(headers, block, end) of the record at that byte, or None if a check fails or the headers are longer than header_most."""
     m = VERSION.match(data, at)
     if not m:
         return None
     stop = data.find(b"\r\n\r\n", m.end() - 2)
-    if stop < 0 or stop - at > 1 << 16:
+    if stop < 0 or header_most is not None and stop - at > header_most:
         return None
     headers = {}
     for line in data[m.end() : stop].split(b"\r\n"):
@@ -100,7 +102,7 @@ def valid_at(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
             return None
         record = parse_record(got[0], 0)
         return (record[0], record[1], got[1]) if record and record[2] == len(got[0]) else None
-    return parse_record(data, at)
+    return parse_record(data, at, PLAIN_HEADER_MOST)  # nothing else bounds the headers here
 
 
 def salvage(data: bytes) -> Iterator[tuple]:

@@ -188,3 +188,16 @@ def test_group_column(spark):
     assert strategy == "synthetic_row_id" and groups.select("group").distinct().count() == 4
     with pytest.raises(ValueError):
         evaluate.select_group_column(rows.drop("autor"), "id", by_row=False)
+
+
+def test_registered_caps_are_the_references(spark, monkeypatch):
+    from textgauge.plans import corpus_queries, registry
+
+    rows = spark.range(4000).selectExpr("id AS doc_id", "if(id % 4 = 0, 'small', 'hot') AS source", "concat('c', id % 3) AS target", "id % 5 AS bin", "md5(string(id)) AS md5")
+    monkeypatch.setattr(corpus_queries, "labelled", lambda spark, sf: rows)
+    assert registry.QUERIES["l03_caps_whole"](spark, "").groupBy("source").count().orderBy("source").collect() == [("hot", 850), ("small", 850)]
+    assert {r["count"] for r in labeling.capped(rows.where("target = 'c1'"), "source", "target", ["md5"]).groupBy("source").count().collect()} == {320}
+    assert registry.QUERIES["l06_card_whole"](spark, "").agg({"rows": "min"}).first()[0] > 500
+    windows = spark.range(2000).selectExpr("'w' AS source", "id AS doc_id", "0L AS `offset`")
+    monkeypatch.setattr(corpus_queries, "filtered", lambda spark, sf: windows)
+    assert registry.QUERIES["g04_cap_per_work_whole"](spark, "").count() == 1700

@@ -53,9 +53,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document at least once, those of sources below their target weight repeated as the schedule says."""
+    """The mix: every document at least once, those of sources below their target weight repeated and in the order that the schedule says.
+
+    Rows are written by ranges of slots, each in order, so that documents are packed together as they were scheduled.
+    """
     ship(spark)
-    return mix(docs).select(*docs.columns)
+    return mix(docs).orderBy("mix_slot", "mix_place").select(*docs.columns)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,6 +106,19 @@ def test_mix_keeps_exact_weights(spark, monkeypatch):
     assert len(rare) == 5 and {r.mix_epoch for r in rare} == {0}  # due less than a slot of a thousand
 
 
+def test_mixing_stage_keeps_the_order(spark):
+    import corpus_pipeline
+
+    rows = [(i, "big" if i % 3 else ("mid" if i % 2 else "small"), f"t{i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted((r.mix_slot, r.mix_place, r.doc_id) for r in mixing.mix(docs).collect())
+    got = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [x[2] for x in want]
+    for part in got.rdd.glom().map(lambda part: [r.doc_id for r in part]).collect():  # a task's documents are a run of the schedule
+        at = [x[2] for x in want].index(part[0]) if part else 0
+        assert len(set(part)) < len(part) or part == [x[2] for x in want[at : at + len(part)]]
+
+
 def test_permutation():
     for n in (1, 2, 3, 5, 100, 4097):
         assert sorted(token_shards.permute(np.arange(n), n).tolist()) == list(range(n))

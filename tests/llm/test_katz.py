@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from textgauge.llm.katz import DISCOUNTED, discounts, score_corpus
+from textgauge.llm import katz
+from textgauge.llm.katz import DISCOUNTED, KatzModel, discounts, score_corpus
 
 
 def tokens(text):
@@ -59,7 +60,7 @@ ROWS = [(i, " ".join(f"w{(i * j * j + j) % (3 + i % 11)}" for j in range(i % 23)
 
 def test_scores_match_brute_force(spark):
     want, p2, uni, after = brute(ROWS)
-    got = score_corpus(spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "'x' as held", "0 as chunk")).collect()
+    got = score_corpus(spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "'x' as held", "0 as chunk"), order=2).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6))
     got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
@@ -74,7 +75,7 @@ def test_split_histories(spark, monkeypatch):
 
     rows = [(i, " ".join(f"the w{(i * 37 + j) % 900}" for j in range(200))) for i in range(40)]
     want, *_ = brute(rows)
-    got = score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), order=2).collect()
     by = {r.doc_id: r for r in got}
     for w in want:
         assert math.isclose(by[w[0]].score, w[6], abs_tol=1e-6)
@@ -133,3 +134,34 @@ def test_longer_orders_match_brute_force(spark):
             assert g[:2] == w[:2] and math.isclose(g[2], w[2], abs_tol=1e-6), (order, g, w)
         for h in list(after[order])[:5] + [("w1",) * (order - 1), ("never",) * (order - 1)]:
             assert math.isclose(sum(p(h, w) for (w,) in [*grams[1], ("unknown word",)]), 1, abs_tol=1e-9)
+
+
+def test_a_stored_model_scores_other_texts(spark, tmp_path):
+    split = [(100 + i, " ".join(f"the the w{(i * 37 + j) % 900}" for j in range(100))) for i in range(40)]
+    for rows, order in ((ROWS, 2), (ROWS, 3), (split, 3)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as `kind`", "0 as bucket")
+        training = docs.where("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2")
+        katz.train(training, order=order).save(f"file://{tmp_path}/model")
+        model = KatzModel.load(spark, f"file://{tmp_path}/model")
+        got = katz.score(model, docs).collect()
+        want = score_corpus(docs, order=order).collect()
+        key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.base_score, 6))
+        assert len(got) == len(want) == len(rows)
+        for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+            assert g.doc_id == w.doc_id and g[2:5] == w[2:5] and g.held_out
+            assert math.isclose(g.base_score, w.base_score, abs_tol=1e-9) and math.isclose(g.score, w.score, abs_tol=1e-9)
+        assert katz.score(model, docs.where("false")).count() == 0
+
+
+def test_long_text_and_colliding_cuts(spark, monkeypatch):
+    rows = [(1, " ".join(f"v{i % 701}" for i in range(60_000))), (2, "v1 v2 v3"), (3, "v1 v2 v3")]
+    want, *_ = brute(rows)
+    got = {r.doc_id: r for r in score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), order=2).collect()}
+    assert all(math.isclose(got[w[0]].score, w[6], rel_tol=1e-9) and got[w[0]].n_tokens == w[2] for w in want)
+    h, w = np.array([70_000, 3, 3, 3], np.uint32), np.array([5, 9, 8, 9], np.uint64)  # 17 bits: one of w is cut off
+    order, new = katz.in_order(h, w)
+    assert [(int(h[k]), int(w[k])) for k in order] == [(3, 8), (3, 9), (3, 9), (70_000, 5)] and new.tolist() == [True, True, False, True]
+    code = np.array([5, 1, 5, 9], np.int64)
+    for most in (10, 1 << 63):
+        codes, one, at = katz.distinct(code, most)
+        assert codes.tolist() == [1, 5, 9] and at.tolist() == [1, 0, 1, 2] and code[one].tolist() == [1, 5, 9]

@@ -15,16 +15,22 @@ others).
 No token is a row.  Each task turns its documents into chunks: the distinct words' hashes, and each token as a number among
 them.  A chunk sends each bucket of the vocabulary its distinct words there with their training counts; the bucket adds up
 the counts of all chunks, stores them as its part of the model and answers each chunk in the order of its question.  The same
-goes for longer n-grams, order by order, bucketed by their history, where the question also says how often the last word
-occurs at all (from triples on, its probability after h'), so that the bucket can add up the probabilities that a(h) needs.
-Before it asks for an order, a chunk evaluates the one below from the answers that it has.  A frequent history is split over
-several buckets by the last word; the sums that a(h) needs are then added up on the driver, for at most `4 * buckets`
-histories.  Histories are told apart by 64-bit, last words by 48-bit hashes.
+goes for longer n-grams, order by order, bucketed by their history.  There the question also says how often the last word
+follows the shorter history: a word seen after h was seen after h' too, so its P(w | h') is a discounted count over c(h'),
+and the bucket can add up what a(h) needs.  Before it asks for an order, a chunk evaluates the one below from the answers
+that it has.  A frequent history is split over several buckets by the last word; its sums are added up in a home bucket,
+which the chunks ask too, so nothing of it comes to the driver.  A chunk sends a bucket one message at most, and none
+without an n-gram in it, so messages never outnumber n-grams.
+
+A stored table has the form of a question, so `score` evaluates a model on other texts by the same steps, with the tables in
+place of counts.  Histories are told apart by 64-bit, last words by 48-bit hashes.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed as P
-from .common import buckets_for, crc_mod, materialise, release
+from .common import buckets_for, crc_mod, materialise
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
@@ -40,6 +46,10 @@ DISCOUNTED = 5
 CHUNK_TOKENS = 1 << 21
 #: The buckets of an order are counted in so many parts, one after the other, so that only a part's questions are on disk.
 PARTS = 3
+#: Of longer ones, in so many.
+LONG_PARTS = 4
+#: Groups of buckets, a folder each, of a saved model.
+FOLDERS = 64
 #: From triples on there are so many times the buckets, as more of the n-grams are distinct.
 LONG_BUCKETS = 3
 END = P.U64(0x5EED0E4D5EED0E4D)
@@ -47,7 +57,8 @@ BEGIN = P.U64(0x5EED0B055EED0B05)
 LOW48 = P.U64((1 << 48) - 1)
 MESSAGE = "kind int, chunk long, bucket int, data binary"
 #: Kinds of messages.
-CHUNK, ASK_WORDS, TELL_WORDS, ASK_GRAMS, TABLE, STATS, HOT, TELL_GRAMS = range(8)  # TELL_GRAMS + n for order n
+CHUNK, ASK_WORDS, TELL_WORDS, ASK_GRAMS, TABLE, STATS, HOT, ASK_HOT = range(8)
+TELL_GRAMS, TELL_HOT = 100, 200  # and n for order n
 
 
 def message(kind: int, chunks, buckets, blocks: list[bytes]) -> pa.RecordBatch:
@@ -163,7 +174,7 @@ def ask_words(buckets: int):
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket of the vocabulary: its table, its counts of counts, and the answers to all chunks."""
+    """One bucket of the vocabulary: its table, its counts of counts, and the answers to all chunks.  A stored table counts too."""
     asked = gather(batches)
     parts = [P.unpack(x[3]) for x in asked]
     words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -174,7 +185,25 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield message(STATS, -1, bucket, [P.pack(np.r_[total.sum(), seen.sum(), np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]])])
     end = np.cumsum([len(p[0]) for p in parts])
     for x, p, e in zip(asked, parts, end):
-        yield message(TELL_WORDS, x[1], bucket, [P.pack(total[at[e - len(p[0]) : e]])])
+        if x[0] == ASK_WORDS:
+            yield message(TELL_WORDS, x[1], bucket, [P.pack(total[at[e - len(p[0]) : e]])])
+
+
+def distinct(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes, a place of each, each place's number among them), for codes below `most`."""
+    n = len(code)
+    bits = max(n - 1, 1).bit_length()
+    if most.bit_length() + bits <= 64:  # code and place in one number: a plain sort is much faster than one of places
+        x = np.sort((code.astype(P.U64) << P.U64(bits)) | np.arange(n, dtype=P.U64))
+        order, code = (x & P.U64((1 << bits) - 1)).astype(np.int64), (x >> P.U64(bits)).astype(np.int64)
+    else:
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+    new = np.ones(n, bool)
+    np.not_equal(code[1:], code[:-1], out=new[1:])
+    at = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+    at[order] = np.cumsum(new) - 1
+    return code[new], order[new], at
 
 
 class Order:
@@ -184,7 +213,6 @@ class Order:
         self.n, self.buckets = n, buckets * (LONG_BUCKETS if n > 2 else 1)
         self.hot_count = max(1024, total // (4 * self.buckets))
         self.d = np.ones(DISCOUNTED + 1)
-        self.hot: dict[int, tuple[np.ndarray, float]] = {}
 
 
 def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -202,28 +230,32 @@ class Words:
         for b, i, j in zip(bucket, first, end):
             self.count[order[i:j]] = P.unpack(told[int(b)])[0]
         self.p = unigrams.probability(self.count)
+        self.rate = np.full(len(self.key) + 1, unigrams.scale / max(unigrams.total, 1))
 
 
 class Grams:
-    """The distinct n-grams of a chunk, by bucket; `take` gives their training counts and probabilities."""
+    """The distinct n-grams of a chunk, by bucket; `take` gives their training counts and probabilities.
+
+    `rate` is, for each n-gram and for the beginning as the history of the next order, what a discounted count after that
+    history without its first word is multiplied by to be a probability.
+    """
 
     def __init__(self, chunk: Chunk, below: Words | Grams, order: Order, begins: int):
-        self.of, size = order, len(chunk.words)
+        self.of, size, self.below_rate = order, len(chunk.words), below.rate
         self.keys, self.often = np.r_[below.key, below.begin], np.r_[below.count, begins]
         self.begin = joined(below.begin, np.array([BEGIN]))
         history = np.empty(len(chunk.local), np.int64)
         history[1:] = below.at[:-1]
         history[chunk.starts] = len(below.key)  # the beginning is the history of each text's first token
-        code, one, self.at = np.unique(history * size + chunk.local, return_index=True, return_inverse=True)
-        self.train = np.bincount(self.at, weights=chunk.train, minlength=len(code)).astype(np.uint32)
-        self.history, self.second = code // size, code % size
-        self.word = chunk.words[self.second]
-        self.lower = below.p[below.at[one]]
-        self.asked = below.count[below.at[one]].astype(np.uint32) if order.n == 2 else self.lower
+        code, one, self.at = distinct(history * size + chunk.local, len(self.keys) * size)
+        del history
+        self.train = np.bincount(self.at[chunk.train], minlength=len(code)).astype(np.uint32)
+        self.history, self.word = code // size, chunk.words[code % size]
+        self.suffix = np.r_[below.at[one], len(below.key)]  # the n-gram without its first word, as a history of this order
+        self.lower, self.asked = below.p[below.at[one]], below.count[below.at[one]].astype(np.uint32)
         splits = np.maximum(1, -(-self.often[self.history] // order.hot_count)).astype(P.U64)
         sub = np.where(splits > 1, P.mix(self.word + P.U64(3)) % splits + P.U64(1), P.U64(0))
-        to = (P.mix(self.keys[self.history] + sub * P.BASE) % P.U64(order.buckets)).astype(np.int32)
-        self.order, self.bucket, self.first, self.end = by_bucket(to)
+        self.order, self.bucket, self.first, self.end = by_bucket(order_bucket(self.keys[self.history], sub, order.buckets))
 
     def runs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The n-grams of one bucket, and where a new history begins among them."""
@@ -232,7 +264,14 @@ class Grams:
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         return grams, h[first], first
 
-    def take(self, told: dict[int, bytes], unigrams: Unigrams) -> None:
+    def split(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(home bucket, histories) of the histories that are split over several buckets."""
+        hot = np.flatnonzero(self.often > self.of.hot_count)
+        order, bucket, first, end = by_bucket(order_bucket(self.keys[hot], P.U64(0), self.of.buckets))
+        for b, i, j in zip(bucket, first, end):
+            yield int(b), hot[order[i:j]]
+
+    def take(self, told: dict[int, bytes], told_hot: dict[int, bytes], unigrams: Unigrams) -> None:
         self.count = np.zeros(len(self.history), np.int64)
         d, often = self.of.d, self.often
         lost = np.arange(1, DISCOUNTED + 1) * (1 - d[1:])
@@ -241,18 +280,24 @@ class Grams:
             total, rare, m = P.unpack(told[int(bucket)])
             grams, h, _ = self.runs(a, b)
             self.count[grams], left[h], mass[h] = total, (rare.reshape(-1, DISCOUNTED) * lost).sum(1), m
-        for k in np.flatnonzero(often > self.of.hot_count):
-            if int(self.keys[k]) in self.of.hot:
-                rare, mass[k] = self.of.hot[int(self.keys[k])]
-                left[k] = (rare * lost).sum()
-        left = left / np.maximum(often, 1)
+        for bucket, h in self.split():
+            rare, m = P.unpack(told_hot[bucket])
+            left[h], mass[h] = (rare.reshape(-1, DISCOUNTED) * lost).sum(1), m
+        left, mass = left / np.maximum(often, 1), mass * self.below_rate
         none = (left <= 0) & (often > 0)  # a history without rare n-grams: one more token, one not seen after it
         scale = np.where(none, often / (often + 1), 1.0)
         left = np.where(none, 1 / (often + 1), left)
         back = np.where(often > 0, left / np.maximum(1 - mass, unigrams.unknown if self.of.n == 2 else 1e-12), 1.0)
+        per = scale / np.maximum(often, 1)
         h = self.history
-        self.p = np.where(self.count > 0, scale[h] * discounted(self.count, d) / np.maximum(often[h], 1), back[h] * self.lower)
+        self.p = np.where(self.count > 0, per[h] * discounted(self.count, d), back[h] * self.lower)
+        self.rate = per[self.suffix]
         self.key = joined(self.keys[h], self.word)
+        del self.lower, self.asked, self.train, self.order, self.suffix
+
+
+def order_bucket(history: np.ndarray, sub, buckets: int) -> np.ndarray:
+    return (P.mix(history + sub * P.BASE) % P.U64(buckets)).astype(np.int32)
 
 
 class Chunk:
@@ -274,11 +319,14 @@ class Chunk:
         for order in orders:
             self.top = Grams(self, self.top, order, begins)
             if order.n <= counted:
-                self.top.take(told(TELL_GRAMS + order.n), unigrams)
+                self.top.take(told(TELL_GRAMS + order.n), told(TELL_HOT + order.n), unigrams)
 
 
 def ask_grams(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int, part: int, parts: int):
-    """What a chunk asks those buckets of the last order whose number leaves `part` modulo `parts`."""
+    """What a chunk asks those buckets of the last order whose number leaves `part` modulo `parts`.
+
+    It asks the home buckets of split histories too, for sums over all of their buckets.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(gather(batches), buckets, unigrams, orders, begins, orders[-1].n - 1)
@@ -287,52 +335,102 @@ def ask_grams(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int
             if bucket % parts != part:
                 continue
             grams, h, first = top.runs(a, b)
-            block = P.pack(top.keys[h], np.diff(np.r_[first, len(grams)]).astype(np.uint32), (top.often[h] >= hot).astype(np.uint8) + (top.often[h] > hot), top.word[grams] & LOW48, top.asked[grams], top.train[grams])
+            number = np.diff(np.r_[first, len(grams)]).astype(np.uint32)
+            split = (top.often[h] > hot).astype(np.uint8)
+            block = P.pack(top.keys[h], number, split, top.word[grams] & LOW48, top.asked[grams], top.train[grams])
             yield message(ASK_GRAMS, chunk.id, bucket, [block])
+        for bucket, h in top.split() if part == 0 else ():
+            yield message(ASK_HOT, chunk.id, bucket, [P.pack(top.keys[h])])
 
     return ask
 
 
-def count_grams(unigrams: Unigrams, n: int):
-    """One bucket of n-grams: its table, its counts of counts, the sums of split histories, and the answers to all chunks."""
+def in_order(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by (h, w), h being small numbers and w of 48 bits, and where a new pair begins in it."""
+    bits = int(h.max()).bit_length()
+    cut = max(0, bits + 48 - 64)
+    key = (h.astype(P.U64) << P.U64(48 - cut)) | (w >> P.U64(cut))
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    if cut and (w[order[1:]] != w[order[:-1]])[~new[1:]].any():  # words that only the bits cut off tell apart
+        order = np.lexsort((w, h))
+        new = np.r_[True, (h[order[1:]] != h[order[:-1]]) | (w[order[1:]] != w[order[:-1]])]
+    return order, new
+
+
+def count_grams(n: int, d: np.ndarray, buckets: int):
+    """One bucket of n-grams: its table, its counts of counts, the sums of split histories, and the answers to all chunks.
+
+    Stored tables are taken as questions that nobody waits for.  d: the discounts of the order below.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = gather(batches)
+        for x in asked:
+            if x[0] == ASK_HOT:  # the home bucket's, on its way
+                yield message(ASK_HOT, x[1], x[2], [x[3]])
+        asked = [x for x in asked if x[0] != ASK_HOT]
+        if not asked:
+            return
         parts = [P.unpack(x[3]) for x in asked]
         bucket = asked[0][2]
-        h = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        hot = np.concatenate([np.repeat(p[2], p[1]) for p in parts]) > 1
+        number = np.concatenate([p[1] for p in parts])
+        keys, own = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        split = np.zeros(len(keys), bool)
+        split[own] = np.concatenate([p[2] for p in parts]) > 0
+        h = np.repeat(own.astype(np.uint32), number)
         w, lower, c = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
-        order = np.lexsort((w, h))
-        h, w, lower, hot = h[order], w[order], lower[order], hot[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
+        order, new = in_order(h, w)
         group = np.cumsum(new) - 1
-        total = np.bincount(group, weights=c[order]).astype(np.int64)
-        at = np.empty(len(order), np.int64)
+        total = np.add.reduceat(c[order].astype(np.int64), np.flatnonzero(new))
+        at = np.empty(len(order), np.int32)
         at[order] = group
-        h, w, lower, hot = h[new], w[new], lower[new], hot[new]
+        one = order[new]
+        del order, group, new
+        h, w, lower = h[one], w[one], lower[one]
         seen = total > 0
-        # the table: each history once, with the number of its words, then the words and counts
-        own, many = np.unique(h[seen], return_counts=True)
-        yield message(TABLE, -1, bucket, [P.pack(own, many.astype(np.uint32), w[seen], total[seen].astype(np.uint32))])
+        # the table: a question of all that was seen, each history once
+        number = np.bincount(h[seen], minlength=len(keys))
+        some = number > 0
+        yield message(TABLE, -1, bucket, [P.pack(keys[some], number[some].astype(np.uint32), split[some].astype(np.uint8), w[seen], lower[seen], total[seen].astype(np.uint32))])
         yield message(STATS, -1, bucket, [P.pack(np.r_[total.sum(), seen.sum(), np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]])])
-        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        of = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
-        # by history: numbers of n-grams seen 1 .. DISCOUNTED times, and the lower probability of all words seen after it
-        rare = np.stack([np.bincount(of, weights=total == r, minlength=len(begin)) for r in range(1, DISCOUNTED + 1)], 1).astype(np.int64)
-        mass = np.bincount(of, weights=np.where(seen, unigrams.probability(lower) if n == 2 else lower, 0.0), minlength=len(begin))
-        split = hot[begin]
-        if split.any():
-            yield message(HOT, -1, bucket, [P.pack(h[begin][split], rare[split].ravel(), mass[split])])
-        end = np.cumsum([len(p[3]) for p in parts])
-        for x, p, e in zip(asked, parts, end):
-            mine = at[e - len(p[3]) : e]
-            own = of[mine[np.cumsum(p[1]) - p[1]]]
-            yield message(TELL_GRAMS + n, x[1], bucket, [P.pack(total[mine].astype(np.uint32), rare[own].ravel().astype(np.uint32), mass[own])])
+        # by history: numbers of n-grams seen 1 .. DISCOUNTED times, and the discounted lower counts of all words seen after it
+        rare = np.stack([np.bincount(h[total == r], minlength=len(keys)) for r in range(1, DISCOUNTED + 1)], 1)
+        mass = np.bincount(h, weights=np.where(seen, discounted(lower.astype(np.int64), d), 0.0), minlength=len(keys))
+        hot = np.flatnonzero(split)
+        home = order_bucket(keys[hot], P.U64(0), buckets)
+        for b in np.unique(home):
+            k = hot[home == b]
+            yield message(HOT, -1, b, [P.pack(keys[k], rare[k].ravel(), mass[k])])
+        end, last = np.cumsum([len(p[3]) for p in parts]), np.cumsum([len(p[0]) for p in parts])
+        for x, p, e, f in zip(asked, parts, end, last):
+            if x[0] == ASK_GRAMS:
+                mine, k = at[e - len(p[3]) : e], own[f - len(p[0]) : f]
+                yield message(TELL_GRAMS + n, x[1], bucket, [P.pack(total[mine].astype(np.uint32), rare[k].ravel().astype(np.uint32), mass[k])])
 
     return count
 
 
+def sum_hot(n: int):
+    """One home bucket of split histories: its answers to all chunks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = gather(batches)
+        parts = [P.unpack(x[3]) for x in sent if x[0] == HOT]
+        if not parts:
+            return
+        keys, own = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        rare, mass = np.zeros((len(keys), DISCOUNTED), np.int64), np.bincount(own, weights=np.concatenate([p[2] for p in parts]))
+        np.add.at(rare, own, np.concatenate([p[1] for p in parts]).reshape(-1, DISCOUNTED).astype(np.int64))
+        for x in sent:
+            if x[0] == ASK_HOT:
+                k = np.searchsorted(keys, P.unpack(x[3])[0])
+                yield message(TELL_HOT + n, x[1], x[2], [P.pack(rare[k].ravel(), mass[k])])
+
+    return add
+
+
 def evaluate(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int, id_col: str):
     """The scores of a chunk's texts."""
 
@@ -361,38 +459,116 @@ def statistics(table: DataFrame) -> np.ndarray:
     return sum((P.unpack(r.data)[0] for r in table.where(F.col("kind") == STATS).select("data").toLocalIterator()), np.zeros(DISCOUNTED + 4, np.int64))
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, folds: int = 7, order: int = 2) -> DataFrame:
+class KatzModel:
+    """A trained model: numbers that all orders share, and its tables of words and n-grams, by order and bucket."""
+
+    def __init__(self, buckets: int, begins: int):
+        self.buckets, self.begins = buckets, begins
+        self.unigrams: Unigrams | None = None
+        self.orders: list[Order] = []
+        self.tables: list[DataFrame] = []
+
+    def save(self, path: str) -> None:
+        """Writes the tables below the path, partitioned by order and by `FOLDERS` groups of buckets, and the numbers beside them."""
+        spark = self.tables[0].sparkSession
+        named = (t.select(F.lit(k + 1).alias("order"), F.pmod("bucket", F.lit(FOLDERS)).alias("folder"), "bucket", "data") for k, t in enumerate(self.tables))
+        whole = reduce(DataFrame.unionByName, named)
+        whole.write.mode("overwrite").partitionBy("order", "folder").option("compression", "none").parquet(f"{path}/tables")
+        facts = {"buckets": self.buckets, "begins": self.begins, "unigrams": vars(self.unigrams) | {"d": self.unigrams.d.tolist()}, "orders": [vars(o) | {"d": o.d.tolist()} for o in self.orders]}
+        spark.createDataFrame([(json.dumps(facts, default=float),)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark, path: str) -> KatzModel:
+        facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+        model = cls(facts["buckets"], facts["begins"])
+        model.unigrams = Unigrams.__new__(Unigrams)
+        vars(model.unigrams).update(facts["unigrams"] | {"d": np.array(facts["unigrams"]["d"])})
+        for o in facts["orders"]:
+            order = Order.__new__(Order)
+            vars(order).update(o | {"d": np.array(o["d"])})
+            model.orders.append(order)
+        stored = spark.read.parquet(f"{path}/tables")
+        columns = F.lit(TABLE).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "bucket", "data"
+        model.tables = [stored.where(F.col("order") == k).select(*columns) for k in range(1, len(model.orders) + 2)]
+        return model
+
+
+def cut_up(docs: DataFrame, id_col: str, text_col: str, held) -> tuple[DataFrame, DataFrame]:
+    """The rows that matter, and the chunks."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
+    return rows, materialise(rows.mapInArrow(cut(), MESSAGE), "katz-chunks", "none")
+
+
+def answer(model: KatzModel, chunks: DataFrame, order: int, stored: bool) -> DataFrame:
+    """The chunks with the answers to all their questions, from the model's tables or, if nothing is stored, from their own counts.
+
+    What is counted becomes the model's.  Chunks ask for an order when they know all about the one below.
+    """
+    b = model.buckets
+
+    def of(kind: int, table: DataFrame) -> DataFrame:
+        return table.where(F.col("kind") == kind)
+
+    asked = chunks.mapInArrow(ask_words(b), MESSAGE)
+    asked = asked.unionByName(model.tables[0]) if stored else asked
+    words = materialise(asked.groupBy("bucket").applyInArrow(count_words, MESSAGE), "katz-words", "none")
+    if not stored:
+        total, different, *n = statistics(words)
+        model.unigrams = Unigrams(total, different, np.array(n))
+        model.tables.append(of(TABLE, words))
+    known = chunks.unionByName(of(TELL_WORDS, words))
+    for n in range(2, order + 1):
+        if not stored:
+            model.orders.append(Order(n, b, model.unigrams.total))
+        orders, grams = model.orders[: n - 1], []
+        below = model.unigrams.d if n == 2 else orders[-2].d
+        parts = PARTS if n == 2 else LONG_PARTS
+        for part in range(parts):
+            asked = known.groupBy("chunk").applyInArrow(ask_grams(b, model.unigrams, orders, model.begins, part, parts), MESSAGE)
+            if stored:
+                asked = asked.unionByName(model.tables[n - 1].where(F.col("bucket") % parts == part))
+            counted = asked.groupBy("bucket").applyInArrow(count_grams(n, below, orders[-1].buckets), MESSAGE)
+            grams.append(materialise(counted, "katz-grams", "none"))
+        counted = reduce(DataFrame.unionByName, grams)
+        if not stored:
+            orders[-1].d = model.orders[n - 2].d = discounts(statistics(counted)[2:])
+            model.tables.append(of(TABLE, counted))
+        hot = counted.where(F.col("kind").isin(HOT, ASK_HOT)).groupBy("bucket").applyInArrow(sum_hot(n), MESSAGE)
+        known = known.unionByName(of(TELL_GRAMS + n, counted)).unionByName(materialise(hot, "katz-hot", "none"))
+    return known
+
+
+def scored(model: KatzModel, known: DataFrame, id_col: str) -> DataFrame:
+    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return known.groupBy("chunk").applyInArrow(evaluate(model.buckets, model.unigrams, model.orders, model.begins, id_col), schema)
+
+
+def train_and_answer(docs: DataFrame, id_col: str, text_col: str, held, order: int) -> tuple[KatzModel, DataFrame]:
+    rows, chunks = cut_up(docs, id_col, text_col, held)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held"), 1)).alias("begins")).first()
+    model = KatzModel(buckets_for(docs.sparkSession, size.bytes or 0), size.begins)
+    return model, answer(model, chunks, order, stored=False)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> KatzModel:
+    """The model of all texts, for `score` and `KatzModel.save`."""
+    return train_and_answer(docs, id_col, text_col, F.lit(False), order)[0]
+
+
+def score(model: KatzModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `score_corpus`, under a model trained elsewhere, from its tables; held_out is true for all rows."""
+    _, chunks = cut_up(docs, id_col, text_col, F.lit(True))
+    return scored(model, answer(model, chunks, len(model.orders) + 1, stored=True), id_col)
+
+
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, folds: int = 7, order: int = 3) -> DataFrame:
     """Scores of all texts under the model, of n-grams up to `order` words, of those outside the held-out fold (crc32 of the id as text, modulo folds).
 
     Returns the id, held_out, n_tokens, n_known, train_tokens, base_score (an add-one unigram model) and score, all log10.
     A null or empty text is one token, its end.  A null id counts as an empty text for the fold.  If all texts are held out,
-    every probability is 1 and every score 0.  Repeated rows count as often as they occur.  Other columns aren't read.
+    every probability is 1 and every score 0.  Repeated rows count as often as they occur.  A text of any length is scored
+    whole.  An empty table gives an empty result.  Other columns aren't read, whatever their names.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col), folds) == held_out).alias("held"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held"), 1)).alias("begins")).first()
-    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    begins, buckets = size.begins, buckets_for(spark, size.bytes or 0)
-    chunks = materialise(rows.mapInArrow(cut(), MESSAGE), "katz-chunks", "none")
-    words = materialise(chunks.mapInArrow(ask_words(buckets), MESSAGE).groupBy("bucket").applyInArrow(count_words, MESSAGE), "katz-words")
-    total, distinct, *n = statistics(words)
-    unigrams = Unigrams(total, distinct, np.array(n))
-    known = chunks.unionByName(words.where(F.col("kind") == TELL_WORDS))
-    orders: list[Order] = []
-    for n in range(2, order + 1):
-        orders.append(Order(n, buckets, int(total)))
-        grams = None
-        for part in range(PARTS):
-            asked = known.groupBy("chunk").applyInArrow(ask_grams(buckets, unigrams, orders, begins, part, PARTS), MESSAGE)
-            counted = materialise(asked.groupBy("bucket").applyInArrow(count_grams(unigrams, n), MESSAGE), "katz-grams")
-            grams = counted if grams is None else grams.unionByName(counted)
-        orders[-1].d = discounts(statistics(grams)[2:])
-        hot = orders[-1].hot
-        for r in grams.where(F.col("kind") == HOT).select("data").toLocalIterator():
-            keys, rare, mass = P.unpack(r.data)
-            for k, x, m in zip(keys.tolist(), rare.reshape(-1, DISCOUNTED), mass):
-                have = hot.get(k, (0, 0.0))
-                hot[k] = have[0] + x, have[1] + m
-        release(spark)
-        known = known.unionByName(grams.where(F.col("kind") == TELL_GRAMS + n))
-    return known.groupBy("chunk").applyInArrow(evaluate(buckets, unigrams, orders, begins, id_col), schema)
+    held = crc_mod(F.col(id_col), folds) == held_out
+    model, known = train_and_answer(docs, id_col, text_col, held, order)
+    return scored(model, known, id_col)

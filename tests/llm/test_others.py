@@ -1,6 +1,9 @@
+import hashlib
 import itertools
 import json
+import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -59,44 +62,77 @@ def test_contaminated(spark):
     assert decontaminate.rows_per_band(30, 32) > 0 and decontaminate.rows_per_band(5, 1 << 20) == 0
 
 
+def earliest_deadlines(weights, n):
+    """n slots by the plain rule, with rational numbers: of the released blocks the one with the earliest deadline, then by name."""
+    total, had, out = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for t in range(n):
+        due = {s: (math.ceil((had[s] + 1) * total / w), s) for s, w in weights.items() if math.floor(had[s] * total / w) <= t}
+        s = min(due, key=due.get)
+        out.append((s, had[s]))
+        had[s] += 1
+    return out
+
+
+UNEVEN = {"a": 0.6004, "b": 0.2493, "c": 0.1, "d": 0.0499, "e": 0.0004}
+
+
 def test_pfair_schedule_keeps_within_one_block():
-    for weights in ({"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {str(i): 1.0 + i % 7 for i in range(30)}, {"big": 1000.0, "small": 0.001}):
-        share = mixing.shares(weights, 100)
-        slots = mixing.schedule(share)
-        length, had = len(slots), dict.fromkeys(share, 0)
+    for weights in ({"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, UNEVEN, {str(i): 1.0 + i % 7 for i in range(30)}, {"big": 1000.0, "small": 0.001}):
+        raw = {s: Fraction(w) for s, w in weights.items()}
+        had, total = dict.fromkeys(weights, 0), sum(raw.values())
+        slots = [x for x, _ in zip(mixing.slots_of(mixing.exact_weights(weights)), range(3000))]
+        assert slots == earliest_deadlines(raw, 3000)
         for t, (s, k) in enumerate(slots, 1):
             assert k == had[s]
             had[s] += 1
-            for x, a in share.items():
-                assert abs(had[x] - Fraction(a * t, length)) < 1
-    assert mixing.shares({}) == {} and mixing.schedule({}) == []
-
-
-def test_mix(spark):
-    rows = [(i, "big" if i % 3 else ("mid" if i % 2 else None), f"t{i}") for i in range(400)] + [(0, "big", "again"), (None, "mid", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "9 as mix_slot")
-    cover = mixing.mix(docs, block=4, period=50).collect()
-    assert {(r.doc_id, r.text) for r in cover} == {(i, t) for i, _, t in rows}
-    slots = {r.mix_slot: r.mix_source for r in cover}
-    assert sorted(slots) == list(range(len(slots)))  # no gap
-    assert len({(r.mix_slot, r.mix_place) for r in cover}) == len(cover)
-    share = mixing.shares({s: n**mixing.TEMPERATURE for s, n in mixing.source_counts(docs, "source").items()}, 50)
-    for t in range(1, len(slots) + 1):
-        for s, a in share.items():
-            assert abs(sum(slots[k] == s for k in range(t)) - Fraction(a * t, sum(share.values()))) < 1
-    short = mixing.mix(docs, {"big": 1, "mid": 3, "gone": 5}, block=4, horizon="shortest").collect()
-    assert {r.mix_source for r in short} == {"big", "mid"} and max(r.mix_epoch for r in short) == 0
-    assert mixing.mix(docs.where("false")).count() == 0
+            assert all(abs(had[x] - w * t / total) < 1 for x, w in raw.items())
+    assert list(mixing.slots_of({})) == []
+
+
+def brute_mix(rows, weights, block, horizon):
+    """(slot, source, block, place, epoch, id) by the plain rule; rows are (id, source)."""
+    sizes = Counter(s or "" for _, s in rows)
+    raw = {s: Fraction(w) for s, w in weights.items() if s in sizes and w > 0}
+    blocks = {s: -(-sizes[s] // block) for s in raw}
+    n, had = 0, Counter()
+    slots = earliest_deadlines(raw, sum(blocks.values()) * 40)
+    for n, (s, _) in enumerate(slots, 1):
+        had[s] += 1
+        done = [had[x] >= blocks[x] for x in raw]
+        if all(done) if horizon == "cover" else any(done):
+            break
+    return [(t, s, k % blocks[s], k // blocks[s]) for t, (s, k) in enumerate(slots[:n])], blocks, sizes
+
+
+def test_mix_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED", 32)
+    rows = [(i, "big" if i % 3 else ("mid" if i % 2 else None), f"t{i}" * (2000 if i == 7 else 1)) for i in range(400)] + [(0, "big", "again"), (0, "big", "again"), (None, "mid", "x"), (5, None, None)]
+    names = "share total offset i blocks j k row source2 id hash all bucket number slot first rank had epoch n mix_slot mix_rank mix_hash mix_bucket mix_number __row".split()
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", *(f"concat('own ', {k}) as `{x}`" for k, x in enumerate(names)))
+    cases = [({"big": 0.6004, "mid": 0.2493, "": 0.1503}, "cover"), ({"big": 1, "mid": 3, "gone": 5, "": 0}, "shortest"), (None, "cover")]
+    for weights, horizon in cases:
+        got = mixing.mix(docs, weights, block=4, horizon=horizon).collect()
+        given = {s: n**mixing.TEMPERATURE for s, n in mixing.source_counts(docs).items()} if weights is None else weights
+        want, blocks, sizes = brute_mix([(i, s) for i, s, _ in rows], given, 4, horizon)
+        assert sorted({(r.mix_slot, r.mix_source, r.mix_block, r.mix_epoch) for r in got}) == want
+        by = Counter((r.mix_slot, r.mix_source) for r in got)
+        for t, s, b, _ in want:  # each block is whole
+            assert by[t, s] == min(4, sizes[s] - 4 * b)
+        assert len({(r.mix_slot, r.mix_place) for r in got}) == len(got)
+        for r in got:  # the user's columns are as they were
+            assert all(r[x] == f"own {k}" for k, x in enumerate(names) if x != "mix_slot")
+        if horizon == "cover":
+            first = Counter((r.doc_id, r.source, r.text) for r in got if r.mix_epoch == 0)
+            assert first == Counter(rows)
+    again = [sorted(map(str, mixing.mix(docs.repartition(k), block=4).collect())) for k in (1, 5)]
+    assert again[0] == again[1]
+    empty = mixing.mix(docs.where("false"))
+    assert empty.count() == 0 and empty.columns == mixing.mix(docs).columns
 
 
 def test_mix_keeps_exact_weights(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PIECE", 500)
     weights = {"hot": 5000.0} | {f"s{i:03}": 25.0 for i in range(400)}
-    want = {s: Fraction(w) / 15000 for s, w in weights.items()}
-    had = dict.fromkeys(weights, 0)
-    for t, (s, _) in zip(range(1, 3001), mixing.slots_of(mixing.exact_weights(weights))):
-        had[s] += 1
-        assert t % 100 or all(abs(had[x] - w * t) < 1 for x, w in want.items())
     rows = [(i, "hot" if i < 1000 else f"s{i % 400:03}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     got = mixing.mix(docs, {s: 1000.0 if s == "hot" else 5.0 for s in weights}, block=1).collect()
@@ -122,11 +158,12 @@ def test_mixing_stage_keeps_the_order(spark):
 def test_permutation():
     for n in (1, 2, 3, 5, 100, 4097):
         assert sorted(token_shards.permute(np.arange(n), n).tolist()) == list(range(n))
+        assert token_shards.permute(token_shards.permute(np.arange(n), n), n, back=True).tolist() == list(range(n))
     assert token_shards.permute(np.arange(100), 100, 1).tolist() != token_shards.permute(np.arange(100), 100, 2).tolist()
 
 
 def test_encoder_is_exact():
-    e = token_shards.Encoder(token_shards.VOCABULARY, token_shards.PATTERN)
+    e = token_shards.Encoder(open(token_shards.VOCABULARY, "rb").read(), token_shards.PATTERN)
     alphabet = ["a", "Word", "don't", " ", "  ", "\n", "\n\n", "\t", " ", "　", "é", "12", "!?", "\r\n", "😀", " ", "x" * 300]
     draw = random.Random(2)
     texts = ["".join(draw.choice(alphabet) for _ in range(draw.randrange(40))) for _ in range(300)] + [None, "", " ", "\n", "a ", " a", "a\n b", "a\n\n b"]
@@ -136,6 +173,16 @@ def test_encoder_is_exact():
         assert count.tolist() == [len(w) for w in want] and tokens.tolist() == list(itertools.chain(*want))
 
 
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packed, "span_hashes", lambda raw, s, e: (e - s).astype(np.uint64))  # all pieces of a length collide
+    e = token_shards.Encoder(open(token_shards.VOCABULARY, "rb").read(), token_shards.PATTERN)
+    texts = ["one two six", "ten one", "", "abc abd", " a b"]
+    for _ in range(2):
+        tokens, count = e.encode(pa.array(texts))
+        want = [[*e.bpe.encode_ordinary(t), token_shards.END] for t in texts]
+        assert count.tolist() == [len(w) for w in want] and tokens.tolist() == list(itertools.chain(*want))
+
+
 def test_shards_round_trip(spark):
     rows = [(i, f"text number {i} " * (i % 17)) for i in range(150)] + [(None, "no id"), (5, None), (6, "long " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -147,10 +194,18 @@ def test_shards_round_trip(spark):
     assert [s for s, _ in token_shards.read_sequences(folder, facts, 13, 27)] == list(range(13, 27))
     assert any(r.slot != r.sequence for r in listed)
     stream = np.concatenate([read[r.slot][: r.n_tokens] for r in sorted(listed, key=lambda r: r.sequence)]).tolist()
-    e = token_shards.encoder(token_shards.VOCABULARY, token_shards.PATTERN)
+    e = token_shards.encoder(open(token_shards.VOCABULARY, "rb").read(), token_shards.PATTERN)
     cut = [list(g) for k, g in itertools.groupby(stream, lambda x: x == token_shards.END) if not k]
     assert sorted(e.decode(x) for x in cut) == sorted(t for _, t in rows if t)
     assert stream.count(token_shards.END) == len(rows)
+    assert [r.n_tokens for r in sorted(listed, key=lambda r: r.sequence)][:-1] == [64] * (len(listed) - 1)  # only the last is filled
+    for r in listed:
+        mine, own = r.doc_ids, [x for x in read[r.slot][: r.n_tokens]]
+        assert len(mine) - 1 <= own.count(token_shards.END) + 1 and r.byte == r.slot % 10 * 128
+        assert r.sha256 == hashlib.sha256(read[r.slot].tobytes()).hexdigest()
+    for rounds in (1, 2):  # the rounds make no difference
+        other = token_shards.write_shards(docs.selectExpr("*", "1 as slot", "2 as id", "'x' as shard"), scratch(spark, "test"), length=64, per_shard=10, rounds=rounds)
+        assert sorted(map(tuple, other.collect())) == sorted(map(tuple, listed))
     assert token_shards.write_shards(docs.where("false"), scratch(spark, "test")).count() == 0
 
 

@@ -7,10 +7,9 @@ has had more than w t - 1 and fewer than w t + 1 blocks.
 
 Releases and deadlines are exact: weights are kept as whole numbers over their total, and every slot up to the end of the mix
 is scheduled.  That takes one step for each slot on the driver, which keeps only one job of each source and hands the slots on
-in pieces of `PIECE` as a table, joined by source and block.  With a `period` given, weights are rounded to whole slots of it
-first.
-Ranks within a source come from counts by source and hash bucket, so a source with a third of all rows is ranked by as many
-tasks as its rows need.
+in pieces of `PIECE` as a table.  Ranks within a source come from counts by source and hash bucket, so a source with a third of
+all rows is ranked by as many tasks as its rows need.  The slots go to the buckets that have their blocks; so the documents
+themselves move once.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,31 +30,12 @@ from .common import materialise
 
 #: Documents a block.
 BLOCK = 16
-#: Slots of a period for `shares`; with more sources than half of this it grows to twice their number.
-PERIOD = 1000
 #: Slots that the driver holds at once.
 PIECE = 1 << 19
 #: Without weights given, a source's weight is its number of documents to this power.
 TEMPERATURE = 0.9
-#: Rows that one task ranks, about; and the most sources.
-RANKED, MOST_SOURCES = 8_192, 100_000
-
-
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period for each source with a positive weight: largest remainders, one slot at least."""
-    use = {s: w for s, w in weights.items() if w > 0}
-    if not use:
-        return {}
-    period, total = max(period, 2 * len(use)), sum(use.values())
-    exact = {s: w / total * period for s, w in use.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(use, key=lambda s: (out[s] - exact[s], s))
-    for k in range(abs(period - sum(out.values()))):
-        if sum(out.values()) < period:
-            out[order[k % len(order)]] += 1
-        else:  # the minimum of one has given too many: the largest gives one back
-            out[max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -math.inf, s))] -= 1
-    return out
+#: Rows that one task ranks, about.
+RANKED = 1_024
 
 
 def exact_weights(weights: dict[str, float]) -> dict[str, int]:
@@ -83,11 +63,6 @@ def slots_of(weights: dict[str, int]) -> Iterator[tuple[str, int]]:
         slot += 1
 
 
-def schedule(share: dict[str, int]) -> list[tuple[str, int]]:
-    """The slots of one period."""
-    return [x for x, _ in zip(slots_of(share), range(sum(share.values())))]
-
-
 def slot_pieces(weights: dict[str, int], blocks: dict[str, int], horizon: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The slots up to the end of the mix: number of the first, sources by their place in `weights`, and their blocks."""
     number, left = {s: i for i, s in enumerate(weights)}, len(weights)
@@ -104,58 +79,70 @@ def slot_pieces(weights: dict[str, int], blocks: dict[str, int], horizon: str) -
             return
 
 
-def source_counts(docs: DataFrame, source_col: str) -> dict[str, int]:
-    found = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).count().limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    return {r["s"]: r["count"] for r in found}
+def source_name(source_col: str) -> Column:
+    return F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+
+
+def source_counts(docs: DataFrame, source_col: str = "source") -> dict[str, int]:
+    """Rows by source; a row of each source comes to the driver, which schedules them."""
+    return {r["s"]: r["count"] for r in docs.groupBy(source_name(source_col).alias("s")).count().collect()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int | None = None, horizon: str = "cover") -> DataFrame:
+ADDED = ["mix_slot", "mix_source", "mix_block", "mix_place", "mix_epoch"]
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, horizon: str = "cover") -> DataFrame:
     """The documents, with all their columns, and mix_slot, mix_source, mix_block, mix_place, mix_epoch.
 
     A row that is scheduled several times comes several times.  horizon "cover" ends the mix when each source has had all its
     blocks, so no document is left out, and sources that have less than their weight begin again (mix_epoch counts from 0);
     "shortest" ends it when the first source has had all its blocks, and what the others have left is left out.  A null
     source is the source ''.  Sources without a weight, or with 0, are left out; weights of sources that don't occur are
-    ignored.  Within a source rows are ordered by a hash of the id, then the id; repeated rows are scheduled each, in any
-    order.  An empty table gives an empty mix.  Columns of the names that are added are replaced.  "cover" repeats the others as
-often as the least favoured source's weight demands, so a weight far below its size's share makes a long mix.
+    ignored.  Within a source rows are ordered by a hash of the id, then the id (a null id first), then a hash of all columns
+    that have an order; only rows equal in all of these are in any order.  An empty table gives an empty mix.  Texts of any
+    length and other columns pass through, whatever their names; those of the names that are added are replaced.  "cover"
+    repeats the others as often as the least favoured source's weight demands, so a weight far below its size's share makes a
+    long mix.
     """
     spark = docs.sparkSession
-    added = ["mix_slot", "mix_source", "mix_block", "mix_place", "mix_epoch"]
     counts = source_counts(docs, source_col)
     if weights is None:
         weights = {s: n**TEMPERATURE for s, n in counts.items()}
-    weights = {s: w for s, w in weights.items() if s in counts}
-    exact = exact_weights(weights) if period is None else shares(weights, period)
+    exact = exact_weights({s: w for s, w in weights.items() if s in counts})
     blocks = {s: -(-counts[s] // block) for s in exact}
-    total, pieces = dict.fromkeys(exact, 0), []
-    names = list(exact)
+    names, pieces = list(exact), []
     for first, sources, numbers in slot_pieces(exact, blocks, horizon):
-        for i, n in zip(*np.unique(sources, return_counts=True)):
-            total[names[i]] += int(n)
-        piece = pa.table({"mix_number": sources, "j": numbers, "mix_slot": first + np.arange(len(sources))})
-        pieces.append(materialise(spark.createDataFrame(piece, "mix_number int, j long, mix_slot long"), "mix-slots"))
-    table = reduce(DataFrame.unionByName, pieces) if pieces else spark.createDataFrame([], "mix_number int, j long, mix_slot long")
-
-    # at most MOST_SOURCES rows
-    facts = F.broadcast(spark.createDataFrame([(s, i, blocks[s], total[s]) for i, s in enumerate(names)], "mix_source string, mix_number int, blocks long, total long"))
-
+        piece = pa.table({"number": sources, "j": numbers, "slot": first + np.arange(len(sources))})
+        pieces.append(materialise(spark.createDataFrame(piece, "number int, j long, slot long"), "mix-slots"))
+    keep = [c for c in docs.columns if c not in ADDED]
+    types = dict(docs.dtypes)
+    if not pieces:
+        return docs.limit(0).select(*keep, *(F.lit(None).cast(t).alias(c) for c, t in zip(ADDED, ("long", "string", "long", "int", "long"))))
+    slots = reduce(DataFrame.unionByName, pieces)
+
+    # the row goes as one value, so that no name of its columns meets one of ours
     buckets = max(1, -(-sum(counts.values()) // RANKED))
-    rows = docs.drop(*added).withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     hashed = F.xxhash64(F.col(id_col).cast("string"))
-    rows = rows.withColumn("mix_hash", hashed).withColumn("mix_bucket", F.pmod(F.shiftrightunsigned("mix_hash", 20), F.lit(buckets)))
-    by = rows.groupBy("mix_source", "mix_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(W.unboundedPreceding, -1))
-    offsets = materialise(by.select("mix_source", "mix_bucket", F.coalesce(before, F.lit(0)).alias("offset")), "mix-offsets")
-    rank = F.row_number().over(W.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", F.col(id_col))) - 1
-    ranked = rows.withColumn("mix_rank", rank).join(offsets, ["mix_source", "mix_bucket"]).join(facts, "mix_source")
-    ranked = ranked.withColumn("mix_rank", F.col("mix_rank") + F.col("offset"))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("mix_rank") / block).cast("long")).withColumn("mix_place", (F.col("mix_rank") % block).cast("int"))
-    times = F.when(F.col("total") > F.col("mix_block"), F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1 - F.col("mix_block")) / F.col("blocks")).cast("long")))
-    out = ranked.withColumn("mix_epoch", F.explode(times))
-    j = F.col("mix_block") + F.col("mix_epoch") * F.col("blocks")
-    out = out.withColumn("j", j).join(table, ["mix_number", "j"])
-    keep = [c for c in docs.columns if c not in added]
-    return out.select(*keep, *added)
+    whole = F.xxhash64(*(F.col(c) for c in keep if not types[c].startswith(("map", "variant"))))
+    rows = docs.select(F.struct(*keep).alias("row"), source_name(source_col).alias("source"), F.col(id_col).alias("id"), hashed.alias("hash"), whole.alias("all"))
+    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("hash", 20), F.lit(buckets)))
+
+    # what the buckets of a source have before them, and the slots of their blocks by epoch
+    facts = materialise(spark.createDataFrame([(s, i, blocks[s]) for i, s in enumerate(names)], "source string, number int, blocks long"), "mix-sources")
+    by = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")).join(facts, "source")
+    before = F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    by = by.withColumn("offset", F.coalesce(before, F.lit(0))).withColumn("first", F.floor(F.col("offset") / block).cast("long"))
+    last = F.floor((F.col("offset") + F.col("n") - 1) / block).cast("long")
+    by = by.withColumn("block", F.explode(F.sequence("first", last)))
+    had = slots.join(facts.drop("source"), "number").select("number", (F.col("j") % F.col("blocks")).alias("block"), F.floor(F.col("j") / F.col("blocks")).alias("epoch"), "slot")
+    had = had.groupBy("number", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "slot"))).alias("slots"))
+    given = by.join(had, ["number", "block"], "left").groupBy("source", "bucket", "offset", "first")
+    given = materialise(given.agg(F.array_sort(F.collect_list(F.struct("block", "slots"))).alias("blocks")), "mix-buckets")
+
+    rank = F.row_number().over(W.partitionBy("source", "bucket").orderBy("hash", "id", "all")) - 1
+    ranked = rows.withColumn("rank", rank).join(given, ["source", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
+    own = F.get(F.col("blocks"), (F.col("block") - F.col("first")).cast("int"))
+    out = ranked.withColumn("had", F.explode(own["slots"]))
+    added = [F.col("had.slot"), F.col("source"), F.col("block"), (F.col("rank") % block).cast("int"), F.col("had.epoch")]
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), *(c.alias(name) for c, name in zip(added, ADDED)))

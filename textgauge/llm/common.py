@@ -19,9 +19,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine's where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine stands for it, but only if there is no other machine (a local master, as in
+    tests): executors elsewhere would each write to a disk of their own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "textgauge")
     return at.rstrip("/")
 
@@ -41,18 +47,58 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the files of shuffles that no query needs any more: it does when the driver's JVM collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
+#: Shuffle files go when the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes the frame to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing of it."""
+    """Writes the frame to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing of it.
+
+    The query's own shuffles are removed when it ends, its result needs none of them.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    release(spark)  # what the query before this one has held until its last listener was told
-    df.write.option("compression", compression).parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textgauge_path = path
+    return out
+
+
+def drop_table(table: DataFrame) -> None:
+    """Removes a table that `materialise` has written, once its last reader is done."""
+    remove(table.sparkSession, table._textgauge_path)
+
+
+#: A key with more than this share of all rows, and more than so many, is hot; so at most 1 / HOT_SHARE keys are.
+HOT_SHARE, HOT_LEAST = 1e-5, 1 << 10
+
+
+def join_back(rows: DataFrame, facts: DataFrame, key: str, size: str, columns: list[str]) -> DataFrame:
+    """The rows with the columns of that fact which has their key, or nulls; each key has one fact, and `size` rows.
+
+    `facts` is a table; it is read three times.  Facts of hot keys are broadcast, at most 1 / HOT_SHARE of them.  Their rows
+    then pass through the join of the others under keys of their own, so that no task gets all rows of a key.
+    """
+    spark = rows.sparkSession
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    least = max(HOT_LEAST, int(total * HOT_SHARE))
+    hot = facts.where(F.col(size) > least)
+    n = hot.count()
+    if n:
+        told = F.broadcast(hot.select(F.col(key), F.struct(*columns).alias("__hot")))
+        rows = rows.join(told, key, "left")
+        away = F.concat_ws(" ", F.lit("hot"), F.monotonically_increasing_id().cast("string"))
+        rows = rows.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key).cast("string")).otherwise(away))
+        facts = facts.where(F.col(size) <= least)
+        others = facts.select(F.col(key).cast("string").alias("__key"), F.struct(*columns).alias("__cold"))
+        out = rows.join(others, "__key", "left").withColumn("__fact", F.coalesce("__hot", "__cold")).drop("__key", "__hot", "__cold")
+    else:
+        out = rows.join(facts.select(key, F.struct(*columns).alias("__fact")), key, "left")
+    return out.select("*", *(F.col(f"__fact.{c}").alias(c) for c in columns)).drop("__fact")
 
 
 def ship(spark: SparkSession) -> None:

@@ -7,8 +7,8 @@ are compared and never digests alone:
 2. the folded rows meet in salted digest groups, so that the copies of one text are dealt over `salts` tasks;
 3. the salts' winners are combined into one winner a text.
 
-The winners then go back to all rows by digest.  If two different texts ever had one digest, those rows would be joined by
-digest and content instead.
+The winners then go back to all rows by digest; those of texts with very many copies are broadcast, so that no task gets all
+rows of one text.  If two different texts ever had one digest, those rows would be joined by digest and content instead.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, materialise
+from .common import SPACE_RE, join_back, materialise
 
 
 def normalised(text) -> F.Column:
@@ -29,7 +29,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal if they are after each run of white space has become one blank; null counts as empty, and an empty text
     equals other empty ones only.  Of equal texts the row with the smallest id stays; a null id stays only where no row of
     the group has one.  Repeated rows (same id, same text) count in group_size and share `kept`.  Of the other columns none
-    is read, whatever their names.  An empty table gives an empty result.
+    is read, whatever their names.  A text of any length is compared whole.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("__id"), normalised(F.col(text_col)).alias("__text"))
     rows = rows.withColumn("__sha", F.sha2(F.col("__text"), 256))
@@ -42,11 +42,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a text of its own for digests that collide; null for all others
     by_sha = winners.groupBy("__sha").agg(F.count(F.lit(1)).alias("__texts"), F.min("__keep").alias("__keep"), F.max("__n").alias("__n"))
     by_sha = materialise(by_sha, "exact-winners")
-    simple = rows.drop("__text").join(by_sha.where("__texts = 1").drop("__texts"), "__sha")
+    simple = join_back(rows.drop("__text"), by_sha.where("__texts = 1"), "__sha", "__n", ["__keep", "__n"]).where("__n is not null")
     collided = by_sha.where("__texts > 1").select("__sha")
     if not collided.isEmpty():
         both = winners.join(collided, "__sha", "left_semi")
-        simple = simple.unionByName(rows.join(both, ["__sha", "__text"]).drop("__text"))
+        simple = simple.unionByName(rows.join(both, ["__sha", "__text"]).drop("__text").select(*simple.columns))
     return simple.select(
         F.col("__id").alias(id_col),
         F.col("__keep").alias("keep_id"),

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from textgauge.llm.pii import find_pii, likelihoods
@@ -53,6 +55,8 @@ def test_base_spans_match_python(spark):
         assert [got.n_email, got.n_ip, got.n_card, got.n_phone] == [sum(x.startswith(k) for x in want) for k in ("email", "ip", "card", "phone")]
         assert set(want) <= set(got.spans.split(",")) | {""}
     assert by[11].spans.startswith("email:0:") and by[11].n_added == 1
+    assert by[7].n_added == 0  # pieces of a strict number are no candidates
+    assert by[8].n_added == 1  # its strict match runs on into the card and has too many digits
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -61,3 +65,77 @@ def test_likelihoods_trust_the_labeler_that_agrees():
     p = likelihoods(patterns)
     assert p[0] > 0.9 and p[2] > 0.9 and p[1] < 0.1 and p[3] < 0.1
     assert likelihoods([]) == []
+
+
+def plain_em(rows, rounds=400):
+    """EM over single votes, one row after the other, from the majority vote."""
+    post = [1 / (1 + math.exp(-2.0 * sum(v))) for v in rows]
+    for _ in range(rounds):
+        prior = (sum(post) + 1) / (len(rows) + 2)
+        new = []
+        tables = []
+        for j in range(len(rows[0])):
+            t = {}
+            for y in (0, 1):
+                weight = {x: 1 + sum((p if y else 1 - p) for v, p in zip(rows, post) if v[j] == x) for x in (-1, 0, 1)}
+                for x in weight:
+                    t[x, y] = weight[x] / sum(weight.values())
+            tables.append(t)
+        for v in rows:
+            yes, no = prior, 1 - prior
+            for t, x in zip(tables, v):
+                yes, no = yes * t[x, 1], no * t[x, 0]
+            new.append(yes / (yes + no))
+        post = new
+    return post
+
+
+def test_em_matches_plain_one():
+    draw = random.Random(8)
+    rows = []
+    for _ in range(300):
+        y = draw.random() < 0.4
+        rows.append(tuple(draw.choices([1, 0, -1], [r, 1, 1 - r] if y else [1 - r, 1, r])[0] for r in (0.9, 0.8, 0.7, 0.55)))
+    kinds = sorted(set(rows))
+    got = dict(zip(kinds, likelihoods([(k, float(rows.count(k))) for k in kinds], 400)))
+    assert all(math.isclose(got[v], p, abs_tol=1e-5) for v, p in zip(rows, plain_em(rows)))
+
+
+def test_obfuscated_items_are_added(spark):
+    """Planted loose items and decoys among plain ones: nine in ten of the items are added, and nine in ten of what is added are items."""
+    draw = random.Random(9)
+    prose = lambda k: " ".join("".join(draw.choice("abdeimnorstu") for _ in range(draw.randrange(2, 9))) for _ in range(k))
+    name = lambda: f"{prose(1)}.{prose(1)}"
+    area, hosts = ["212", "415", "646", "917"], ["example.com", "mail.org", "work.net"]
+    rows, planted = [], []
+    for i in range(400):
+        area_code, host = draw.choice(area), draw.choice(hosts)
+        number = f"{draw.randrange(200, 999)}-{draw.randrange(1000, 9999)}"
+        user, domain = name(), host.split(".")
+        item = [
+            ("plain", f"mail {user}@{host}"),
+            ("plain", f"call +1 ({area_code}) {number}"),
+            ("email", f"{user} (at) {domain[0]} (dot) {domain[1]}"),
+            ("email", f"{user} [at] {domain[0]} [dot] {domain[1]}"),
+            ("phone", f"({area_code}) {number}"),
+            ("phone", f"{area_code}-{number}"),
+            ("decoy", f"{draw.randrange(10, 99)}:{draw.randrange(10, 60)}:{draw.randrange(10, 60)}:{draw.randrange(10, 99)}"),
+            ("decoy", f"order {draw.choice(['00', '11'])}0-000-0000"),
+            ("decoy", f"isbn {draw.randrange(10, 99)}-{draw.randrange(100, 999)}-0000-{draw.randrange(10, 99)}"),
+        ][i % 9]
+        cue = {"email": draw.choice(["contact ", "mail "]), "phone": draw.choice(["tel ", "call "])}.get(item[0], "") if draw.random() < 0.6 else ""
+        before = f"{prose(6)} {cue}"
+        rows.append((i, f"{before}{item[1]} {prose(6)}"))
+        planted.append(f"{item[0]}:{len(before)}:{len(before) + len(item[1])}" if item[0] in ("email", "phone") else None)
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = [i for i, x in enumerate(planted) if x]
+    caught = sum(planted[i] in got[i].spans.split(",") for i in wanted)
+    added = sum(r.n_added for r in got.values())
+    assert caught >= 0.9 * len(wanted) and caught >= 0.9 * added, (caught, len(wanted), added)
+
+
+def test_long_text_and_repeated_rows(spark):
+    long = "x " * 400_000 + "a@b.co"
+    rows = [(1, long), (2, "a@b.co"), (2, "a@b.co"), (None, None)]
+    got = find_pii(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as tag", "2 as strict", "3 as entry")).collect()
+    assert sorted((str(r.doc_id), r.n_email, r.spans) for r in got) == [("1", 1, "email:800000:800006"), ("2", 1, "email:0:6"), ("2", 1, "email:0:6"), ("None", 0, "")]

@@ -1,10 +1,13 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Regular expressions find candidate spans: strict ones, which are always kept, and loose ones (obfuscated addresses, colon
-addresses, cards of 13 to 15 digits, numbers without a plus).  Five labelers vote on each: form, check digits and ranges,
-gazetteer, the words before it, and the characters around it.  Expectation-maximisation over the votes, which assumes that
-labelers err independently, estimates how reliable each is and how likely each vote pattern is personal data.  These
-likelihoods train the final classifier, a logistic model of votes and shape, which decides on the loose spans.
+addresses, cards of 13 to 15 digits, numbers without a plus).  Loose ones that overlap a strict one of their kind are no
+candidates.  Five labelers vote on each: its form once it is written plainly, check digits and ranges, a gazetteer of domains,
+networks, card issuers and area codes that the corpus's own strict spans name in two documents at least, the words before it,
+and the characters around it.  None of them looks at which pattern has found a candidate.  Expectation-maximisation over the
+votes, which assumes that labelers err independently, estimates how reliable each is and how likely each vote pattern is
+personal data.  These likelihoods train the final classifier, a logistic model of votes and shape on all candidates, which
+decides on the loose spans.
 
 Spark's functions have no positions of all matches, so a text is split at its matches: a match begins after the gaps and
 matches before it.  All regular expressions use possessive groups, which don't recurse, and begin only where a run begins, so
@@ -32,7 +35,6 @@ EMAIL_LOOSE = rf"(?i)(?<![{LOCAL}])[{LOCAL}]++[ ]?[\[({{ ](?:at|@)[\])}} ][ ]?[a
 IP_LOOSE = r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])"
 CARD_LOOSE = r"(?<![0-9+(-])(?<![0-9]\x20)[0-9]{4}[\x20-][0-9]{4,6}[\x20-][0-9]{4,5}(?![0-9-])"
 PHONE_LOOSE = r"(?<![0-9+)(-])(?:\([0-9]{2,4}\)[\x20-]?|[0-9]{2,4}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
-TLDS = ["com", "org", "net", "edu", "gov", "info", "biz", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "us", "ca", "au", "jp", "br", "pt"]
 #: Words before a span that speak for it and against it.
 FOR = {
     "email": "mail|e-mail|email|contact|kontakt|contacto|courriel|correo|write to|schreib",
@@ -91,37 +93,85 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where("match is not null or tag is null or i = 0").drop("i", "gap", "head")
 
 
-def labelled(cands: DataFrame) -> DataFrame:
-    """The candidates that pass their kind's check, or may pass as loose ones, with five votes of 1, 0 or -1."""
-    m, tag = F.col("match"), F.col("tag")
-    kind, strict = tag % 4, tag < 4
-    digits = F.regexp_replace(m, "[^0-9]", "")
+def valid_candidates(cands: DataFrame) -> DataFrame:
+    """The matches that pass their kind's check, or may pass as loose ones, but for loose ones that overlap strict ones of their kind.
+
+    `digits` are a match's digits; `plain` is an address with its signs for at and dot written plainly.
+    """
+    m, tag, digits = F.col("match"), F.col("tag"), F.col("digits")
     n = F.length(digits)
-    octets = F.split(m, r"\.")
-    small = F.forall(octets, lambda x: (F.length(F.regexp_replace(x, "^0+", "")) <= 3) & (F.coalesce(F.regexp_replace(x, "^0+", "").substr(1, 3).try_cast("int"), F.lit(0)) <= 255))
-    valid = F.when(kind == 0, F.lit(True)).when(tag == 1, small).when(tag == 2, n.between(16, 19) & luhn(digits)).when(tag == 3, n.between(8, 15)).when(tag == 6, n.between(13, 15) & luhn(digits)).otherwise(True)
-    tld = F.lower(F.regexp_extract(m, r"(?i)([a-z0-9-]+)$", 1))
-    left = F.lower(F.coalesce("tail", F.lit("")))
-    after = F.coalesce("after", F.lit(""))
+
+    def small(x: Column) -> Column:
+        short = F.regexp_replace(x, "^0+", "")
+        return (F.length(short) <= 3) & (F.coalesce(short.substr(1, 3).try_cast("int"), F.lit(0)) <= 255)
+
+    octets = F.forall(F.split(m, r"\."), small)
+    card, phone = n.between(16, 19) & luhn(digits), n.between(8, 15)
+    valid = F.when(tag == 1, octets).when(tag == 2, card).when(tag == 3, phone).when(tag == 6, n.between(13, 15) & luhn(digits)).otherwise(True)
+    at = F.regexp_replace(F.lower(m), r"[ ]?[\[({ ]at[\])} ][ ]?", "@")
+    plain = F.regexp_replace(at, r"[ ]?[\[({ ]dot[\])} ][ ]?", ".")
+    rows = cands.where("match is not null").withColumn("digits", F.regexp_replace("match", "[^0-9]", "")).where(valid)
+    rows = rows.withColumn("kind", tag % 4).withColumn("strict", tag < 4).withColumn("plain", plain)
+    place = W.partitionBy("row", "kind").orderBy("start", "stop", "tag")
+    ended = F.max(F.when(F.col("strict"), F.col("stop"))).over(place.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.min(F.when(F.col("strict"), F.col("start"))).over(place.rowsBetween(1, W.unboundedFollowing))
+    rows = rows.withColumn("ended", ended).withColumn("begins", begins)
+    inside = (F.coalesce("ended", F.lit(-1)) > F.col("start")) | (F.coalesce(F.col("begins") < F.col("stop"), F.lit(False)))
+    return rows.where(F.col("strict") | ~inside).drop("ended", "begins")
+
+
+def entry_of(kind: Column) -> Column:
+    """What a gazetteer has of a candidate: an address's domain, the first half of an ip, a card's issuer, an area code."""
+    digits, groups = F.col("digits"), F.split("match", "[.:]")
+    domain = F.regexp_extract("plain", r"([a-z0-9-]+\.[a-z0-9-]+)$", 1)
+    return (
+        F.when(kind == 0, domain)
+        .when(kind == 1, F.concat_ws(".", groups[0], F.get(groups, F.lit(1))))
+        .when(kind == 2, digits.substr(1, 4))
+        .otherwise(F.when(F.length(digits) >= 10, F.substring(digits, F.length(digits) - 9, F.lit(3))))
+    )
+
+
+def labelled(cands: DataFrame) -> DataFrame:
+    """The valid candidates with five votes of 1, 0 or -1."""
+    rows = valid_candidates(cands).withColumn("entry", entry_of(F.col("kind")))
+    named = rows.where("strict and entry <> ''").groupBy("kind", "entry").agg((F.min("row") != F.max("row")).alias("known")).where("known")
+    rows = rows.join(named, ["kind", "entry"], "left")
+    m, kind, digits, plain = (F.col(c) for c in ("match", "kind", "digits", "plain"))
+    n, colons = F.length("digits"), F.col("match").contains(":")
+    left, after = F.lower(F.coalesce("tail", F.lit(""))), F.coalesce("after", F.lit(""))
 
     def vote(yes: Column, no: Column) -> Column:
         return F.when(yes, 1).when(no, -1).otherwise(0)
 
-    speaks = F.lit(False)
-    for k, name in enumerate(KINDS):
-        speaks = F.when(kind == k, left.rlike(rf"(?<![\p{{L}}])(?:{FOR[name]})(?![\p{{L}}])")).otherwise(speaks)
-    check = (
-        F.when(kind == 0, vote(m.contains("@") | m.rlike(r"(?i)[\[({]"), F.lit(False)))
-        .when(kind == 1, vote(strict & ~m.rlike(r"^0") | (tag == 5) & m.rlike("[0-9]"), m.rlike(r"^0")))
-        .when(kind == 2, vote(luhn(digits), ~luhn(digits)))
-        .otherwise(vote(n.between(10, 13), n < 9))
+    def by_kind(*votes: Column) -> Column:
+        return F.when(kind == 0, votes[0]).when(kind == 1, votes[1]).when(kind == 2, votes[2]).otherwise(votes[3])
+
+    address = plain.rlike(r"^[a-z0-9._%+-]{1,64}@(?:[a-z0-9-]{1,63}\.){1,9}[a-z]{2,24}$")
+    octets = m.rlike(r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$")
+    grouped = m.rlike(r"^[0-9]+$|^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$|^[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}$")
+    form = by_kind(
+        vote(address, ~address),
+        F.when(colons, vote(m.rlike(r"[A-Fa-f]|::"), ~m.rlike(r"[A-Fa-f]|::|[0-9]{3}"))).otherwise(vote(octets, ~octets)),
+        vote(grouped, ~grouped),
+        vote(n.between(10, 13), (n < 9) | (n > 14)),
+    )
+    first = F.coalesce(F.split(m, r"\.")[0].try_cast("int"), F.lit(0))
+    dull = digits.rlike(r"^([0-9])\1*$") | digits.rlike("00000|12345|98765")
+    check = by_kind(
+        vote(plain.rlike("^[^@]*[a-z][^@]*@"), ~plain.rlike("^[^@]*[a-z][^@]*@")),
+        F.when(colons, F.lit(0)).otherwise(vote(first.between(1, 223), ~first.between(1, 223))),
+        vote(digits.rlike("^[3-6]"), ~digits.rlike("^[2-6]")),
+        vote(~dull & (n >= 10), dull),
     )
-    gazetteer = F.when(kind == 0, vote(tld.isin(TLDS), F.length(tld) < 2)).when(kind == 2, vote(digits.rlike("^[3-6]"), digits.rlike("^0"))).when(kind == 3, vote(m.startswith("+") | m.startswith("("), F.lit(False))).otherwise(0)
-    around = vote(~left.rlike(r"[\p{L}\p{N}_]$") & ~after.rlike(r"^[\p{L}\p{N}_]"), left.rlike(r"[\p{L}\p{N}_]$") & after.rlike(r"^[\p{L}\p{N}_]"))
-    votes = [vote(strict, F.lit(False)), check, gazetteer, vote(speaks, left.rlike(rf"(?<![\p{{L}}])(?:{AGAINST})[^\p{{L}}]{{0,3}}$")), around]
-    rows = cands.where("match is not null").where(valid)
+    gazetteer = F.when(F.col("known"), 1).otherwise(0)
+    speaks = by_kind(*(left.rlike(rf"(?<![\p{{L}}])(?:{FOR[name]})(?![\p{{L}}])") for name in KINDS))
+    context = vote(speaks, left.rlike(rf"(?<![\p{{L}}])(?:{AGAINST})[^\p{{L}}]{{0,3}}$"))
+    glued, joined = left.rlike(r"[\p{L}\p{N}_/=-]$"), after.rlike(r"^[\p{L}\p{N}_/=-]")
+    around = vote(~glued & ~joined, glued | joined)
+    votes = [form, check, gazetteer, context, around]
     shape = F.least(F.floor(n / 4), F.lit(4)).cast("int")
-    return rows.select("id", "row", kind.alias("kind"), strict.alias("strict"), "start", "stop", *(v.cast("int").alias(x) for v, x in zip(votes, LABELERS)), shape.alias("shape"))
+    return rows.select("id", "row", "kind", "strict", "start", "stop", *(v.cast("int").alias(x) for v, x in zip(votes, LABELERS)), shape.alias("shape"))
 
 
 def likelihoods(patterns: list[tuple[tuple[int, ...], float]], iterations: int = ITERATIONS) -> list[float]:
@@ -180,10 +230,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The counts and base_sha256 are of the strict spans; spans has these and the added ones, which overlap none of their kind.
     Places are code points, ends exclusive.  A null text is empty; repeated rows give repeated rows, and a null id is kept.
-    Without any candidate nothing is learned and nothing added.  Other columns aren't read.
+    Without any candidate nothing is learned and nothing added; a likelihood of just `ACCEPT` adds.  A text of any length is
+    searched whole; an empty table gives an empty result.  Other columns aren't read, whatever their names.
     """
     cands = materialise(candidates(docs, id_col, text_col), "pii-candidates")
-    spans = labelled(cands)
+    spans = materialise(labelled(cands), "pii-votes")
     keys = ["kind", *LABELERS, "shape"]
     # as many rows as there are patterns of votes and shapes at most, whatever the corpus
     patterns = [(tuple(r[k] for k in keys), float(r["count"])) for r in spans.groupBy(*keys).count().collect()]
@@ -206,8 +257,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lists = scored.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("all"))
     out = by_row.join(lists, "row", "left").withColumn("all", F.coalesce("all", F.array().cast(lists.schema["all"].dataType)))
     out = out.withColumn("base", F.filter("all", lambda s: s.strict))
-    clash = lambda s: F.exists("base", lambda b: (b.kind == s.kind) & (b.start < s.stop) & (s.start < b.stop))
-    out = out.withColumn("all", F.filter("all", lambda s: s.strict | ~clash(s)))
 
     def joined(c: str) -> Column:
         return F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s.kind + 1), s.start.cast("string"), s.stop.cast("string"))), ",")

@@ -61,7 +61,8 @@ def op8_token_shards(spark, sf_dir):
 
 def op10_cotraining(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return cotraining.score_quality(docs, cotraining.train(docs, read_table(spark, sf_dir, "labels")))
+    views = cotraining.views_of(docs)
+    return cotraining.score_quality(docs, cotraining.train(docs, read_table(spark, sf_dir, "labels"), views=views), views=views)
 
 
 def queries():

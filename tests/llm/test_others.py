@@ -3,6 +3,7 @@ import itertools
 import json
 import math
 import random
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -142,19 +143,6 @@ def test_mix_keeps_exact_weights(spark, monkeypatch):
     assert len(rare) == 5 and {r.mix_epoch for r in rare} == {0}  # due less than a slot of a thousand
 
 
-def test_mixing_stage_keeps_the_order(spark):
-    import corpus_pipeline
-
-    rows = [(i, "big" if i % 3 else ("mid" if i % 2 else "small"), f"t{i}") for i in range(900)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    want = sorted((r.mix_slot, r.mix_place, r.doc_id) for r in mixing.mix(docs).collect())
-    got = corpus_pipeline.mixing_stage(spark, docs, "")
-    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [x[2] for x in want]
-    for part in got.rdd.glom().map(lambda part: [r.doc_id for r in part]).collect():  # a task's documents are a run of the schedule
-        at = [x[2] for x in want].index(part[0]) if part else 0
-        assert len(set(part)) < len(part) or part == [x[2] for x in want[at : at + len(part)]]
-
-
 def test_permutation():
     for n in (1, 2, 3, 5, 100, 4097):
         assert sorted(token_shards.permute(np.arange(n), n).tolist()) == list(range(n))
@@ -224,20 +212,66 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.train(docs.where("false"))).collect()} == {"und"}
     kept = language_id.keep_identified(docs, language_id.train(docs))
     assert kept.columns == docs.columns and kept.where("doc_id in (500, 501, 502)").count() == 0 and kept.count() >= 200
+    found = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language_id.identify(docs.selectExpr("doc_id", "text"), language_id.train(docs)).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    assert all(found[r.doc_id, r.text][0] == r.lang and found[r.doc_id, r.text][1] >= language_id.CHANCE for r in kept.where("doc_id is not null").collect())
+    assert {r.lang for r in language_id.keep_identified(docs, language_id.train(docs), wanted=["aa"]).collect()} == {"aa"}
+
+
+def hyperdimensional(text, vectors):
+    """A text's vector, gram by gram."""
+    out = np.zeros(language_id.DIMENSIONS)
+    letters = [x if x.isalpha() else " " for x in (text or "").lower()]
+    line = " " + "".join(letters) + " "
+    while "  " in line:
+        line = line.replace("  ", " ")
+    for k in range(1, len(line) - 1):
+        if line[k] != " ":
+            codes = [0 if x == " " else int(language_id.letter_codes()[ord(x)]) for x in line[k - 1 : k + 2]]
+            out += np.roll(vectors[codes[0]], 2) * np.roll(vectors[codes[1]], 1) * vectors[codes[2]]
+    return out
 
 
-def test_cotraining(spark):
-    draw = random.Random(6)
+def test_language_matches_brute_force(spark):
+    draw = random.Random(14)
+    alphabet = {"aa": "abcde ", "bb": "efghij ", "cc": "äöüßé x"}
+    rows = [(i, "".join(draw.choice(alphabet[x]) for _ in range(draw.randrange(0, 60))), x) for i, x in enumerate(draw.choice(list(alphabet)) for _ in range(120))]
+    rows += [(900, "abc " * 20_000, "aa"), (901, "Abc, DEF! é1ß", None), (902, None, "bb"), (903, "123", "bb")]
+    vectors = language_id.letter_vectors()
+    own = [hyperdimensional(t, vectors) for _, t, _ in rows]
+    sums = {}
+    for (i, _, x), v in zip(rows, own):
+        if x and zlib.crc32(str(i).encode()) % 5:
+            sums[x] = sums.get(x, 0) + v
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    for (i, t, _), v in zip(rows, own):
+        cosines = {x: float(v @ s / max(np.linalg.norm(v) * np.linalg.norm(s), 1e-12)) for x, s in sums.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        known = any(c.isalpha() for c in t or "")
+        assert math.isclose(got[i].score, max(0, cosines[best]) if known else 0, abs_tol=1e-4), i
+        assert got[i].lang_pred == (best if known else "und") or sorted(cosines.values())[-1] - sorted(cosines.values())[-2] < 1e-4
+    assert language_id.identify(docs.where("false"), language_id.train(docs)).count() == 0
+
+
+def quality_rows(draw, n):
     rows, labels = [], []
-    for i in range(600):
+    for i in range(n):
         good = draw.random() < 0.7
         words = [draw.choice(["the", "words", "of", "prose", "and", "others"]) for _ in range(30)]
         rows.append((i, " ".join(words if good else [w + "$$$" for w in words]), "s1" if good == (draw.random() < 0.9) else "s2", "en", 100))
         if i % 2:
             labels.append((i, int(good)))
+    return rows, labels
+
+
+DOCUMENTS = "doc_id long, text string, source string, lang string, n_chars long"
+
+
+def test_cotraining(spark):
+    rows, labels = quality_rows(random.Random(6), 600)
     truth = {r[0]: "$$$" not in r[1] for r in rows}
-    rows += [(900, None, None, None, None), (901, "", "s1", "en", 0), (3, rows[3][1], "s1", "en", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").selectExpr("*", "1 as quality")
+    rows += [(900, None, None, None, None), (901, "", "s1", "en", 0), (3, rows[3][1], "s1", "en", 1), (None, "x " * 200_000, "s1", None, 4)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "1 as quality", "2 as `row`", "3 as id", "4 as meta", "5 as y", "6 as z")
     marks = spark.createDataFrame([*labels, (None, 1), (7000, 0), (5, None)], "doc_id long, quality long")
     model = cotraining.train(docs, marks)
     got = cotraining.score_quality(docs, model).collect()
@@ -247,6 +281,53 @@ def test_cotraining(spark):
     assert {r.quality for r in cotraining.score_quality(docs, cotraining.train(docs, marks.where("false"))).collect()} == {0.5}
     assert cotraining.score_quality(docs.where("false"), model).count() == 0
     assert cotraining.score_quality(docs.select("doc_id", "text"), model).count() == len(rows)
+    assert {r.quality for r in cotraining.score_quality(docs, cotraining.train(docs.where("false"), marks)).collect()} == {0.5}
+
+
+def test_cotraining_matches_brute_force(spark):
+    """The same rounds over rows in memory, all of them sorted."""
+    rows, labels = quality_rows(random.Random(7), 300)
+    rows += [(1000 + k, rows[0][1], "s1", "en", 100) for k in range(40)] + [(2000, rows[1][1], "s2", "en", 100)] * 3  # ties
+    columns = list(zip(*rows))
+    text = cotraining.text_features(pa.array(columns[1], pa.string()))
+    meta = cotraining.meta_features(pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64()))
+    views, ids, known = (text, meta), columns[0], dict(labels)
+    own = sorted((i, k) for k, i in enumerate(ids) if i in known)
+    held = [k for i, k in own if zlib.crc32(str(i).encode()) % cotraining.FOLDS == 0]
+    fit = [k for _, k in own if k not in held]
+    y = {k: float(known[i]) for i, k in own}
+    share, step = np.mean([y[k] for k in fit]), max(1, int(cotraining.GROWTH * len(fit)))
+    counts = {0: max(1, round(step * (1 - share))), 1: max(1, round(step * share))}
+    given, pool = [{}, {}], [k for k, i in enumerate(ids) if i not in known]
+
+    def learn(v):
+        ks = [*fit, *given[v]]
+        return cotraining.Logistic(views[v][ks], np.array([y[k] for k in fit] + list(given[v].values()), float), np.array([1.0] * len(fit) + [0.5] * len(given[v])))
+
+    models = [learn(0), learn(1)]
+    for _ in range(cotraining.ROUNDS):
+        for v in (0, 1):
+            z = models[v].logit(views[v])
+            free = [k for k in pool if k not in given[1 - v] and abs(z[k]) > cotraining.SURE]
+            ties = lambda k: (ids[k], text[k].tobytes(), meta[k].tobytes())
+            for label, sign in ((0, 1), (1, -1)):
+                for k in sorted((k for k in free if (z[k] > 0) == label), key=lambda k: (sign * z[k], *ties(k)))[: counts[label]]:
+                    given[1 - v][k] = label
+        models = [learn(0), learn(1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
+    model = cotraining.train(docs, spark.createDataFrame(labels, "doc_id long, quality long"))
+    assert model.pseudo == [len(g) for g in given] and min(model.pseudo) > 0
+    order = [k for _, k in own]
+    plain = cotraining.CoTrained(models, (text[order], meta[order]), np.array([y[k] for k in order]), np.array([k in held for k in order]), [0, 0])
+    want = dict(zip(ids, plain.score(text, meta)[2]))
+    for r in cotraining.score_quality(docs, model).collect():
+        assert math.isclose(r.quality, want[r.doc_id], abs_tol=1e-6)
+
+
+def test_metadata_say_nothing_of_the_text(spark):
+    a = spark.createDataFrame([(1, "one text", "s", "en", 5), (2, "others\nmore", "s", "en", 5)], DOCUMENTS)
+    got = cotraining.views_of(a).collect()
+    assert got[0].meta == got[1].meta and got[0].text != got[1].text
 
 
 @pytest.mark.parametrize("name", ["pipeline", "op1_katz_lm", "op10_cotraining"])

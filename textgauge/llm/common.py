@@ -80,24 +80,19 @@ HOT_SHARE, HOT_LEAST = 1e-5, 1 << 10
 def join_back(rows: DataFrame, facts: DataFrame, key: str, size: str, columns: list[str]) -> DataFrame:
     """The rows with the columns of that fact which has their key, or nulls; each key has one fact, and `size` rows.
 
-    `facts` is a table; it is read three times.  Facts of hot keys are broadcast, at most 1 / HOT_SHARE of them.  Their rows
-    then pass through the join of the others under keys of their own, so that no task gets all rows of a key.
+    `facts` is a table; it is read three times.  Facts of hot keys are broadcast, at most 1 / HOT_SHARE of them.  Their rows,
+    and those without a key, pass through the join of the others under keys of their own, so that no task gets all rows of a
+    key.
     """
-    spark = rows.sparkSession
     total = facts.agg(F.sum(size)).first()[0] or 0
     least = max(HOT_LEAST, int(total * HOT_SHARE))
-    hot = facts.where(F.col(size) > least)
-    n = hot.count()
-    if n:
-        told = F.broadcast(hot.select(F.col(key), F.struct(*columns).alias("__hot")))
-        rows = rows.join(told, key, "left")
-        away = F.concat_ws(" ", F.lit("hot"), F.monotonically_increasing_id().cast("string"))
-        rows = rows.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key).cast("string")).otherwise(away))
-        facts = facts.where(F.col(size) <= least)
-        others = facts.select(F.col(key).cast("string").alias("__key"), F.struct(*columns).alias("__cold"))
-        out = rows.join(others, "__key", "left").withColumn("__fact", F.coalesce("__hot", "__cold")).drop("__key", "__hot", "__cold")
-    else:
-        out = rows.join(facts.select(key, F.struct(*columns).alias("__fact")), key, "left")
+    hot, cold = facts.where(F.col(size) > least), facts.where(F.col(size) <= least)
+    told = F.broadcast(hot.select(F.col(key), F.struct(*columns).alias("__hot")))
+    rows = rows.join(told, key, "left")
+    away = F.concat_ws(" ", F.lit("hot"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("__key", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(away))
+    others = cold.select(F.col(key).cast("string").alias("__key"), F.struct(*columns).alias("__cold"))
+    out = rows.join(others, "__key", "left").withColumn("__fact", F.coalesce("__hot", "__cold")).drop("__key", "__hot", "__cold")
     return out.select("*", *(F.col(f"__fact.{c}").alias(c) for c in columns)).drop("__fact")
 
 

@@ -187,12 +187,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row for each pair of a document and a benchmark item of whose distinct shingles the document holds 80 % or more.
 
     Shingles are 5 words, A-Z lowered; an item of fewer words is one shingle, looked for as a run of words.  Null and empty
-    items match nothing, null and empty texts hold nothing.  Repeated documents or items give repeated rows.  Other columns
-    aren't read.  Without items or documents the result is empty.  Returns the id, item_id, item_shingles, shared_shingles,
+    items match nothing, null and empty texts hold nothing, texts of any length are searched whole.  Repeated documents or
+    items give repeated rows, null ids are kept, and a containment of just 80 % counts.  Other columns aren't read, whatever
+    their names.  Without items or documents the result is empty.  Returns the id, item_id, item_shingles, shared_shingles,
     containment.
     """
     spark = docs.sparkSession
-    schema = f"{id_col} long, item_id long, item_shingles long, shared_shingles long, containment double"
+    names = [id_col, "item_id", "item_shingles", "shared_shingles", "containment"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, ("long", "long", "long", "long", "double")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], schema)
     for items in item_blocks(benchmark, item_col, item_text_col, block_bytes):
@@ -204,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     text, item, shared, n = map(list, zip(*got))
                     ids = part.column("id")
                     arrays = [ids.take(pa.array(text)), pa.array([index.value.ids[i] for i in item], pa.int64()), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array(np.array(shared) / np.array(n))]
-                    yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
+                    yield pa.RecordBatch.from_arrays(arrays, names)
 
         out = out.unionByName(rows.mapInArrow(find, schema))
     return out

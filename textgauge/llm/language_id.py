@@ -21,9 +21,9 @@ DIMENSIONS = 512
 SEED = 20240607
 #: Letters are told apart by so many bits of their code point, folded; below U+1000 each is one of its own.
 LETTER_BITS = 12
-#: More languages than this are taken as a mistake in the labels.
-MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
+#: A text of no relation to a prototype reaches this cosine by chance one time in forty.
+CHANCE = 2 / DIMENSIONS**0.5
 
 
 @lru_cache(1)
@@ -79,7 +79,7 @@ def gram_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     owner[before] = np.arange(len(starts) - 1)
     owner[-1] = len(starts) - 2
     keep = np.ones(len(padded), bool)
-    keep[1:] = (padded[1:] > 0) | (padded[:-1] > 0)
+    keep[:-1] = (padded[:-1] > 0) | (padded[1:] > 0)  # of several blanks the last, which is the next text's own
     padded, owner = padded[keep], owner[keep]
     if len(padded) < 3:
         return none, none, none, has
@@ -135,7 +135,9 @@ class Profiles:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 0, folds: int = 5) -> Profiles:
     """Prototypes of all languages, from the documents outside the held-out fold whose language is known.
 
-    Each task bundles its own texts, so what moves is one vector for each task and language.
+    Each task bundles its own texts, so what moves is one vector for each task and language, and what comes to the driver one
+    for each language.  Texts of any length count whole; repeated rows count as often as they occur; null texts and texts
+    without a letter add nothing.  A null id counts as an empty text for the fold.  An empty table gives no prototype.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(F.col(id_col), folds) != held_out)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
@@ -157,9 +159,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     parts = rows.mapInArrow(bundle, "lang string, vector array<double>")
     # element-wise sums on the map side too: one row for each language and dimension
     sums = parts.select("lang", F.posexplode("vector").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
-    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).collect()
     return Profiles({r.lang: np.array([x.x for x in r.v]) for r in found})
 
 
@@ -167,7 +167,8 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     """The id, held_out, lang_pred and score (the cosine, 0 at least) of each row.
 
     A text that is null or has no letter, and any text if nothing was learned, is `und` with score 0.  Among equal cosines
-    the first language by name counts.  A null id counts as an empty text for held_out.  Other columns aren't read.
+    the first language by name counts.  A null id counts as an empty text for held_out.  A text of any length is read whole;
+    repeated rows give repeated rows, an empty table an empty result.  Other columns aren't read, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(profiles)
     rows = docs.select(F.col(id_col).alias("id"), (crc_mod(F.col(id_col), folds) == 0).alias("held_out"), F.col(text_col).alias("text"))
@@ -180,13 +181,21 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return rows.mapInArrow(predict, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", min_score: float = 0.05) -> DataFrame:
-    """The documents, with all their columns, whose language is known with at least min_score; no row moves."""
+def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", min_score: float = CHANCE, wanted: list[str] | None = None) -> DataFrame:
+    """The documents whose language is known with at least min_score and, if some are wanted, is one of them; no row moves.
+
+    The language found takes the place of what stood in lang_col, if there is such a column; all others stay.  Nulls, empty
+    and long texts, ties, repeated rows and empty tables are as in `identify`.
+    """
     model = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def keep(batches):
         for part in P.slices(batches, text_col):
             lang, score = model.value.predict(part.column(text_col))
-            yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score)], pa.bool_()))
+            if lang_col in part.schema.names:
+                at = part.schema.get_field_index(lang_col)
+                part = part.set_column(at, part.schema.field(at), pa.array(lang, pa.string()).cast(part.schema.field(at).type))
+            use = [x != UNKNOWN and s >= min_score and (wanted is None or x in wanted) for x, s in zip(lang, score)]
+            yield part.filter(pa.array(use, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

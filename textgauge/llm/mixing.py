@@ -36,6 +36,8 @@ PIECE = 1 << 19
 TEMPERATURE = 0.9
 #: Rows that one task ranks, about.
 RANKED = 1_024
+#: Slots that a partition of an ordered mix has, about, and the most partitions.
+RUN, PARTITIONS_MOST = 512, 10_000
 
 
 def exact_weights(weights: dict[str, float]) -> dict[str, int]:
@@ -91,7 +93,7 @@ def source_counts(docs: DataFrame, source_col: str = "source") -> dict[str, int]
 ADDED = ["mix_slot", "mix_source", "mix_block", "mix_place", "mix_epoch"]
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, horizon: str = "cover") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, horizon: str = "cover", in_order: bool = False) -> DataFrame:
     """The documents, with all their columns, and mix_slot, mix_source, mix_block, mix_place, mix_epoch.
 
     A row that is scheduled several times comes several times.  horizon "cover" ends the mix when each source has had all its
@@ -102,7 +104,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     that have an order; only rows equal in all of these are in any order.  An empty table gives an empty mix.  Texts of any
     length and other columns pass through, whatever their names; those of the names that are added are replaced.  "cover"
     repeats the others as often as the least favoured source's weight demands, so a weight far below its size's share makes a
-    long mix.
+    long mix.  `in_order`: each partition is a run of slots, and its rows are in their order.
     """
     spark = docs.sparkSession
     counts = source_counts(docs, source_col)
@@ -110,10 +112,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
         weights = {s: n**TEMPERATURE for s, n in counts.items()}
     exact = exact_weights({s: w for s, w in weights.items() if s in counts})
     blocks = {s: -(-counts[s] // block) for s in exact}
-    names, pieces = list(exact), []
+    names, pieces, end = list(exact), [], 0
     for first, sources, numbers in slot_pieces(exact, blocks, horizon):
         piece = pa.table({"number": sources, "j": numbers, "slot": first + np.arange(len(sources))})
         pieces.append(materialise(spark.createDataFrame(piece, "number int, j long, slot long"), "mix-slots"))
+        end = first + len(sources)
     keep = [c for c in docs.columns if c not in ADDED]
     types = dict(docs.dtypes)
     if not pieces:
@@ -144,5 +147,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
     own = F.get(F.col("blocks"), (F.col("block") - F.col("first")).cast("int"))
     out = ranked.withColumn("had", F.explode(own["slots"]))
+    if in_order:
+        run = max(RUN, -(-end // PARTITIONS_MOST))
+        out = out.repartitionById(-(-end // run), F.floor(F.col("had.slot") / run).cast("int")).sortWithinPartitions("had.slot", "rank")
     added = [F.col("had.slot"), F.col("source"), F.col("block"), (F.col("rank") % block).cast("int"), F.col("had.epoch")]
     return out.select(*(F.col("row").getField(c).alias(c) for c in keep), *(c.alias(name) for c, name in zip(added, ADDED)))

@@ -108,11 +108,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of the bytes of each span, the same wherever the span lies."""
     n = len(raw)
     if n == 0 or len(starts) == 0:
-        return np.empty(len(starts), U64)
+        return np.zeros(len(starts), U64)  # what an empty span has anywhere
     sums = np.empty(n + 1, U64)
     sums[0] = 0
     np.cumsum((raw.astype(U64) + U64(1)) * powers("p", BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers("i", BASE_INV, n)[starts]
+    h = (sums[ends] - sums[starts]) * powers("i", BASE_INV, n + 1)[starts]  # an empty span may begin at the end
     return mix(h + (ends - starts).astype(U64))
 
 

@@ -47,22 +47,21 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Shuffle files go when the query that wrote them ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its query's shuffle files go when it ends, and what is sent to Python workers at once is small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes the frame to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing of it.
-
-    The query's own shuffles are removed when it ends, its result needs none of them.
-    """
+    """Writes the frame to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing of it."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._textgauge_path = path
     return out

@@ -299,6 +299,7 @@ def scan(batches):
 
 def scan_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from scan(batches)
+    P.trim()
 
 
 def wide_parities(keys: np.ndarray, text: np.ndarray, n: np.ndarray) -> list[pa.Array]:
@@ -325,6 +326,7 @@ def could_be(batches):
         rows = zip(*(part.column(c).to_pylist() for c in ("n_a", "n_b", "wide_a", "wide_b")))
         ok = [differing(x, y) * (100 + THRESHOLD) <= (n + m) * (100 - THRESHOLD) for n, m, x, y in rows]
         yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    P.trim()
 
 
 def verify(batches):
@@ -333,6 +335,7 @@ def verify(batches):
         a, b = ([P.unpack(x)[0] for x in part.column(c).to_pylist()] for c in ("keys_a", "keys_b"))
         ok = [int(P.member_of(x, y).sum()) >= need(len(x), len(y)) for x, y in zip(a, b)]
         yield batch("u v", part.column("doc_a"), part.column("doc_b")).filter(pa.array(ok, pa.bool_()))
+    P.trim()
 
 
 def shared_enough(x: str, y: str) -> Column:
@@ -404,7 +407,7 @@ class JaccardJoin:
         told = self.spark.sparkContext.broadcast(np.flatnonzero(bits) if (few := len(found) < FILTER_BITS >> 9) else bits)
         values = self.spark.sparkContext.broadcast(bits[told.value] if few else None)
 
-        def read(batches):
+        def wanted_rows(batches):
             table = told.value
             if values.value is not None:
                 table = np.zeros(FILTER_BITS >> 6, np.int64)
@@ -412,13 +415,16 @@ class JaccardJoin:
             for whole in batches:
                 at = np.asarray(whole.column("at"))
                 use = (table[at >> 6] >> (at & 63)) & 1 > 0
-                for part in P.slices([whole.filter(pa.array(use))]):
-                    keys, text, n, sets = sets_of(part.column("text"))
-                    yield batch(f"set n {column}", sets, n, *make(keys, text, n))
+                yield whole.filter(pa.array(use))
+
+        def make_all(batches):
+            for part in P.slices(wanted_rows(batches)):
+                keys, text, n, sets = sets_of(part.column("text"))
+                yield batch(f"set n {column}", sets, n, *make(keys, text, n))
 
         rows = self.docs.where("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
         # an id that stands for several texts comes with each of them, repeated rows come again
-        return materialise(rows.mapInArrow(read, f"set long, n long, {column} binary"), name, compression)
+        return materialise(rows.mapInArrow(make_all, f"set long, n long, {column} binary"), name, compression)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Edges (u, v) between documents for those pairs (a, b) of sets that are linked."""

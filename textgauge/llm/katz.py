@@ -341,6 +341,8 @@ def ask_grams(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int
             yield message(ASK_GRAMS, chunk.id, bucket, [block])
         for bucket, h in top.split() if part == 0 else ():
             yield message(ASK_HOT, chunk.id, bucket, [P.pack(top.keys[h])])
+        del chunk, top
+        P.trim()
 
     return ask
 
@@ -450,6 +452,8 @@ def evaluate(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int,
             ],
             [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
+        del chunk
+        P.trim()
 
     return score
 

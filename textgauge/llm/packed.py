@@ -7,6 +7,7 @@ polynomial in wrap-around arithmetic.  Nothing here loops over words in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,8 +71,30 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def trim() -> None:
+    """Gives the memory that this worker has freed back to the machine: workers stay for the tasks after theirs."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the texts of each piece hold about `most` bytes; one longer text is a piece of its own."""
+    """The batches, cut so that the texts of each piece hold about `most` bytes; one longer text is a piece of its own.
+
+    When the last piece is done, the worker's free memory is given back.
+    """
+    yield from _pieces(batches, text, most)
+    _powers.clear()
+    trim()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,7 +48,8 @@ def is_blank(c: Column) -> Column:
 def strip_accents(c: Column) -> Column:
     """Without accents; marks of already decomposed text go too.  Scripts beyond Latin keep their composed letters."""
     source, target = accent_map()
-    return F.regexp_replace(F.translate(c, source, target), r"\p{Mn}+", "")
+    plain = lambda t: F.octet_length(t) == F.length(t)  # noqa: E731  nothing beyond ASCII
+    return once(c, lambda t: F.when(plain(t), t).otherwise(F.regexp_replace(F.translate(t, source, target), r"\p{Mn}+", "")))
 
 
 def extract(c: Column, pattern: str) -> Column:
@@ -60,10 +61,19 @@ def words(c: Column) -> Column:
     return extract(c, WORD)
 
 
+def once(value: Column, of) -> Column:
+    """`of(value)`, which may name the value several times: it is computed once."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _folded(tokens: Column) -> Column:
     """The tokens in lower case without accents, in one pass over their joined text."""
-    joined = strip_accents(F.lower(F.array_join(tokens, " ")))
-    return F.when(F.size(tokens) > 0, F.split(joined, " ")).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        joined = strip_accents(F.lower(F.array_join(t, " ")))
+        return F.when(F.size(t) > 0, F.split(joined, " ")).otherwise(F.array().cast("array<string>"))
+
+    return once(tokens, of)
 
 
 def normalized_words(c: Column) -> Column:
@@ -118,7 +128,7 @@ def strip_boilerplate(c: Column) -> Column:
 
 def has_editorial_noise(c: Column) -> Column:
     """Some pattern occurs in the folded text; patterns with accents never do."""
-    return strip_accents(F.lower(c)).rlike("|".join(p.replace("-", r"\-") for p in lex.EDITORIAL))
+    return once(strip_accents(F.lower(c)), lambda t: reduce(lambda a, b: a | b, (t.contains(p) for p in lex.EDITORIAL)))
 
 
 def remove_editorial_lines(c: Column) -> Column:

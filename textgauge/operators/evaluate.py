@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textgauge.functions import text as T
+from textgauge.operators.ranking import ranked
 
 
 class MergeError(ValueError):
@@ -83,13 +85,29 @@ def report(df: DataFrame, true: str = "y", predicted: str = "p") -> DataFrame:
     return classes
 
 
-def stratified_folds(df: DataFrame, id_col: str, target: str, k: int) -> DataFrame:
-    """With a fold: ranks by digest within each class, modulo k.  Raises if the smallest class has fewer than k rows."""
+def stratified_folds(df: DataFrame, id_col: str, target: str, k: int, seed: str = "") -> DataFrame:
+    """With a fold: ranks by digest of seed and id within each class, modulo k.  Raises if the smallest class has fewer than k rows."""
     smallest = df.groupBy(target).count().agg(F.min("count")).first()[0] or 0
     if k < 2 or smallest < k:
         raise ValueError(f"{k} folds need that many rows of each class; the smallest has {smallest}")
-    rank = F.row_number().over(W.partitionBy(target).orderBy(F.md5(F.col(id_col).cast("string"))))
-    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
+    name = F.col(id_col).cast("string")
+    rows = ranked(df, target, F.md5(F.concat(F.lit(seed), name)) if seed else F.md5(name), name)
+    return rows.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank", "__size")
+
+
+def repeated_folds(df: DataFrame, id_col: str, target: str, k: int, repeats: int) -> DataFrame:
+    """`stratified_folds` under `repeats` seeds: each row once for each repeat, with repeat and fold."""
+    if repeats < 1:
+        raise ValueError("one repeat is needed")
+    parts = [stratified_folds(df, id_col, target, k, str(r) if r else "").withColumn("repeat", F.lit(r)) for r in range(repeats)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def effective_splits(requested: int, groups: int) -> int:
+    """The folds that so many groups allow."""
+    if requested < 2 or groups < 2:
+        raise ValueError("two groups and two folds are needed")
+    return min(requested, groups)
 
 
 GROUP_CANDIDATES = ("obra", "titulo", "título", "title", "work", "autor", "author", "fonte", "source")
@@ -114,9 +132,7 @@ def select_group_column(df: DataFrame, id_col: str, preferred: str = "obra", can
 
 def group_folds(sizes: dict[str, int], k: int) -> dict[str, int]:
     """Largest group first into the lightest fold."""
-    k = min(k, len(sizes))
-    if k < 2:
-        raise ValueError("two groups and two folds are needed")
+    k = effective_splits(k, len(sizes))
     load, out = [0] * k, {}
     for g, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
         f = min(range(k), key=lambda i: (load[i], i))
@@ -163,3 +179,67 @@ def local_terms(weights: DataFrame, predicted: DataFrame, coefficients: DataFram
     parts = parts.withColumn("contribution", F.round(F.col("weight") * F.col("coefficient"), 8))
     rank = F.row_number().over(W.partitionBy("class", id_col).orderBy(F.desc("contribution"), "term")).cast("long")
     return parts.withColumn("term_rank", rank).where(F.col("term_rank") <= most).select("class", id_col, "position", "term_rank", "term", "contribution")
+
+
+def results_table(results: DataFrame, metric: str) -> DataFrame:
+    """Experiments, best first: by the metric, then f1_weighted, accuracy and the order in which they came; with their place."""
+    order = [F.col(metric).desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in ("f1_weighted", "accuracy") if c != metric), F.asc("position")]
+    return results.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))  # one row for each experiment
+
+
+def predictions(df: DataFrame, id_col: str, true: str, predicted: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(true).alias("target"), F.col(predicted).alias("predicted_target"), (F.col(true) == F.col(predicted)).alias("correct"))
+
+
+def prediction_distribution(df: DataFrame, predicted: str) -> DataFrame:
+    return df.groupBy(F.col(predicted).alias("predicted_target")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def experiment_bars(results: DataFrame, name: str, metric: str, most: int = 20) -> DataFrame:
+    """The best experiments for a bar chart: name, value, place."""
+    order = [F.col(metric).desc_nulls_last(), F.col(name)]
+    place = F.row_number().over(W.orderBy(*order)).cast("long")
+    return results.select(F.col(name).alias("name"), F.col(metric).alias("value"), place.alias("place")).where(F.col("place") <= most)
+
+
+def fold_bars(summarised: DataFrame, key: str, metric: str, most: int = 20) -> DataFrame:
+    """The best experiments of `summary` with their mean and spread over folds."""
+    rows = experiment_bars(summarised, key, f"{metric}_mean", most)
+    return rows.join(summarised.select(F.col(key).alias("name"), F.col(f"{metric}_std").alias("spread")), "name")
+
+
+def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    """bin, low, high, rows of values from 0 to 1, with empty bins; 1 is in the last one, nulls don't count."""
+    at = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int")
+    counts = df.where(F.col(value).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    every = df.sparkSession.createDataFrame([(k, k / bins, (k + 1) / bins) for k in range(bins)], "bin int, low double, high double")
+    return every.join(counts, "bin", "left").na.fill(0, ["rows"])
+
+
+class TestFrameError(ValueError):
+    """A test table that can't be evaluated; all faults in one message."""
+
+    __test__ = False
+
+
+def check_test_frame(df: DataFrame, id_col: str, target: str) -> int:
+    """The rows of a test table; raises TestFrameError unless it has rows, unique ids without nulls, and no blank target."""
+    if missing := [c for c in (id_col, target) if c not in df.columns]:
+        raise TestFrameError(f"missing columns: {', '.join(missing)}")
+    r = test_frame_counts(df, id_col, target).first()
+    faults = [f"{r[k]} {text}" for k, text in (("null_ids", "null ids"), ("repeated_ids", "repeated ids"), ("blank_targets", "blank targets")) if r[k]]
+    if not r["rows"]:
+        faults.append("no rows")
+    if faults:
+        raise TestFrameError("; ".join(faults))
+    return r["rows"]
+
+
+def test_frame_counts(df: DataFrame, id_col: str, target: str) -> DataFrame:
+    """Rows, null ids, ids beyond the first of each, blank targets."""
+    rows = F.count(F.lit(1))
+    blank = F.count(F.when(F.col(target).isNull() | T.is_blank(F.col(target)), 1))
+    return df.agg(rows.alias("rows"), F.count(F.when(F.col(id_col).isNull(), 1)).alias("null_ids"), (F.count(id_col) - F.countDistinct(id_col)).alias("repeated_ids"), blank.alias("blank_targets"))
+
+
+test_frame_counts.__test__ = False  # type: ignore[attr-defined]

@@ -7,18 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textgauge.functions.lexicons import LABELS
+from textgauge.operators.ranking import quantiles
+from textgauge.sources.scratch import saved
 
 
 def tertiles(df: DataFrame, bin_col: str, score: str) -> DataFrame:
     """q1 and q2 (exact, interpolated) of each bin."""
-    q = F.percentile(score, F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return df.groupBy(bin_col).agg(q.alias("q")).select(bin_col, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"))
+    q = quantiles(saved(df.select(bin_col, score), "scores"), bin_col, score, [1 / 3, 2 / 3])
+    return q.select(bin_col, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"))
 
 
 def labelled(df: DataFrame, bin_col: str, score: str) -> DataFrame:
-    """With target and the reason for it: low up to q1, medium up to q2, else high."""
+    """With target and the reason for it: low up to q1, medium up to q2, else high.  The rows are computed once, into a table."""
+    df = saved(df, "scored")
+    q = quantiles(df, bin_col, score, [1 / 3, 2 / 3]).select(bin_col, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"))
     # one row for each length bin
-    out = df.join(F.broadcast(tertiles(df, bin_col, score)), bin_col)
+    out = df.join(F.broadcast(q), bin_col)
     s = F.col(score)
     target = F.when(s <= F.col("q1"), LABELS[0]).when(s <= F.col("q2"), LABELS[1]).otherwise(LABELS[2])
     reason = F.format_string("score=%.4f; q1=%.4f; q2=%.4f", s, F.col("q1"), F.col("q2"))
@@ -41,3 +45,8 @@ def balanced(df: DataFrame, target: str, bin_col: str, order: list, bins: int =
     df = df.withColumn("__in", (F.row_number().over(W.partitionBy(target, bin_col).orderBy(*order)) <= share).cast("int"))
     df = df.withColumn("__r", F.row_number().over(W.partitionBy(target).orderBy(F.desc("__in"), *order)))
     return df.where(F.col("__r") <= F.col("per_class")).drop("__in", "__r", "per_class")
+
+
+def numbered(df: DataFrame, order: list, width: int = 6) -> DataFrame:
+    """With a sequential id in order.  For a corpus that `balanced` has bounded: one window numbers it."""
+    return df.withColumn("id", F.lpad(F.row_number().over(W.orderBy(*order)).cast("string"), width, "0"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textgauge.functions import lexicons as lex
 from textgauge.functions import text as T
+from textgauge.sources.scratch import saved
 
 PAIRS = [("train", "val"), ("train", "test"), ("val", "test")]
 
@@ -58,17 +59,18 @@ def near_duplicates(left: DataFrame, right: DataFrame, id_col: str, text_col: st
     first size - ceil(t * size) + 1 grams, so only those are joined; the sets themselves are joined to candidates.  The
     length filter is on normalised characters.
     """
-    a, b = gram_sets(left, [id_col], F.col(text_col), n), gram_sets(right, [id_col], F.col(text_col), n)
+    least = threshold - 5e-7  # similarities are rounded to six digits
+    a, b = (saved(gram_sets(x, [id_col], F.col(text_col), n), "grams") for x in (left, right))
     both = a.select("grams").unionByName(b.select("grams"))
     frequency = both.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(rows: DataFrame, side: str) -> DataFrame:
         grams = rows.select(id_col, "size", "chars", F.explode("grams").alias("gram")).join(frequency, "gram")
         place = F.row_number().over(W.partitionBy(id_col).orderBy("df", "gram"))
-        first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
+        first = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
         return grams.withColumn("place", place).where(F.col("place") <= first).select("gram", F.col(id_col).alias(f"{side}_id"), F.col("size").alias(f"{side}_size"), F.col("chars").alias(f"{side}_chars"))
 
-    sized = F.least("left_size", "right_size") >= F.lit(threshold) * F.greatest("left_size", "right_size") - 1e-9
+    sized = F.least("left_size", "right_size") >= F.lit(least) * F.greatest("left_size", "right_size") - 1e-9
     long = F.least("left_chars", "right_chars") >= F.lit(length_ratio) * F.greatest("left_chars", "right_chars")
     pairs = prefix(a, "left").join(prefix(b, "right"), "gram").where(sized & long).select("left_id", "right_id").distinct()
     pairs = pairs.join(a.select(F.col(id_col).alias("left_id"), F.col("grams").alias("x")), "left_id").join(b.select(F.col(id_col).alias("right_id"), F.col("grams").alias("y")), "right_id")
@@ -89,3 +91,69 @@ class LeakageError(RuntimeError):
 def gate(counts, fail_on_critical: bool = True) -> None:
     if fail_on_critical and counts["critical"]:
         raise LeakageError(f"{counts['critical']} critical findings")
+
+
+def finding(severity: str, check: str, message: str, **details) -> dict:
+    return {"severity": severity, "check": check, "message": message, "details": details}
+
+
+def report_of(findings: list[dict], status: str | None = None) -> dict:
+    counts = {f"{k}_findings": sum(f["severity"] == k for f in findings) for k in ("info", "warning", "critical")}
+    found = status or ("failed" if counts["critical_findings"] else "passed")
+    return {"summary": {"total_findings": sum(counts.values()), **counts, "status": found}, "findings": findings}
+
+
+def disabled() -> dict:
+    """The report of a run whose checks are switched off."""
+    report = report_of([finding("info", "leakage_checks_disabled", "the checks are switched off")], "disabled")
+    report["summary"]["total_findings"] = 0
+    return report
+
+
+def check(df: DataFrame, id_col: str, text_col: str, target_col: str, clean_col: str | None = None, threshold: float = 0.92, records: int = 1000, enabled: bool = True) -> dict:
+    """All checks between the splits of `df`, which has a column split: the report, with findings by severity.
+
+    Shared ids and equal texts are critical, equal normalised texts, near copies and columns that name the target are
+    warnings.  Near copies are all counted; the first `records` of each pair of splits are listed.  `gate` decides.
+    """
+    if not enabled:
+        return disabled()
+    out = []
+    used = {id_col, text_col, target_col, clean_col, "split"}
+    if named := target_like_columns([c for c in df.columns if c not in used], []):
+        out.append(finding("warning", "target_like_columns", f"columns that give the target away: {', '.join(named)}", columns=named))
+    checks = [("id_overlap", F.col(id_col).cast("string"), "critical"), ("exact_text_overlap", F.col(text_col), "critical"), ("normalized_text_overlap", T.leakage_form(F.col(clean_col or text_col)), "warning")]
+    for name, value, severity in checks:
+        for r in value_overlap(df, value, name).orderBy("left_split", "right_split").collect():
+            if r.shared:
+                out.append(finding(severity, name, f"{r.left_split} and {r.right_split} share {r.shared} values", left=r.left_split, right=r.right_split, shared=r.shared))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(clean_col or text_col), F.lit("")).alias("text"), "split", F.col(target_col).cast("string").alias("target"))
+    near = saved(across_splits(rows.select("id", "text", "split"), lambda a, b: near_duplicates(a, b, "id", "text", threshold)), "near-copies")
+    for left, right in PAIRS:
+        pairs = near.where((F.col("left_split") == left) & (F.col("right_split") == right))
+        if n := pairs.count():
+            listed = near_records(pairs.orderBy(F.desc("similarity"), "left_id", "right_id").limit(records), rows).collect()
+            out.append(finding("warning", "near_duplicate_texts", f"{n} near copies in {left} and {right}", left=left, right=right, pairs=n, records=[r.asDict() for r in listed]))
+    return report_of(out)
+
+
+def near_records(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs with the targets and previews of both sides; `pairs` are few."""
+    for side in ("left", "right"):
+        mine = rows.select(F.col("id").alias(f"{side}_id"), F.col("split").alias(f"{side}_split"), F.col("target").alias(f"{side}_target"), T.preview(F.col("text"), 160).alias(f"{side}_preview"))
+        pairs = pairs.join(mine, [f"{side}_id", f"{side}_split"])
+    return pairs
+
+
+FINDINGS = "severity string, check string, message string"
+
+
+def findings_frame(spark, report: dict) -> DataFrame:
+    return spark.createDataFrame([(f["severity"], f["check"], f["message"]) for f in report["findings"]], FINDINGS)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays without repeated values; of two empty ones 1, of one empty one 0."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union == 0, 1.0).otherwise(shared / union)

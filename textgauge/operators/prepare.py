@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textgauge.functions import text as T
+from textgauge.operators.ranking import ranked
 
 
 def assigned_split(id_col: Column) -> Column:
@@ -28,7 +29,7 @@ def duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def text_groups(df: DataFrame, id_col: str, text_col: str, normalised: bool = True) -> DataFrame:
-    """Groups of equal texts of more than one row: key, occurrences, the 10 smallest ids and a preview."""
+    """Groups of equal texts of more than one row: digest, occurrences, the smallest id and a preview."""
     key = F.lower(T.clean_text(F.col(text_col))) if normalised else T.coerce(F.col(text_col))
     rows = df.select(F.col(id_col).cast("string").alias("id"), key.alias("key"))
     # digests are grouped, not texts
@@ -36,6 +37,17 @@ def text_groups(df: DataFrame, id_col: str, text_col: str, normalised: bool = Tr
     return groups.where("occurrences > 1")
 
 
+def duplicate_examples(df: DataFrame, id_col: str, text_col: str, groups: int = 10, ids: int = 10, normalised: bool = True) -> DataFrame:
+    """The first groups of equal texts in the order of their previews: preview, the smallest ids, occurrences."""
+    first = text_groups(df, id_col, text_col, normalised).orderBy("preview", "digest").limit(groups)
+    key = F.lower(T.clean_text(F.col(text_col))) if normalised else T.coerce(F.col(text_col))
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.sha2(key, 256).alias("digest"))
+    place = F.row_number().over(W.partitionBy("digest").orderBy("id"))
+    members = rows.join(F.broadcast(first.select("digest")), "digest").withColumn("place", place).where(F.col("place") <= ids)  # a few rows
+    named = members.groupBy("digest").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return first.join(named, "digest").select("preview", "ids", "occurrences").orderBy("preview")
+
+
 def involved_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows that have a copy, counting all members: exact and normalised."""
     exact = text_groups(df, id_col, text_col, False).agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("exact_rows"))
@@ -86,17 +98,48 @@ def split_counts(n: int, test: float, val: float) -> tuple[int, int, int]:
     return n - t - v, v, t
 
 
-def stratified_split(df: DataFrame, id_col: str, target_col: str, test: float = 0.15, val: float = 0.15) -> DataFrame:
-    """With a `split` column: within each class rows are ranked by the digest of their id and cut by the class's counts.
-
-    Rows of one class are ranked by one window; give a class of its own to ranges of a very large one if need be.
-    """
-    order = W.partitionBy(target_col).orderBy(F.md5(F.col(id_col).cast("string")), F.col(id_col).cast("string"))
-    n = F.count(F.lit(1)).over(W.partitionBy(target_col))
+def cut(rows: DataFrame, test: float, val: float) -> DataFrame:
+    """Ranked rows with a `split`: of each group test and val from the front, as many as `split_counts` says."""
+    n = F.col("__size")
     t = F.ceil(F.round(n * test, 9))
     v = F.ceil(F.round((n - t) * (val / (1 - test)), 9))
-    rank = F.row_number().over(order)
-    return df.withColumn("split", F.when(rank <= t, "test").when(rank <= t + v, "val").otherwise("train"))
+    split = F.when(F.col("__rank") <= t, "test").when(F.col("__rank") <= t + v, "val").otherwise("train")
+    return rows.withColumn("split", split).drop("__rank", "__size")
+
+
+def stratified_split(df: DataFrame, id_col: str, target_col: str, test: float = 0.15, val: float = 0.15) -> DataFrame:
+    """With a `split` column: within each class rows are ranked by the digest of their id and cut by the class's counts."""
+    name = F.col(id_col).cast("string")
+    return cut(ranked(df, target_col, F.md5(name), name), test, val)
+
+
+def split_dataset(df: DataFrame, id_col: str, target_col: str, test: float = 0.15, val: float = 0.15) -> tuple[DataFrame, list[str]]:
+    """`stratified_split`, and warnings.  Where a class is too small to be in all three parts, one split of all rows and a warning."""
+    smallest = df.groupBy(target_col).count().agg(F.min("count")).first()[0] or 0
+    if smallest and all(x > 0 for x in split_counts(smallest, test, val)):
+        return stratified_split(df, id_col, target_col, test, val), []
+    name = F.col(id_col).cast("string")
+    rows = ranked(df.withColumn("__all", F.lit(0)), "__all", F.md5(name), name)
+    return cut(rows, test, val).drop("__all"), [f"not stratified: the smallest class has {smallest} rows"]
+
+
+def sorted_by_id(df: DataFrame, id_col: str) -> DataFrame:
+    """In the order of the ids' text."""
+    return df.orderBy(F.col(id_col).cast("string"))
+
+
+def preparation_report(df: DataFrame, split: DataFrame, id_col: str, text_col: str, target_col: str, warnings: list[str]) -> dict:
+    """Rows, classes, faults and duplicates of the corpus, and what the parts have; counts alone come to the driver."""
+    counts = null_and_blank_counts(df, [id_col, text_col, target_col]).first().asDict()
+    classes = {str(r[0]): r[1] for r in df.groupBy(target_col).count().orderBy(target_col).collect()}
+    parts = split.groupBy("split", target_col).count().collect()
+    return {
+        "rows": counts.pop("rows"), "columns": df.columns, "classes": classes, "counts": counts, "warnings": warnings,
+        "duplicates": {"ids": duplicate_ids(df, id_col).count(), **involved_rows(df, id_col, text_col).first().asDict()},
+        "examples": [r.asDict() for r in duplicate_examples(df, id_col, text_col).collect()],
+        "splits": {s: {str(r[1]): r["count"] for r in sorted(parts, key=lambda r: str(r[1])) if r.split == s} for s in ("train", "val", "test")},
+        "unseen": [list(r) for r in unseen_classes(split, target_col).orderBy("split", target_col).collect()],
+    }
 
 
 def unseen_classes(df: DataFrame, target_col: str) -> DataFrame:

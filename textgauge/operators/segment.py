@@ -41,10 +41,20 @@ def windows(df: DataFrame, key: list[str], text: str, min_words: int = 80, targe
     return df.select(*key, F.col("offset").cast("long"), F.regexp_replace(chunk, r"(?U)\s+([,.;:!?])", "$1").alias("window"))
 
 
-def plausible(text: Column, words: Column, sentences: Column, min_words: int = 80, max_words: int = 220, min_sentences: int = 2, min_alpha: float = 0.65, min_stopwords: float = 0.015) -> Column:
-    """The builder's filters, cheap ones first."""
-    n = F.size(words)
-    return n.between(min_words, max_words) & (F.size(sentences) >= min_sentences) & (T.alpha_ratio(text) >= min_alpha) & (T.stopword_ratio(words) >= min_stopwords) & ~T.has_editorial_noise(text) & (T.length_bin(n) != "out_of_range")
+def measured(df: DataFrame, text: str) -> DataFrame:
+    """With w, the normalised words, s, the sentences, alpha, the share of letters, and noise, whether it has an editor's words.
+
+    They come out of a generator: a filter on them can't be pushed below it, where each of its terms would find them anew.
+    """
+    of = lambda t: F.struct(T.normalized_words(t).alias("w"), T.sentences(t).alias("s"), T.alpha_ratio(t).alias("alpha"), T.has_editorial_noise(t).alias("noise"))
+    return df.select("*", F.inline_outer(F.transform(F.array(text), of)))
+
+
+def plausible(min_words: int = 80, max_words: int = 220, min_sentences: int = 2, min_alpha: float = 0.65, min_stopwords: float = 0.015) -> Column:
+    """The builder's filters on what `measured` adds, cheap ones first."""
+    n = F.size("w")
+    sizes = n.between(min_words, max_words) & (F.size("s") >= min_sentences) & (F.col("alpha") >= min_alpha) & ~F.col("noise")
+    return sizes & (T.length_bin(n) != "out_of_range") & (T.stopword_ratio(F.col("w")) >= min_stopwords)
 
 
 def first_per_work(df: DataFrame, work: str, order: list[str], most: int) -> DataFrame:
@@ -57,3 +67,10 @@ def first_by_hash(df: DataFrame, hash_col: str, order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c != hash_col and c not in order]
     best = df.groupBy(hash_col).agg(F.min(F.struct(*order, *rest)).alias("b"))
     return best.select(hash_col, "b.*").select(*df.columns)
+
+
+def candidates(df: DataFrame, work: str, text: str = "window", target: int = 160) -> DataFrame:
+    """id, chapter, janela_inicio and janela_fim of windows: the id names work, offset and digest."""
+    at = F.lpad(F.col("offset").cast("string"), 5, "0")
+    name = F.concat_ws("_", work, at, T.stable_hash(F.col(text)))
+    return df.select(name.alias("id"), F.concat(F.lit("janela_"), at).alias("chapter"), F.col("offset").alias("janela_inicio"), (F.col("offset") + target).alias("janela_fim"))

@@ -48,8 +48,8 @@ w4 AS (SELECT * FROM w3 WHERE len(w) BETWEEN 80 AND 220 AND len(s) >= 2 AND leng
 
 
 def filtered(spark, sf):
-    rows = windowed(spark, sf).withColumn("w", T.normalized_words(F.col("window"))).withColumn("s", T.sentences(F.col("window")))
-    return rows.where(segment.plausible(F.col("window"), F.col("w"), F.col("s")))
+    rows = segment.measured(windowed(spark, sf), "window")
+    return rows.where(segment.plausible())
 
 
 @query(f'WITH {FILTERED} SELECT doc_id, "offset", len(w)::BIGINT AS n, {S.length_bin("len(w)")} AS length_bin FROM w4')
@@ -72,8 +72,7 @@ HASHED = f"{FILTERED}, w5 AS (SELECT *, substr(sha1({S.normalize_text('t')}), 1,
 
 @query(f"""WITH {HASHED} SELECT source || '_' || lpad("offset"::VARCHAR, 5, '0') || '_' || hash AS id, 'janela_' || lpad("offset"::VARCHAR, 5, '0') AS chapter, "offset" AS janela_inicio, "offset" + 160 AS janela_fim FROM w5""")
 def g05_candidates(spark, sf):
-    at = F.lpad(F.col("offset").cast("string"), 5, "0")
-    return filtered(spark, sf).select(F.concat_ws("_", "source", at, T.stable_hash(F.col("window"))).alias("id"), F.concat(F.lit("janela_"), at).alias("chapter"), F.col("offset").alias("janela_inicio"), (F.col("offset") + 160).alias("janela_fim"))
+    return segment.candidates(filtered(spark, sf), "source")
 
 
 @query(f'WITH {HASHED} SELECT hash, doc_id, "offset" FROM w5 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id, "offset") = 1')
@@ -130,11 +129,7 @@ def l04_balance(spark, sf):
 
 @query(f"WITH {LABELLED} SELECT lpad(row_number() OVER (ORDER BY md5(doc_id::VARCHAR))::VARCHAR, 6, '0') AS id, doc_id FROM n2")
 def l05_sequential_ids(spark, sf):
-    from pyspark.sql import Window as W
-
-    # the balanced corpus is bounded by its classes' ceiling, so one window numbers it
-    rows = labeling.balanced(caps(spark, sf), "target", "bin", ORDER)
-    return rows.select(F.lpad(F.row_number().over(W.orderBy("md5")).cast("string"), 6, "0").alias("id"), "doc_id")
+    return labeling.numbered(labeling.balanced(caps(spark, sf), "target", "bin", ORDER), ORDER).select("id", "doc_id")
 
 
 @query(f"WITH {LABELLED} SELECT target, count(*) AS rows FROM n2 GROUP BY target")
@@ -254,6 +249,29 @@ def p04_involved_rows(spark, sf):
     return prepare.involved_rows(documents(spark, sf), "doc_id", "text")
 
 
+@query(f"WITH x AS (SELECT doc_id::VARCHAR AS id, lower({CLEAN}) AS key FROM documents) SELECT substr(key, 1, 120) AS preview, array_to_string(list_sort(list(id))[1:10], ',') AS ids, count(*) AS occurrences FROM x GROUP BY key HAVING count(*) > 1 ORDER BY preview, sha256(key) LIMIT 10")
+def p05_first_groups(spark, sf):
+    """The first ten groups: a report's examples."""
+    found = prepare.duplicate_examples(documents(spark, sf), "doc_id", "text")
+    return found.select("preview", F.array_join("ids", ",").alias("ids"), "occurrences")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id::VARCHAR) AS place FROM documents")
+def p10_sorted_ids(spark, sf):
+    rows = prepare.sorted_by_id(documents(spark, sf).select("doc_id"), "doc_id")
+    # places by task: each has the ids that sort before its own ahead of it
+    rows = rows.select("doc_id", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.withColumn("within", F.col("at") - F.shiftleft(F.col("task").cast("long"), 33) + 1)
+    from textgauge.sources.scratch import saved
+
+    rows = saved(rows, "sorted")
+    from pyspark.sql import Window as W
+
+    counts = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"))  # one row for each task
+    before = F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(counts.select("task", before.alias("before"))), "task").select("doc_id", (F.col("within") + F.col("before")).alias("place"))
+
+
 @query(f"WITH x AS (SELECT doc_id::VARCHAR AS id, lower({CLEAN}) AS key FROM documents) SELECT sha256(key) AS digest, count(*) AS occurrences, min(id) AS first_id, min(substr(key, 1, 120)) AS preview FROM x GROUP BY key HAVING count(*) > 1")
 def p05_duplicate_examples(spark, sf):
     return prepare.text_groups(documents(spark, sf), "doc_id", "text")
@@ -354,6 +372,25 @@ def k09_split_summary(spark, sf):
     return documents(spark, sf).groupBy(prepare.assigned_split(F.col("doc_id")).alias("split"), F.col("lang").alias("target")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+SHARED = "SELECT count(*) AS n FROM (SELECT v FROM s GROUP BY v HAVING bool_or(split = '{a}') AND bool_or(split = '{b}'))"
+K10_CHECKS = " UNION ALL ".join(
+    f"SELECT '{severity}' AS severity, '{check}' AS check, '{a} and {b} share ' || n || ' values' AS message FROM (WITH s AS (SELECT DISTINCT split, trim({value}) AS v FROM t WHERE trim({value}) <> '') {SHARED.format(a=a, b=b)}) WHERE n > 0"
+    for check, value, severity in (("id_overlap", "id", "critical"), ("exact_text_overlap", "text", "critical"))
+    for a, b in (("train", "val"), ("train", "test"), ("val", "test"))
+)
+
+
+@query(f"WITH t AS (SELECT conv_id::VARCHAR AS id, text, ['train', 'val', 'test'][turn % 3 + 1] AS split FROM conversations) {K10_CHECKS}")
+def k10_findings(spark, sf):
+    """The critical findings of the leakage run over conversations, whose ids the splits share."""
+    from textgauge.plans.registry import table
+
+    split = F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("turn") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("target"), split.alias("split"))
+    report = leakage.check(rows, "id", "text", "target")
+    return leakage.findings_frame(spark, report).where("severity = 'critical'")
+
+
 @query("WITH x AS (SELECT CASE WHEN quality = 0 THEN 'critical' ELSE 'warning' END AS severity FROM labels) SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) AS findings, count(*) FILTER (WHERE severity = 'critical') > 0 AS failed FROM x")
 def k07_severity_summary(spark, sf):
     from textgauge.plans.registry import table

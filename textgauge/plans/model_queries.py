@@ -13,6 +13,7 @@ from textgauge.operators import vectorize as V
 from textgauge.plans import sql as S
 from textgauge.plans.corpus_queries import GRAMS, SPLIT_NAMES, TURN_SPLIT, split_documents, split_turns  # noqa: F401
 from textgauge.plans.registry import documents, query, table
+from textgauge.sources.scratch import saved
 
 #: A prediction that SQL can make too: the true language, or English for ids whose digest begins below 4.
 PREDICTED = "pr AS (SELECT doc_id, source, lang AS y, CASE WHEN md5(doc_id::VARCHAR) < '4' THEN 'en' ELSE lang END AS p FROM documents)"
@@ -45,8 +46,9 @@ w0 AS (SELECT doc_id, term, tf * idf AS w FROM c1 JOIN v1 USING (term)), w1 AS (
 
 def tfidf(spark, sf, terms, most):
     d = documents(spark, sf)
-    counts = V.term_counts(d, "doc_id", terms(F.col("text")))
-    return V.tfidf(counts, V.vocabulary(counts, d.count(), most), "doc_id")
+    counts = saved(V.term_counts(d, "doc_id", terms(F.col("text"))), "term-counts")
+    vocab = V.vocabulary(counts, d.count(), most)
+    return V.tfidf(counts, F.broadcast(vocab) if most else vocab, "doc_id")  # `most` rows
 
 
 _W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
@@ -177,6 +179,11 @@ def m17_best_experiment(spark, sf):
     return E.best(experiments(spark, sf), "f1_macro")
 
 
+@query(f"WITH {BY_SOURCE} SELECT experiment, f1_macro, row_number() OVER (ORDER BY f1_macro DESC, f1_weighted DESC, accuracy DESC, position) AS place FROM ex")
+def m18_results_table(spark, sf):
+    return E.results_table(experiments(spark, sf), "f1_macro").select("experiment", "f1_macro", "place")
+
+
 @query(f"WITH {BY_SOURCE} SELECT experiment, f1_macro, rank() OVER (ORDER BY f1_macro DESC) AS rank FROM ex")
 def m22_ranked_results(spark, sf):
     from pyspark.sql import Window as W
@@ -192,6 +199,20 @@ def m23_stratified_folds(spark, sf):
     return E.stratified_folds(documents(spark, sf).select("doc_id", "lang"), "doc_id", "lang", 5).select("doc_id", "fold")
 
 
+REPEATED = " UNION ALL ".join(f"SELECT doc_id, {r} AS repeat, ((row_number() OVER (PARTITION BY lang ORDER BY md5({s!r} || doc_id::VARCHAR)) - 1) % 5)::INTEGER AS fold FROM documents" for r, s in enumerate(("", "1", "2")))
+
+
+@query(REPEATED)
+def m23_repeated_folds(spark, sf):
+    return E.repeated_folds(documents(spark, sf).select("doc_id", "lang"), "doc_id", "lang", 5, 3).select("doc_id", "repeat", "fold")
+
+
+@query("SELECT least(5, count(DISTINCT source)) AS folds FROM documents")
+def m28_effective_splits(spark, sf):
+    groups = documents(spark, sf).agg(F.countDistinct("source")).first()[0]
+    return spark.createDataFrame([(E.effective_splits(5, groups),)], "folds long")
+
+
 @query(f"WITH {PREDICTED}, {FOLDS}, r AS (SELECT source AS experiment, fold, avg((y = p)::INT) AS accuracy FROM pr JOIN fo USING (doc_id) GROUP BY ALL), g AS (SELECT experiment, count(*) AS folds, round_even(avg(accuracy), 6) AS accuracy_mean, round_even(stddev_pop(accuracy), 6) AS accuracy_std, min(accuracy) AS accuracy_min, max(accuracy) AS accuracy_max FROM r GROUP BY experiment) SELECT *, row_number() OVER (ORDER BY accuracy_mean DESC, experiment) AS rank FROM g")
 def m25_cv_summary(spark, sf):
     folds = E.stratified_folds(documents(spark, sf).select("doc_id", "lang"), "doc_id", "lang", 5).select("doc_id", "fold")
@@ -232,17 +253,30 @@ def m30_group_metrics(spark, sf):
 
 @query("SELECT count(*) AS rows, count(*) FILTER (WHERE doc_id IS NULL) AS null_ids, count(*) - count(DISTINCT doc_id) AS repeated_ids, count(*) FILTER (WHERE trim(coalesce(lang, '')) = '') AS blank_targets FROM documents")
 def e02_test_frame(spark, sf):
-    return documents(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("null_ids"), (F.count(F.lit(1)) - F.countDistinct("doc_id")).alias("repeated_ids"), F.count(F.when(T.is_blank(F.col("lang")), 1)).alias("blank_targets"))
+    return E.test_frame_counts(documents(spark, sf), "doc_id", "lang")
 
 
 @query(f"WITH {PREDICTED} SELECT doc_id AS id, y AS target, p AS predicted_target, y = p AS correct FROM pr")
 def e03_predictions(spark, sf):
-    return predicted(spark, sf).select(F.col("doc_id").alias("id"), F.col("y").alias("target"), F.col("p").alias("predicted_target"), (F.col("y") == F.col("p")).alias("correct"))
+    return E.predictions(predicted(spark, sf), "doc_id", "y", "p")
 
 
 @query(f"WITH {PREDICTED} SELECT p AS predicted_target, count(*) AS rows FROM pr GROUP BY p")
 def e04_prediction_distribution(spark, sf):
-    return predicted(spark, sf).groupBy(F.col("p").alias("predicted_target")).agg(F.count(F.lit(1)).alias("rows"))
+    return E.prediction_distribution(predicted(spark, sf), "p")
+
+
+@query(f"WITH {BY_SOURCE} SELECT experiment AS name, f1_macro AS value, row_number() OVER (ORDER BY f1_macro DESC, experiment) AS place FROM ex QUALIFY place <= 20")
+def e06_experiment_bars(spark, sf):
+    return E.experiment_bars(experiments(spark, sf), "experiment", "f1_macro")
+
+
+@query("""WITH x AS (SELECT least(greatest(n_chars / 40000.0, 0), 1) AS c FROM documents), b AS (SELECT least(floor(c * 10), 9)::INTEGER AS bin, count(*) AS n FROM x GROUP BY 1)
+SELECT k::INTEGER AS bin, k / 10.0::DOUBLE AS low, (k + 1) / 10.0::DOUBLE AS high, coalesce(n, 0) AS rows FROM range(10) r(k) LEFT JOIN b ON b.bin = k""")
+def e06_histogram(spark, sf):
+    """The histogram of a value from 0 to 1 that SQL can make too: the documents' lengths as shares of 40,000 characters."""
+    share = F.least(F.greatest(F.col("n_chars") / 40000.0, F.lit(0.0)), F.lit(1.0))
+    return E.histogram(documents(spark, sf).select(share.alias("c")), "c")
 
 
 @query("SELECT lang, quantile_cont(n_chars::DOUBLE, 0.25) AS q1, quantile_cont(n_chars::DOUBLE, 0.5) AS median, quantile_cont(n_chars::DOUBLE, 0.75) AS q3, min(n_chars) AS low, max(n_chars) AS high FROM documents GROUP BY lang")
@@ -347,6 +381,16 @@ def m24_cross_validation(spark, sf):
     return E.summary(spark.createDataFrame(rows), "experiment", ["f1_macro", "f1_weighted", "accuracy"])
 
 
+@query()
+def m31_group_estimators(spark, sf):
+    """Sources in no more than one of five folds, word vectors and a linear SVM."""
+    from textgauge.operators import models as M
+
+    _, _, groups = E.select_group_column(documents(spark, sf), "doc_id")
+    found = M.group_cross_validate(labelled_documents(spark, sf), groups.withColumnRenamed("doc_id", "id"), "svm", 5, max_iter=100)
+    return spark.createDataFrame(found).drop("fit_seconds")
+
+
 @query()
 def m27_group_column(spark, sf):
     column, strategy, groups = E.select_group_column(documents(spark, sf), "doc_id")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import platform
+import subprocess
 import sys
+import time
 from dataclasses import asdict, dataclass, field, fields
 from datetime import datetime, timezone
+from importlib import metadata
 from pathlib import Path
 
 
@@ -91,6 +95,71 @@ def fingerprint(path: str) -> dict:
     return {"path": p.as_posix(), "exists": True, "sha256": digest.hexdigest(), "size_bytes": stat.st_size, "modified": datetime.fromtimestamp(stat.st_mtime, timezone.utc).isoformat()}
 
 
+PACKAGES = ("pyspark", "pyarrow", "pandas", "numpy")
+
+
+def environment(folder: str = ".") -> dict:
+    """Python, platform, the versions of packages and the commit of the folder; what can't be found out is None."""
+
+    def git(*words: str) -> str | None:
+        try:
+            return subprocess.run(["git", "-C", folder, *words], capture_output=True, text=True, timeout=10, check=True).stdout.strip()
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    def version(name: str) -> str | None:
+        try:
+            return metadata.version(name)
+        except metadata.PackageNotFoundError:
+            return None
+
+    changed = git("status", "--porcelain")
+    return {"python": sys.version, "platform": platform.platform(), "packages": {n: version(n) for n in PACKAGES}, "commit": git("rev-parse", "HEAD"), "changed": None if changed is None else bool(changed)}
+
+
+class JsonLines(logging.Formatter):
+    """A log record as a line of JSON, its time in UTC."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        line = {"time": datetime.fromtimestamp(record.created, timezone.utc).isoformat(), "level": record.levelname, "logger": record.name, "message": record.getMessage()}
+        if record.exc_info:
+            line["error"] = self.formatException(record.exc_info)
+        return json.dumps(line, ensure_ascii=False)
+
+
+def start_logging(level: str = "INFO", kind: str = "text", stream=None) -> logging.Logger:
+    """The package's logger, with one handler: text or JSON lines, times in UTC."""
+    if kind not in ("text", "json"):
+        raise SettingsError(f"unknown kind of log {kind}")
+    plain = logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s", "%Y-%m-%dT%H:%M:%SZ")
+    plain.converter = time.gmtime
+    handler = logging.StreamHandler(stream)
+    handler.setFormatter(JsonLines() if kind == "json" else plain)
+    logger = logging.getLogger("textgauge")
+    logger.handlers[:] = [handler]
+    logger.setLevel(level.upper())
+    logger.propagate = False
+    return logger
+
+
+MARKERS = ("pyproject.toml", ".git", "bench.py")
+
+
+def project_root(start: str | None = None) -> Path:
+    """The nearest folder from `start` upwards that has one of the markers."""
+    at = Path(start or ".").resolve()
+    for folder in (at, *at.parents):
+        if any((folder / m).exists() for m in MARKERS):
+            return folder
+    raise FileNotFoundError(f"no project around {at}")
+
+
+def relative_path(path: str, root: str) -> str:
+    """The path below the root with forward slashes, or the whole path if it lies elsewhere."""
+    at, base = Path(path).resolve(), Path(root).resolve()
+    return at.relative_to(base).as_posix() if at.is_relative_to(base) else at.as_posix()
+
+
 SUBFOLDERS = ["metrics", "models", "reports", "figures", "explainability"]
 
 
@@ -109,7 +178,7 @@ def start_run(root: str, settings: Settings, dataset: str | None = None, now: da
         (folder / s).mkdir()
     write = lambda n, x: (folder / n).write_text(json.dumps(x, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
     write("settings.json", asdict(settings))
-    write("environment.json", {"python": sys.version, "platform": platform.platform()})
+    write("environment.json", environment())
     if dataset:
         write("data_fingerprint.json", fingerprint(dataset))
     write("run_manifest.json", {"run_id": folder.name, "started": datetime.now(timezone.utc).isoformat(), "status": "started"})
@@ -123,7 +192,7 @@ def finish_run(folder: Path, status: str = "ok") -> None:
     (folder.parent / "latest.txt").write_text(folder.name, encoding="utf-8")
 
 
-#: What a smoke run and a complete run must leave (fixed values).
+#: What a smoke run and a complete run must leave.
 SMOKE = ["settings.json", "environment.json", "data_fingerprint.json", "run_manifest.json", "metrics/leakage_report.json", "metrics/cv_summary.json", "models/best_experiment.json", "metrics/final_metrics.json", "reports/final_report_extended.md", "models/best_model"]
 COMPLETE = SMOKE + ["reports/leakage_report.md", "metrics/cv_results.csv", "reports/cv_report.md", "metrics/hyperparameter_search_results.csv", "metrics/best_hyperparameters.json", "reports/hyperparameter_search_report.md", "models/experiment_results.csv", "metrics/classification_report.json", "metrics/classification_report.txt", "metrics/test_predictions.csv", "figures/confusion_matrix_absolute.csv", "reports/final_report.md"]
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import time
+from collections.abc import Callable, Mapping
 from datetime import date, datetime
 from pathlib import Path
 
@@ -105,3 +106,63 @@ def manifest(attempts: DataFrame) -> DataFrame:
     ok = F.count(F.when(F.col("ok"), 1))
     counts = attempts.agg(F.count(F.lit(1)).alias("sources"), ok.alias("fetched"))
     return counts.withColumn("status", F.when(F.col("fetched") == 0, 2).when(F.col("fetched") < F.col("sources"), 1).otherwise(0))
+
+
+def download_with_retries(urls: list[str], fetch: Callable[[str], bytes], attempts: int = 3, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, list[dict]]:
+    """The first address that gives a text, decoded, and a log of all attempts; None if none does.
+
+    `fetch` gets an address; what it raises, and a blank text, is a failed attempt.  Each address is tried `attempts` times
+    with a pause between.
+    """
+    log: list[dict] = []
+    for url in urls:
+        for k in range(1, attempts + 1):
+            if log:
+                sleep(pause)
+            try:
+                text = decode(fetch(url))
+                error = None if text.strip() else "blank"
+            except Exception as e:  # noqa: BLE001  whatever the fetcher raises
+                error = f"{type(e).__name__}: {e}"
+            log.append({"url": url, "attempt": k, "ok": error is None, "error": error})
+            if error is None:
+                return text, log
+    return None, log
+
+
+def download_all(sources: list[dict], folder: str, fetch: Callable[[str], bytes], partial: bool = False, **options) -> dict:
+    """Fetches each source (slug, urls) into folder/slug.txt; the manifest has a row for each, counts and an exit status.
+
+    0 all fetched, or some and `partial`; 1 some; 2 none.
+    """
+    rows = []
+    for s in sources:
+        text, log = download_with_retries(s["urls"], fetch, **options)
+        if text is not None:
+            at = Path(folder) / f"{s['slug']}.txt"
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(text, encoding="utf-8")
+        rows.append({"slug": s["slug"], "ok": text is not None, "characters": len(text or ""), "attempts": log})
+    fetched = sum(r["ok"] for r in rows)
+    status = 0 if fetched == len(rows) and rows else 2 if not fetched else 0 if partial else 1
+    return {"sources": len(rows), "fetched": fetched, "failed": len(rows) - fetched, "status": status, "rows": rows}
+
+
+def promote(spark: SparkSession, candidate: str, main: str, backup: bool = True, now: datetime | None = None) -> str | None:
+    """The candidate table takes the place of the main one, which is kept under its name and the time if there is one; its path."""
+    if candidate.rstrip("/") == main.rstrip("/"):
+        raise DataIOError("a table can't take its own place")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(main).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path(candidate)):
+        raise DataIOError(f"no table at {candidate}")
+    part = f"{main}.new"
+    store.delete(path(part), True)
+    conf = spark._jsc.hadoopConfiguration()
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store, path(candidate), store, path(part), False, conf)
+    kept = None
+    if store.exists(path(main)):
+        kept = f"{main}.{(now or datetime.now()).strftime('%Y%m%d_%H%M%S')}.bak" if backup else None
+        store.rename(path(main), path(kept)) if kept else store.delete(path(main), True)
+    store.rename(path(part), path(main))
+    return kept

@@ -72,6 +72,15 @@ def drop_table(table: DataFrame) -> None:
     remove(table.sparkSession, table._textgauge_path)
 
 
+#: Rows of one id each that are broadcast at most: 32 MB.
+BROADCAST_MOST = 1 << 22
+
+
+def if_small(ids: DataFrame) -> DataFrame:
+    """A table of ids for a join: broadcast if its rows are few, as counted, so that the other side needn't move."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_MOST else ids
+
+
 #: A key with more than this share of all rows, and more than so many, is hot; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE, HOT_LEAST = 1e-5, 1 << 10
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from textgauge.llm import language_id  # noqa: E402
-from textgauge.llm.common import SPACE_RE, drop_table, lower_ascii, materialise, read_table, ship  # noqa: E402
+from textgauge.llm.common import SPACE_RE, drop_table, if_small, lower_ascii, materialise, read_table, ship  # noqa: E402
 from textgauge.llm.decontaminate import decontaminate  # noqa: E402
 from textgauge.llm.jaccard_join import jaccard_components  # noqa: E402
 from textgauge.llm.mixing import mix  # noqa: E402
@@ -43,11 +43,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     ship(spark)
     joined = materialise(jaccard_components(docs), "pipeline-components")
-    gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = materialise(joined.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
+    kept = docs.join(if_small(gone), "doc_id", "left_anti")
     again = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = materialise(again, "pipeline-again")
     if not again.isEmpty():  # ids that repeat
+        again = if_small(again)
         words = F.trim(F.regexp_replace(lower_ascii(F.coalesce("text", F.lit(""))), SPACE_RE, " "))
         plain = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
         rows = kept.join(again, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), words.alias("words"), F.xxhash64(*plain).alias("hash"))

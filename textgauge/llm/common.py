@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,17 +52,24 @@ def remove(spark: SparkSession, path: str) -> None:
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes the frame to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing of it."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+@contextmanager
+def writing(spark: SparkSession):
+    """Sets what holds while a table is written."""
     before = {k: spark.conf.get(k, None) for k in WRITING}
     for k, v in WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", compression).parquet(path)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Writes the frame to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing of it."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with writing(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._textgauge_path = path
     return out

@@ -14,16 +14,21 @@ others).
 
 No token is a row.  Each task turns its documents into chunks: the distinct words' hashes, and each token as a number among
 them.  A chunk sends each bucket of the vocabulary its distinct words there with their training counts; the bucket adds up
-the counts of all chunks, stores them as its part of the model and answers each chunk in the order of its question.  The same
-goes for longer n-grams, order by order, bucketed by their history.  There the question also says how often the last word
-follows the shorter history: a word seen after h was seen after h' too, so its P(w | h') is a discounted count over c(h'),
-and the bucket can add up what a(h) needs.  Before it asks for an order, a chunk evaluates the one below from the answers
-that it has.  A frequent history is split over several buckets by the last word; its sums are added up in a home bucket,
+the counts of all chunks, numbers its words, stores both as its part of the model and answers each chunk in the order of its
+question.  The same goes for longer n-grams, order by order, bucketed by their history, with their last words as numbers.
+There the question also says how often the last word follows the shorter history: a word seen after h was seen after h' too,
+so its P(w | h') is a discounted count over c(h'), and the bucket can add up what a(h) needs.  For a history with one seen
+n-gram that the chunk asked about, the chunk has that sum itself.  What can't have been seen isn't asked: n-grams whose
+history or shorter n-gram was not.  Before it asks for an order, a chunk evaluates the one below from the answers that it
+has.  A frequent history is split over several buckets by the last word; its sums are added up in a home bucket,
 which the chunks ask too, so nothing of it comes to the driver.  A chunk sends a bucket one message at most, and none
 without an n-gram in it, so messages never outnumber n-grams.
 
 A stored table has the form of a question, so `score` evaluates a model on other texts by the same steps, with the tables in
-place of counts.  Histories are told apart by 64-bit, last words by 48-bit hashes.
+place of counts.  Histories and words are told apart by 64-bit hashes.
+
+Chunks ask and score in groups, so that only a group of them is shuffled at once; the questions wait in a table by parts of
+the buckets, and a part's go when it has been counted.
 """
 
 from __future__ import annotations
@@ -38,27 +43,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed as P
-from .common import buckets_for, crc_mod, materialise
+from .common import buckets_for, crc_mod, materialise, remove, scratch, writing
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens that make a chunk full.
 CHUNK_TOKENS = 1 << 21
-#: The buckets of an order are counted in so many parts, one after the other, so that only a part's questions are on disk.
-PARTS = 3
+#: Chunks ask and are scored in so many groups, one after the other.
+GROUPS = 4
+#: The buckets of an order are counted in so many parts, one after the other.
+PARTS = 4
 #: Of longer ones, in so many.
-LONG_PARTS = 4
+LONG_PARTS = 8
 #: Groups of buckets, a folder each, of a saved model.
 FOLDERS = 64
 #: From triples on there are so many times the buckets, as more of the n-grams are distinct.
 LONG_BUCKETS = 3
 END = P.U64(0x5EED0E4D5EED0E4D)
 BEGIN = P.U64(0x5EED0B055EED0B05)
-LOW48 = P.U64((1 << 48) - 1)
 MESSAGE = "kind int, chunk long, bucket int, data binary"
 #: Kinds of messages.
 CHUNK, ASK_WORDS, TELL_WORDS, ASK_GRAMS, TABLE, STATS, HOT, ASK_HOT = range(8)
 TELL_GRAMS, TELL_HOT = 100, 200  # and n for order n
+#: How a chunk learns the sums of a history: from the answer, from its one seen n-gram, or from the home bucket.
+TOLD, ALONE, SPLIT = range(3)
 
 
 def message(kind: int, chunks, buckets, blocks: list[bytes]) -> pa.RecordBatch:
@@ -173,20 +181,33 @@ def ask_words(buckets: int):
     return ask
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket of the vocabulary: its table, its counts of counts, and the answers to all chunks.  A stored table counts too."""
-    asked = gather(batches)
-    parts = [P.unpack(x[3]) for x in asked]
-    words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(words)).astype(np.int64)
-    seen = total > 0
-    bucket = asked[0][2]
-    yield message(TABLE, -1, bucket, [P.pack(words[seen], total[seen])])
-    yield message(STATS, -1, bucket, [P.pack(np.r_[total.sum(), seen.sum(), np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]])])
-    end = np.cumsum([len(p[0]) for p in parts])
-    for x, p, e in zip(asked, parts, end):
-        if x[0] == ASK_WORDS:
-            yield message(TELL_WORDS, x[1], bucket, [P.pack(total[at[e - len(p[0]) : e]])])
+def count_words(buckets: int):
+    """One bucket of the vocabulary: its table, its counts of counts, and the answers to all chunks.
+
+    A stored table counts too, and its words keep their numbers; else frequent words get small ones, which pack well.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = gather(batches)
+        parts = [P.unpack(x[3]) for x in asked]
+        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(words)).astype(np.int64)
+        seen = total > 0
+        bucket = asked[0][2]
+        number = np.empty(len(words), P.U64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(words), dtype=P.U64) * P.U64(buckets) + P.U64(bucket)
+        for x, p in zip(asked, parts):
+            if x[0] == TABLE:
+                number[np.searchsorted(words, p[0])] = p[2]
+        yield message(TABLE, -1, bucket, [P.pack(words[seen], total[seen], number[seen])])
+        yield message(STATS, -1, bucket, [P.pack(np.r_[total.sum(), seen.sum(), np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]])])
+        end = np.cumsum([len(p[0]) for p in parts])
+        for x, p, e in zip(asked, parts, end):
+            if x[0] == ASK_WORDS:
+                mine = at[e - len(p[0]) : e]
+                yield message(TELL_WORDS, x[1], bucket, [P.pack(total[mine], np.where(seen[mine], number[mine], P.U64(0)))])
+
+    return count
 
 
 def distinct(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,20 +242,20 @@ def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The distinct words of a chunk: hash, training count and probability of each, and each token's place among them."""
+    """The distinct words of a chunk: hash, training count, number and probability of each, and each token's place among them."""
 
     def __init__(self, chunk: Chunk, told: dict[int, bytes], buckets: int, unigrams: Unigrams):
         self.key, self.at, self.begin = chunk.words, chunk.local, np.array([BEGIN])
         order, bucket, first, end = by_bucket((self.key % P.U64(buckets)).astype(np.int32))
-        self.count = np.zeros(len(self.key), np.int64)
+        self.count, self.number, self.d = np.zeros(len(self.key), np.int64), np.zeros(len(self.key), P.U64), unigrams.d
         for b, i, j in zip(bucket, first, end):
-            self.count[order[i:j]] = P.unpack(told[int(b)])[0]
+            self.count[order[i:j]], self.number[order[i:j]] = P.unpack(told[int(b)])
         self.p = unigrams.probability(self.count)
         self.rate = np.full(len(self.key) + 1, unigrams.scale / max(unigrams.total, 1))
 
 
 class Grams:
-    """The distinct n-grams of a chunk, by bucket; `take` gives their training counts and probabilities.
+    """The distinct n-grams of a chunk, by bucket if their history was seen; `take` gives their training counts and probabilities.
 
     `rate` is, for each n-gram and for the beginning as the history of the next order, what a discounted count after that
     history without its first word is multiplied by to be a probability.
@@ -242,6 +263,7 @@ class Grams:
 
     def __init__(self, chunk: Chunk, below: Words | Grams, order: Order, begins: int):
         self.of, size, self.below_rate = order, len(chunk.words), below.rate
+        self.d, self.below_d = order.d, below.d
         self.keys, self.often = np.r_[below.key, below.begin], np.r_[below.count, begins]
         self.begin = joined(below.begin, np.array([BEGIN]))
         history = np.empty(len(chunk.local), np.int64)
@@ -250,19 +272,22 @@ class Grams:
         code, one, self.at = distinct(history * size + chunk.local, len(self.keys) * size)
         del history
         self.train = np.bincount(self.at[chunk.train], minlength=len(code)).astype(np.uint32)
-        self.history, self.word = code // size, chunk.words[code % size]
+        self.history, self.word, self.number = code // size, chunk.words[code % size], chunk.unigrams.number[code % size]
         self.suffix = np.r_[below.at[one], len(below.key)]  # the n-gram without its first word, as a history of this order
         self.lower, self.asked = below.p[below.at[one]], below.count[below.at[one]].astype(np.uint32)
-        splits = np.maximum(1, -(-self.often[self.history] // order.hot_count)).astype(P.U64)
-        sub = np.where(splits > 1, P.mix(self.word + P.U64(3)) % splits + P.U64(1), P.U64(0))
-        self.order, self.bucket, self.first, self.end = by_bucket(order_bucket(self.keys[self.history], sub, order.buckets))
+        known = np.flatnonzero(self.often[self.history] > 0)
+        splits = (-(-self.often[self.history[known]] // order.hot_count)).astype(P.U64)
+        sub = np.where(splits > 1, P.mix(self.word[known] + P.U64(3)) % splits + P.U64(1), P.U64(0))
+        at, self.bucket, self.first, self.end = by_bucket(order_bucket(self.keys[self.history[known]], sub, order.buckets))
+        self.order = known[at]
 
     def runs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams of one bucket, and where a new history begins among them."""
+        """Of one bucket, the histories, the n-grams asked about (their last words follow the shorter histories), and how many of each history."""
         grams = self.order[a:b]
         h = self.history[grams]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        return grams, h[first], first
+        asked = self.asked[grams] > 0
+        return h[first], grams[asked], np.add.reduceat(asked.astype(np.int64), first)
 
     def split(self) -> Iterator[tuple[int, np.ndarray]]:
         """(home bucket, histories) of the histories that are split over several buckets."""
@@ -273,13 +298,19 @@ class Grams:
 
     def take(self, told: dict[int, bytes], told_hot: dict[int, bytes], unigrams: Unigrams) -> None:
         self.count = np.zeros(len(self.history), np.int64)
-        d, often = self.of.d, self.often
+        d, often = self.d, self.often
         lost = np.arange(1, DISCOUNTED + 1) * (1 - d[1:])
         left, mass = np.zeros(len(self.keys)), np.zeros(len(self.keys))
         for bucket, a, b in zip(self.bucket, self.first, self.end):
-            total, rare, m = P.unpack(told[int(bucket)])
-            grams, h, _ = self.runs(a, b)
-            self.count[grams], left[h], mass[h] = total, (rare.reshape(-1, DISCOUNTED) * lost).sum(1), m
+            total, how, rare, m = P.unpack(told[int(bucket)])
+            h, grams, number = self.runs(a, b)
+            self.count[grams] = total
+            answered = h[how == TOLD]
+            left[answered], mass[answered] = (rare.reshape(-1, DISCOUNTED) * lost).sum(1), m
+            alone = (total > 0) & np.repeat(how == ALONE, number)
+            own, c = h[how == ALONE], total[alone].astype(np.int64)
+            left[own] = np.where(c <= DISCOUNTED, lost[np.minimum(c, DISCOUNTED) - 1], 0.0)
+            mass[own] = discounted(self.asked[grams[alone]].astype(np.int64), self.below_d)
         for bucket, h in self.split():
             rare, m = P.unpack(told_hot[bucket])
             left[h], mass[h] = (rare.reshape(-1, DISCOUNTED) * lost).sum(1), m
@@ -293,7 +324,7 @@ class Grams:
         self.p = np.where(self.count > 0, per[h] * discounted(self.count, d), back[h] * self.lower)
         self.rate = per[self.suffix]
         self.key = joined(self.keys[h], self.word)
-        del self.lower, self.asked, self.train, self.order, self.suffix
+        del self.lower, self.asked, self.train, self.number, self.order, self.suffix
 
 
 def order_bucket(history: np.ndarray, sub, buckets: int) -> np.ndarray:
@@ -322,8 +353,8 @@ class Chunk:
                 self.top.take(told(TELL_GRAMS + order.n), told(TELL_HOT + order.n), unigrams)
 
 
-def ask_grams(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int, part: int, parts: int):
-    """What a chunk asks those buckets of the last order whose number leaves `part` modulo `parts`.
+def ask_grams(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int):
+    """What a chunk asks the buckets of the last order.
 
     It asks the home buckets of split histories too, for sums over all of their buckets.
     """
@@ -332,14 +363,11 @@ def ask_grams(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int
         chunk = Chunk(gather(batches), buckets, unigrams, orders, begins, orders[-1].n - 1)
         top, hot = chunk.top, orders[-1].hot_count
         for bucket, a, b in zip(top.bucket, top.first, top.end):
-            if bucket % parts != part:
-                continue
-            grams, h, first = top.runs(a, b)
-            number = np.diff(np.r_[first, len(grams)]).astype(np.uint32)
+            h, grams, number = top.runs(a, b)
             split = (top.often[h] > hot).astype(np.uint8)
-            block = P.pack(top.keys[h], number, split, top.word[grams] & LOW48, top.asked[grams], top.train[grams])
+            block = P.pack(top.keys[h], number.astype(np.uint32), split, top.number[grams], top.asked[grams], top.train[grams])
             yield message(ASK_GRAMS, chunk.id, bucket, [block])
-        for bucket, h in top.split() if part == 0 else ():
+        for bucket, h in top.split():
             yield message(ASK_HOT, chunk.id, bucket, [P.pack(top.keys[h])])
         del chunk, top
         P.trim()
@@ -348,10 +376,12 @@ def ask_grams(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int
 
 
 def in_order(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by (h, w), h being small numbers and w of 48 bits, and where a new pair begins in it."""
-    bits = int(h.max()).bit_length()
-    cut = max(0, bits + 48 - 64)
-    key = (h.astype(P.U64) << P.U64(48 - cut)) | (w >> P.U64(cut))
+    """An order by (h, w), h being small numbers, and where a new pair begins in it."""
+    if not len(h):
+        return np.empty(0, np.int64), np.empty(0, bool)
+    bits, more = int(h.max()).bit_length(), int(w.max()).bit_length()
+    cut = max(0, bits + more - 64)
+    key = (h.astype(P.U64) << P.U64(more - cut)) | (w >> P.U64(cut))
     order = np.argsort(key)
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]
@@ -401,6 +431,8 @@ def count_grams(n: int, d: np.ndarray, buckets: int):
         rare = np.stack([np.bincount(h[total == r], minlength=len(keys)) for r in range(1, DISCOUNTED + 1)], 1)
         mass = np.bincount(h, weights=np.where(seen, discounted(lower.astype(np.int64), d), 0.0), minlength=len(keys))
         hot = np.flatnonzero(split)
+        alone = total == np.bincount(h, weights=total, minlength=len(keys))[h]  # all that was seen after its history
+        alone &= seen
         home = order_bucket(keys[hot], P.U64(0), buckets)
         for b in np.unique(home):
             k = hot[home == b]
@@ -409,7 +441,11 @@ def count_grams(n: int, d: np.ndarray, buckets: int):
         for x, p, e, f in zip(asked, parts, end, last):
             if x[0] == ASK_GRAMS:
                 mine, k = at[e - len(p[3]) : e], own[f - len(p[0]) : f]
-                yield message(TELL_GRAMS + n, x[1], bucket, [P.pack(total[mine].astype(np.uint32), rare[k].ravel().astype(np.uint32), mass[k])])
+                how = np.where(split[k], SPLIT, TOLD).astype(np.uint8)
+                one = np.repeat(np.arange(len(k)), p[1])[alone[mine]]
+                how[one[how[one] == TOLD]] = ALONE
+                k = k[how == TOLD]
+                yield message(TELL_GRAMS + n, x[1], bucket, [P.pack(total[mine].astype(np.uint32), how, rare[k].ravel().astype(np.uint32), mass[k])])
 
     return count
 
@@ -508,14 +544,14 @@ def answer(model: KatzModel, chunks: DataFrame, order: int, stored: bool) -> Dat
 
     What is counted becomes the model's.  Chunks ask for an order when they know all about the one below.
     """
-    b = model.buckets
+    spark, b = chunks.sparkSession, model.buckets
 
     def of(kind: int, table: DataFrame) -> DataFrame:
         return table.where(F.col("kind") == kind)
 
     asked = chunks.mapInArrow(ask_words(b), MESSAGE)
     asked = asked.unionByName(model.tables[0]) if stored else asked
-    words = materialise(asked.groupBy("bucket").applyInArrow(count_words, MESSAGE), "katz-words", "none")
+    words = materialise(asked.groupBy("bucket").applyInArrow(count_words(b), MESSAGE), "katz-words", "none")
     if not stored:
         total, different, *n = statistics(words)
         model.unigrams = Unigrams(total, different, np.array(n))
@@ -527,12 +563,19 @@ def answer(model: KatzModel, chunks: DataFrame, order: int, stored: bool) -> Dat
         orders, grams = model.orders[: n - 1], []
         below = model.unigrams.d if n == 2 else orders[-2].d
         parts = PARTS if n == 2 else LONG_PARTS
+        part_of = F.pmod("bucket", F.lit(parts))
+        questions = scratch(spark, "katz-questions")
+        for group in groups(known):
+            asked = group.groupBy("chunk").applyInArrow(ask_grams(b, model.unigrams, orders, model.begins), MESSAGE)
+            with writing(spark):
+                asked.withColumn("part", part_of).write.mode("append").partitionBy("part").option("compression", "none").parquet(questions)
         for part in range(parts):
-            asked = known.groupBy("chunk").applyInArrow(ask_grams(b, model.unigrams, orders, model.begins, part, parts), MESSAGE)
+            asked = spark.read.schema(f"{MESSAGE}, part int").parquet(questions).where(F.col("part") == part).drop("part")
             if stored:
-                asked = asked.unionByName(model.tables[n - 1].where(F.col("bucket") % parts == part))
+                asked = asked.unionByName(model.tables[n - 1].where(part_of == part))
             counted = asked.groupBy("bucket").applyInArrow(count_grams(n, below, orders[-1].buckets), MESSAGE)
             grams.append(materialise(counted, "katz-grams", "none"))
+            remove(spark, f"{questions}/part={part}")
         counted = reduce(DataFrame.unionByName, grams)
         if not stored:
             orders[-1].d = model.orders[n - 2].d = discounts(statistics(counted)[2:])
@@ -542,9 +585,17 @@ def answer(model: KatzModel, chunks: DataFrame, order: int, stored: bool) -> Dat
     return known
 
 
+def groups(known: DataFrame) -> list[DataFrame]:
+    """The chunks with their answers, in groups of about equal numbers of chunks."""
+    number = F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))
+    return [known.where(F.pmod(number, F.lit(GROUPS)) == g) for g in range(GROUPS)]
+
+
 def scored(model: KatzModel, known: DataFrame, id_col: str) -> DataFrame:
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return known.groupBy("chunk").applyInArrow(evaluate(model.buckets, model.unigrams, model.orders, model.begins, id_col), schema)
+    score_chunk = evaluate(model.buckets, model.unigrams, model.orders, model.begins, id_col)
+    done = [materialise(g.groupBy("chunk").applyInArrow(score_chunk, schema), "katz-scores") for g in groups(known)]
+    return reduce(DataFrame.unionByName, done)
 
 
 def train_and_answer(docs: DataFrame, id_col: str, text_col: str, held, order: int) -> tuple[KatzModel, DataFrame]:

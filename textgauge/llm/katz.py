@@ -25,7 +25,8 @@ which the chunks ask too, so nothing of it comes to the driver.  A chunk sends a
 without an n-gram in it, so messages never outnumber n-grams.
 
 A stored table has the form of a question, so `score` evaluates a model on other texts by the same steps, with the tables in
-place of counts.  Histories and words are told apart by 64-bit hashes.
+place of counts.  Words are told apart by 64-bit hashes until they have numbers, histories of one or two words by those
+numbers, longer ones by 64-bit hashes.
 
 Chunks ask and score in groups, so that only a group of them is shuffled at once; the questions wait in a table by parts of
 the buckets, and a part's go when it has been counted.
@@ -48,7 +49,7 @@ from .common import buckets_for, crc_mod, materialise, remove, scratch, writing
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens that make a chunk full.
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 3 << 19
 #: Chunks ask and are scored in so many groups, one after the other.
 GROUPS = 4
 #: The buckets of an order are counted in so many parts, one after the other.
@@ -60,7 +61,8 @@ FOLDERS = 64
 #: From triples on there are so many times the buckets, as more of the n-grams are distinct.
 LONG_BUCKETS = 3
 END = P.U64(0x5EED0E4D5EED0E4D)
-BEGIN = P.U64(0x5EED0B055EED0B05)
+#: Numbers of words not seen in training, of the beginning, and of the first of all others.
+UNSEEN, BEGIN, FIRST = P.U64(0), P.U64(1), 2
 MESSAGE = "kind int, chunk long, bucket int, data binary"
 #: Kinds of messages.
 CHUNK, ASK_WORDS, TELL_WORDS, ASK_GRAMS, TABLE, STATS, HOT, ASK_HOT = range(8)
@@ -195,7 +197,7 @@ def count_words(buckets: int):
         seen = total > 0
         bucket = asked[0][2]
         number = np.empty(len(words), P.U64)
-        number[np.argsort(-total, kind="stable")] = np.arange(len(words), dtype=P.U64) * P.U64(buckets) + P.U64(bucket)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(words), dtype=P.U64) * P.U64(buckets) + P.U64(bucket + FIRST)
         for x, p in zip(asked, parts):
             if x[0] == TABLE:
                 number[np.searchsorted(words, p[0])] = p[2]
@@ -205,7 +207,7 @@ def count_words(buckets: int):
         for x, p, e in zip(asked, parts, end):
             if x[0] == ASK_WORDS:
                 mine = at[e - len(p[0]) : e]
-                yield message(TELL_WORDS, x[1], bucket, [P.pack(total[mine], np.where(seen[mine], number[mine], P.U64(0)))])
+                yield message(TELL_WORDS, x[1], bucket, [P.pack(total[mine], np.where(seen[mine], number[mine], UNSEEN))])
 
     return count
 
@@ -236,20 +238,24 @@ class Order:
         self.d = np.ones(DISCOUNTED + 1)
 
 
-def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashes of histories that are longer by a word."""
-    return P.mix(P.mix(history + P.U64(5)) + word)
+def joined(history: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """Keys of histories of `size` words, from those without the last one and its number."""
+    long = P.mix(P.mix(history + P.U64(5)) + word)
+    if size > 2:
+        return long
+    pair = (history < P.U64(1 << 32)) & (word < P.U64(1 << 31))  # two numbers in one; huge ones don't fit
+    return np.where(pair, (history << P.U64(31)) | word, long | P.U64(1 << 63))
 
 
 class Words:
-    """The distinct words of a chunk: hash, training count, number and probability of each, and each token's place among them."""
+    """The distinct words of a chunk: number, training count and probability of each, and each token's place among them."""
 
     def __init__(self, chunk: Chunk, told: dict[int, bytes], buckets: int, unigrams: Unigrams):
-        self.key, self.at, self.begin = chunk.words, chunk.local, np.array([BEGIN])
-        order, bucket, first, end = by_bucket((self.key % P.U64(buckets)).astype(np.int32))
-        self.count, self.number, self.d = np.zeros(len(self.key), np.int64), np.zeros(len(self.key), P.U64), unigrams.d
+        order, bucket, first, end = by_bucket((chunk.words % P.U64(buckets)).astype(np.int32))
+        self.at, self.begin, self.d = chunk.local, np.array([BEGIN]), unigrams.d
+        self.count, self.key = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.words), P.U64)
         for b, i, j in zip(bucket, first, end):
-            self.count[order[i:j]], self.number[order[i:j]] = P.unpack(told[int(b)])
+            self.count[order[i:j]], self.key[order[i:j]] = P.unpack(told[int(b)])
         self.p = unigrams.probability(self.count)
         self.rate = np.full(len(self.key) + 1, unigrams.scale / max(unigrams.total, 1))
 
@@ -265,20 +271,28 @@ class Grams:
         self.of, size, self.below_rate = order, len(chunk.words), below.rate
         self.d, self.below_d = order.d, below.d
         self.keys, self.often = np.r_[below.key, below.begin], np.r_[below.count, begins]
-        self.begin = joined(below.begin, np.array([BEGIN]))
+        self.begin = joined(below.begin, np.array([BEGIN]), order.n)
         history = np.empty(len(chunk.local), np.int64)
         history[1:] = below.at[:-1]
         history[chunk.starts] = len(below.key)  # the beginning is the history of each text's first token
-        code, one, self.at = distinct(history * size + chunk.local, len(self.keys) * size)
+        history *= size
+        history += chunk.local
+        code, one, self.at = distinct(history, len(self.keys) * size)
         del history
         self.train = np.bincount(self.at[chunk.train], minlength=len(code)).astype(np.uint32)
-        self.history, self.word, self.number = code // size, chunk.words[code % size], chunk.unigrams.number[code % size]
-        self.suffix = np.r_[below.at[one], len(below.key)]  # the n-gram without its first word, as a history of this order
-        self.lower, self.asked = below.p[below.at[one]], below.count[below.at[one]].astype(np.uint32)
-        known = np.flatnonzero(self.often[self.history] > 0)
-        splits = (-(-self.often[self.history[known]] // order.hot_count)).astype(P.U64)
-        sub = np.where(splits > 1, P.mix(self.word[known] + P.U64(3)) % splits + P.U64(1), P.U64(0))
-        at, self.bucket, self.first, self.end = by_bucket(order_bucket(self.keys[self.history[known]], sub, order.buckets))
+        self.history, self.word = (code // size).astype(np.int32), (code % size).astype(np.int32)
+        del code
+        self.suffix = below.at[one].astype(np.int32)  # the n-gram without its first word
+        del one
+        self.below_p, self.asked = below.p, below.count[self.suffix].astype(np.uint32)
+        self.numbers = chunk.unigrams.key
+        bucket = order_bucket(self.keys, P.U64(0), order.buckets)[self.history]
+        hot = np.flatnonzero((self.often > order.hot_count)[self.history])
+        splits = (-(-self.often[self.history[hot]] // order.hot_count)).astype(P.U64)
+        spread = P.mix(self.numbers[self.word[hot]] + P.U64(3)) % splits + P.U64(1)
+        bucket[hot] = order_bucket(self.keys[self.history[hot]], spread, order.buckets)
+        known = np.flatnonzero((self.often > 0)[self.history]).astype(np.int32)
+        at, self.bucket, self.first, self.end = by_bucket(bucket[known])
         self.order = known[at]
 
     def runs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,10 +335,12 @@ class Grams:
         back = np.where(often > 0, left / np.maximum(1 - mass, unigrams.unknown if self.of.n == 2 else 1e-12), 1.0)
         per = scale / np.maximum(often, 1)
         h = self.history
-        self.p = np.where(self.count > 0, per[h] * discounted(self.count, d), back[h] * self.lower)
-        self.rate = per[self.suffix]
-        self.key = joined(self.keys[h], self.word)
-        del self.lower, self.asked, self.train, self.number, self.order, self.suffix
+        del self.asked, self.train, self.order, left, mass
+        self.p = np.where(self.count > 0, per[h] * discounted(self.count, d), back[h] * self.below_p[self.suffix])
+        del self.below_p
+        self.rate = per[np.r_[self.suffix, np.int32(len(self.keys) - 1)]]
+        self.key = joined(self.keys[h], self.numbers[self.word], self.of.n)
+        del self.suffix, self.history, self.word, self.keys, self.often
 
 
 def order_bucket(history: np.ndarray, sub, buckets: int) -> np.ndarray:
@@ -338,7 +354,7 @@ class Chunk:
         (own,) = (x for x in messages if x[0] == CHUNK)
         self.id = own[1]
         self.words, local, self.count, ids, held = P.unpack(own[3])
-        self.local = local.astype(np.int64)
+        self.local = local.view(np.int32)
         self.ids, self.held = ids.reshape(-1, 2), held.astype(bool)
         self.starts = np.cumsum(self.count.astype(np.int64)) - self.count
         self.train = np.repeat(~self.held, self.count)
@@ -346,6 +362,8 @@ class Chunk:
         def told(kind: int) -> dict[int, bytes]:
             return {x[2]: x[3] for x in messages if x[0] == kind}
 
+        del own
+
         self.unigrams = self.top = Words(self, told(TELL_WORDS), buckets, unigrams)
         for order in orders:
             self.top = Grams(self, self.top, order, begins)
@@ -365,7 +383,7 @@ def ask_grams(buckets: int, unigrams: Unigrams, orders: list[Order], begins: int
         for bucket, a, b in zip(top.bucket, top.first, top.end):
             h, grams, number = top.runs(a, b)
             split = (top.often[h] > hot).astype(np.uint8)
-            block = P.pack(top.keys[h], number.astype(np.uint32), split, top.number[grams], top.asked[grams], top.train[grams])
+            block = P.pack(top.keys[h], number.astype(np.uint32), split, top.numbers[top.word[grams]], top.asked[grams], top.train[grams])
             yield message(ASK_GRAMS, chunk.id, bucket, [block])
         for bucket, h in top.split():
             yield message(ASK_HOT, chunk.id, bucket, [P.pack(top.keys[h])])

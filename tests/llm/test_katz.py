@@ -82,6 +82,15 @@ def test_split_histories(spark, monkeypatch):
     assert katz.PARTS > 1
 
 
+def test_frequent_ends_of_texts(spark):
+    rows = [(i, "a b") for i in range(2000)] + [(2000 + i, "c") for i in range(50)]
+    want, *_ = brute(rows)
+    got = {r.doc_id: r for r in score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), order=2).collect()}
+    assert all(math.isclose(got[w[0]].score, w[6], abs_tol=1e-6) for w in want)
+    longer = score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect()
+    assert sorted(r.doc_id for r in longer) == [w[0] for w in want]
+
+
 def test_empty(spark):
     assert score_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = score_corpus(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()

@@ -51,7 +51,7 @@ DISCOUNTED = 5
 #: Tokens that make a chunk full.
 CHUNK_TOKENS = 3 << 19
 #: Chunks ask and are scored in so many groups, one after the other.
-GROUPS = 4
+GROUPS = 8
 #: The buckets of an order are counted in so many parts, one after the other.
 PARTS = 4
 #: Of longer ones, in so many.
@@ -125,7 +125,8 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def by_bucket(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(order, bucket, first, end) of the groups of equal numbers."""
-    order = np.argsort(to, kind="stable")
+    small = len(to) and to.max() < 1 << 16  # numpy sorts those by radix
+    order = np.argsort(to.astype(np.uint16) if small else to, kind="stable")
     to = to[order]
     first = np.flatnonzero(np.r_[len(to) > 0, to[1:] != to[:-1]])
     return order, to[first], first, np.r_[first[1:], len(to)].astype(np.int64)
@@ -304,8 +305,13 @@ class Grams:
         return h[first], grams[asked], np.add.reduceat(asked.astype(np.int64), first)
 
     def split(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(home bucket, histories) of the histories that are split over several buckets."""
-        hot = np.flatnonzero(self.often > self.of.hot_count)
+        """(home bucket, histories) of the chunk's histories that are split over several buckets.
+
+        Not all keys are histories here; those that end a text are none anywhere, and no bucket would answer.
+        """
+        used = np.zeros(len(self.keys), bool)
+        used[self.history] = True
+        hot = np.flatnonzero(used & (self.often > self.of.hot_count))
         order, bucket, first, end = by_bucket(order_bucket(self.keys[hot], P.U64(0), self.of.buckets))
         for b, i, j in zip(bucket, first, end):
             yield int(b), hot[order[i:j]]

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space and words as all operators here see them.
@@ -112,6 +113,26 @@ def join_back(rows: DataFrame, facts: DataFrame, key: str, size: str, columns: l
     return out.select("*", *(F.col(f"__fact.{c}").alias(c) for c in columns)).drop("__fact")
 
 
+#: Turns of a conversation that one task puts in order.
+TURNS = 1 << 10
+
+
+def in_order(rows: DataFrame, key: str, turn: str, tie: Column, name: str) -> DataFrame:
+    """With a column `name`: each row's place among those of its key, from 1, by turn (null first) and tie.
+
+    Rows are ordered within stretches of TURNS turn numbers, and those before a stretch are counted, so that one key's rows
+    are not one task's.  `rows` is read twice.  The rows of a null key are placed among themselves.
+    """
+    stretch = F.coalesce(F.floor(F.col(turn) / TURNS), F.lit(-(1 << 60)))
+    counts = rows.groupBy(F.col(key).alias("__key"), stretch.alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    order = W.partitionBy("__key").orderBy("__of").rowsBetween(W.unboundedPreceding, -1)
+    later = counts.withColumn("__before", F.sum("__n").over(order)).where("__before is not null").drop("__n")
+    rows = rows.withColumn("__stretch", stretch)
+    rows = rows.withColumn("__at", F.row_number().over(W.partitionBy(key, "__stretch").orderBy(F.col(turn).asc_nulls_first(), tie)))
+    rows = rows.join(later, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__stretch") == F.col("__of")), "left")
+    return rows.withColumn(name, F.col("__at") + F.coalesce("__before", F.lit(0))).drop("__key", "__of", "__before", "__stretch", "__at")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each context: they may have neither it nor this machine's folders."""
     context = spark.sparkContext

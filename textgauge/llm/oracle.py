@@ -40,6 +40,18 @@ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JO
 SELECT r.a AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
 
+#: A turn's key: number, null first, and the digest of what is said.
+TURN_ORDER = "ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)"
+OP11 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, ['user', 'assistant'][t + 1], '<|im_end|><|im_start|>assistant ok' FROM range(2) r(t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {TURN_ORDER})) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {TURN_ORDER}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '|', '%7C')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 
 def oracle_sql():
-    return {"op3_decontaminate": OP3, "op5_warc_salvage": OP5, "op6_exact_dedup": OP6, "op9_ngram_jaccard": OP9}
+    return {"op11_reply_trees": OP11, "op3_decontaminate": OP3, "op5_warc_salvage": OP5, "op6_exact_dedup": OP6, "op9_ngram_jaccard": OP9}

@@ -53,5 +53,33 @@ FROM c GROUP BY conv_id
 """
 
 
+#: crc32 by its table of 256 remainders; `crc` takes a list of bytes, and `ct.t` must be in scope.
+CRC_TABLE = "ct AS (SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k) AS t FROM range(256) r(k))"
+
+
+def crc(octets: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: xor(a >> 8, ct.t[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+OP12 = rf"""
+WITH {CRC_TABLE}, q AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, row_number() OVER (PARTITION BY c {TURN_ORDER}) AS place, role AS r, text AS t FROM q),
+n AS (SELECT c, n, {crc("list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)")} % 4 AS h FROM (SELECT c, count(*) AS n FROM o GROUP BY c), ct),
+m AS (SELECT n.c, n.h, least(n.h, coalesce(b.n, 0)) AS taken FROM n LEFT JOIN n b ON b.c = n.c - n.c % 20),
+rb AS (SELECT m.c, place AS d, r, t FROM m JOIN o ON o.c = m.c - m.c % 20 AND place <= taken UNION ALL SELECT m.c, place - h + taken, r, t FROM m JOIN o ON o.c = m.c AND place > h),
+l AS (SELECT m.c, coalesce(list({{'r': r, 't': t}} ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS ts FROM m LEFT JOIN rb ON rb.c = m.c GROUP BY m.c),
+p AS (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM l),
+k AS (SELECT c, d, len(ts) = d AS ends, md5(to_json(ts[1:d])::VARCHAR) AS pk, CASE WHEN d > 0 THEN md5(to_json(ts[1:d - 1])::VARCHAR) END AS ppk,
+  CASE WHEN d > 0 THEN len(regexp_extract_all(ts[d].t, '[^ 	-
+]+')) ELSE 0 END AS words FROM p),
+g AS (SELECT pk, min(c) AS conv_id, min(d) AS depth, min(ppk) AS ppk, count(*) AS n_convs, min(words) AS words, list(c ORDER BY c) FILTER (WHERE ends) AS es FROM k GROUP BY pk),
+ch AS (SELECT ppk AS pk, count(*) AS n_children FROM g WHERE ppk IS NOT NULL GROUP BY ppk),
+w AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN ch USING (pk)),
+s AS (SELECT k.pk, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * w.words)::BIGINT AS saved_tokens FROM w JOIN k ON k.c = w.conv_id AND k.d <= w.depth GROUP BY k.pk)
+SELECT w.conv_id, w.depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, sha256(coalesce(array_to_string(w.es, ','), '')) AS ends_sha256
+FROM w JOIN s USING (pk) LEFT JOIN g up ON up.pk = w.ppk
+"""
+
+
 def oracle_sql():
-    return {"op11_reply_trees": OP11, "op3_decontaminate": OP3, "op5_warc_salvage": OP5, "op6_exact_dedup": OP6, "op9_ngram_jaccard": OP9}
+    return {"op11_reply_trees": OP11, "op12_prefix_trie": OP12, "op3_decontaminate": OP3, "op5_warc_salvage": OP5, "op6_exact_dedup": OP6, "op9_ngram_jaccard": OP9}

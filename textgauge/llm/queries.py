@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from . import cotraining, language_id, mixing, reply_trees
+from . import cotraining, language_id, mixing, prefix_trie, reply_trees
 from .common import read_table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
@@ -77,5 +77,9 @@ def op11_reply_trees(spark, sf_dir):
     return reply_trees.conversation_digests(reply_trees.format_paths(messages, "conv_id", "message", "parent"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

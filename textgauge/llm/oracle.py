@@ -81,5 +81,20 @@ FROM w JOIN s USING (pk) LEFT JOIN g up ON up.pk = w.ppk
 """
 
 
+OP13 = rf"""
+WITH RECURSIVE {CRC_TABLE}, r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+h AS (SELECT run, {crc("flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END))")} AS h FROM r, ct WHERE length(run) >= 7),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v), d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM i),
+p AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+t AS (SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place FROM p),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN t.n >= 10 * v.n THEN other END AS form, CASE WHEN t.n >= 10 * v.n THEN t.n END AS form_n FROM v LEFT JOIN t ON t.word = v.word AND place = 1),
+o(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT o.word, f.word, f.form FROM o JOIN f ON f.word = o.form)
+SELECT f.word, f.form, o.root, f.n, f.n_near, f.form_n FROM f JOIN o ON o.word = f.word AND o.form IS NULL
+"""
+
+
 def oracle_sql():
-    return {"op11_reply_trees": OP11, "op12_prefix_trie": OP12, "op3_decontaminate": OP3, "op5_warc_salvage": OP5, "op6_exact_dedup": OP6, "op9_ngram_jaccard": OP9}
+    return {"op11_reply_trees": OP11, "op12_prefix_trie": OP12, "op13_spelling_variants": OP13, "op3_decontaminate": OP3, "op5_warc_salvage": OP5, "op6_exact_dedup": OP6, "op9_ngram_jaccard": OP9}

@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .katz import score_corpus
 from .pii import find_pii
+from .spelling import spelling_variants
 from .token_shards import token_shards
 from .warc import round_trip
 
@@ -81,5 +82,9 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

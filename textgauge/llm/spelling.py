@@ -86,21 +86,23 @@ def scans(words: DataFrame, letters: int) -> DataFrame:
 
 
 def routed(rows: DataFrame, hot: DataFrame, shards: int, letters: int, scanned: bool) -> DataFrame:
-    """Rows with their shard: that of their half, or, for a hot half, those of its stretches."""
+    """Rows with shard and stretch: the shard of their half and -1 for all stretches, or, for a hot half, the shard of each stretch."""
     rows = rows.join(F.broadcast(hot), ["side", "half"], "left")
     n, m = F.length("word"), F.length("half")
     rest = F.when(F.col("side") == 0, F.substring(F.col("word"), m + 1, n)).otherwise(F.substring(F.col("word"), F.lit(1), n - m))
 
+    def to(stretch: Column, *by) -> Column:
+        return F.struct(stretch.alias("stretch"), F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int").alias("shard"))
+
     def of(length: Column) -> Column:
         left = length - m
         fits = (length >= letters) & (m == F.when(F.col("side") == 0, F.floor(length / 2)).otherwise(length - F.floor(length / 2)))
-        keys = F.transform(F.sequence(F.lit(0), count_of(left) - 1), lambda k: F.xxhash64("side", "half", length, k, outside(F.col("__rest"), left, k, n - length)))
-        return F.when(fits, keys).otherwise(F.array().cast("array<bigint>"))
+        keys = F.transform(F.sequence(F.lit(0), count_of(left) - 1), lambda k: to(k, "side", "half", length, k, outside(F.col("__rest"), left, k, n - length)))
+        return F.when(fits, keys).otherwise(F.array().cast("array<struct<stretch:int,shard:int>>"))
 
     lengths = [n - 1, n, n + 1] if scanned else [n]
-    routes = F.when(F.col("hot"), F.concat(*map(of, lengths))).otherwise(F.array(F.xxhash64("side", "half")))
-    rows = rows.withColumn("__rest", rest).withColumn("shard", F.explode(F.array_distinct(F.transform(routes, lambda r: F.pmod(r, F.lit(shards)).cast("int")))))
-    return rows.drop("__rest", "hot")
+    routes = F.when(F.col("hot"), F.concat(*map(of, lengths))).otherwise(F.array(to(F.lit(-1), "side", "half")))
+    return rows.withColumn("__rest", rest).withColumn("x", F.explode(routes)).drop("__rest", "hot").select("*", "x.*").drop("x")
 
 
 def one_apart(a: str, b: str) -> bool:
@@ -122,11 +124,12 @@ def searched(letters: int):
         import ahocorasick
 
         automaton, behind = ahocorasick.Automaton(), {}
-        for w, n, side, half in zip(*(held.column(c).to_pylist() for c in ("held", "n", "side", "half"))):
+        for only, w, n, side, half in zip(*(held.column(c).to_pylist() for c in ("stretch", "held", "n", "side", "half"))):
             both = behind.setdefault(half, ({}, {}))
             rest = w[len(half) :] if side == 0 else w[: len(w) - len(half)]
             for k, (i, j) in enumerate(stretches(len(rest))):
-                both[side].setdefault((len(w), k, rest[:i], rest[j:]), []).append((w, n))
+                if only in (-1, k):
+                    both[side].setdefault((len(w), k, rest[:i], rest[j:]), []).append((w, n))
         for half, both in behind.items():
             automaton.add_word(half, (len(half), both))
         out = ([], [], [], [])
@@ -173,7 +176,7 @@ def neighbours_of(words: DataFrame, letters: int = LEAST_LETTERS, hot_half: int
     # 2^20 at most
     hot = held.groupBy("side", "half").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(hot_half, total >> 19)).select("side", "half", F.lit(True).alias("hot"))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / shard))
-    held = routed(held, hot, shards, letters, False).select("shard", F.col("word").alias("held"), "n", "side", "half")
+    held = routed(held, hot, shards, letters, False).select("shard", "stretch", F.col("word").alias("held"), "n", "side", "half")
     scanned = routed(scans(words, letters), hot, shards, letters, True).select("shard", F.col("word").alias("scanned"))
     found = held.groupBy("shard").cogroup(scanned.groupBy("shard")).applyInArrow(searched(letters), FOUND)
     by = found.groupBy("word").agg(F.sum("near").alias("near"), F.min(F.struct((-F.col("best_n")).alias("m"), F.col("best").alias("best"))).alias("b"))

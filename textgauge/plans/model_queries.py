@@ -332,6 +332,8 @@ def labelled_documents(spark, sf):
     from textgauge.operators import models as M
 
     rows = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("y"))
+    # terms and features are costly, whatever files the texts come in
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return M.model_frame(rows, "doc_id", "text", "y")
 
 
@@ -358,12 +360,8 @@ def searched(points):
     def run(spark, sf):
         from textgauge.operators import models as M
 
-        rows, out = labelled_documents(spark, sf).cache(), []
-        for kind in M.REPRESENTATIONS:
-            for name in M.CLASSIFIERS:
-                found = M.search(rows, kind, name, points(M, M.SEARCH_SPACES[name]), 5)
-                out += [(f"{kind}__{name}", r["rank"], str(r["params"]), r["mean"], r["std"]) for r in found]
-        rows.unpersist()
+        found = M.searches(labelled_documents(spark, sf), M.REPRESENTATIONS, {n: points(M, M.SEARCH_SPACES[n]) for n in M.CLASSIFIERS}, 5)
+        out = [(f"{kind}__{name}", r["rank"], str(r["params"]), r["mean"], r["std"]) for (kind, name), rows in found.items() for r in rows]
         return spark.createDataFrame(out, "experiment string, rank long, params string, mean double, std double")
 
     return run
@@ -387,7 +385,7 @@ def m31_group_estimators(spark, sf):
     from textgauge.operators import models as M
 
     _, _, groups = E.select_group_column(documents(spark, sf), "doc_id")
-    found = M.group_cross_validate(labelled_documents(spark, sf), groups.withColumnRenamed("doc_id", "id"), "svm", 5, max_iter=100)
+    found = M.group_cross_validate(labelled_documents(spark, sf), groups.withColumnRenamed("doc_id", "id"), "svm", 5)
     return spark.createDataFrame(found).drop("fit_seconds")
 
 

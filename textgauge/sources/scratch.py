@@ -19,9 +19,39 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table of this session."""
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table: what is costly is computed once for several readers, and a lost executor loses nothing of it."""
+    """The frame as a table: what is costly is computed once for several readers, and a lost executor loses nothing of it.
+
+    `dropped` removes it once its last reader is done; `clear_tables` removes all of a session's.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textgauge_path = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that `saved` has written and that nobody reads any more."""
+    for t in tables:
+        removed(t.sparkSession, t._textgauge_path)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Removes this session's intermediate tables.  Frames that read them can't be used any more."""
+    removed(spark, session_folder(spark))

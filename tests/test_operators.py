@@ -147,6 +147,41 @@ def test_softmax(spark):
     assert s == [0.5, 0.5]
 
 
+def test_gap_is_a_share_of_the_smallest_mean(spark):
+    # means of 100 and 110.5 words: 10.5 / 100
+    rows = [("a", "w " * 100), ("b", "w " * 110), ("b", "w " * 111)]
+    of = lambda rows: tuple(audit.gap_ratio(spark.createDataFrame(rows, "y string, t string"), "t", "y").first())
+    assert of(rows) == (0.105, True)
+    assert of([("a", "w " * 100), ("b", "w " * 109)]) == (0.09, False)
+    assert of([("a", "..."), ("b", "w w")]) == (None, False)
+
+
+def test_candidates_are_named_by_window(spark):
+    text = " ".join(f"t{i}" for i in range(400))
+    rows = segment.windows(spark.createDataFrame([("w", text)], "work string, t string"), ["work"], "t").where("offset > 0")
+    got = [tuple(r)[1:] for r in segment.candidates(rows, "work").orderBy("janela_inicio").collect()]
+    # windows begin at tokens 0, 115 and 230
+    assert got == [("janela_00001", 1, 161), ("janela_00002", 2, 162)]
+
+
+def test_normalised_copies_fail_the_gate(spark):
+    rows = [(1, "A casa do gato é bonita", "x", "train"), (2, "a CASA, do gato: é bonita!", "x", "test"), (3, "outra coisa bem diferente", "y", "val")]
+    report = leakage.check(spark.createDataFrame(rows, "id int, t string, y string, split string"), "id", "t", "y")
+    assert [(f["severity"], f["check"]) for f in report["findings"]][0] == ("critical", "normalized_text_overlap") and report["summary"]["status"] == "failed"
+    with pytest.raises(leakage.LeakageError):
+        leakage.gate({"critical": report["summary"]["critical_findings"]})
+
+
+def test_a_run_without_its_metric_is_an_error(spark):
+    rows = spark.createDataFrame([("a", 0.5, 0.1, 0.1, 0), ("b", float("nan"), 0.2, 0.2, 1)], "experiment string, f1_macro double, f1_weighted double, accuracy double, position int")
+    for bad in (rows, rows.withColumn("f1_macro", F.lit(None).cast("double")), rows.limit(0)):
+        with pytest.raises(evaluate.SelectionError):
+            evaluate.best(bad, "f1_macro")
+    with pytest.raises(evaluate.SelectionError, match="no metric"):
+        evaluate.best(rows, "recall")
+    assert evaluate.best(rows, "accuracy").first().experiment == "b"
+
+
 def test_entry_is_whole():
     import __spark_entry__ as entry
 
@@ -160,23 +195,33 @@ def test_registered_models_do_the_whole_search(spark, monkeypatch):
     assert len(M.grid(M.SEARCH_SPACES["logistic_regression"])) == 16 and len(M.grid(M.SEARCH_SPACES["linear_svm"])) == 8
     drawn = M.random_points(M.SEARCH_SPACES["logistic_regression"])
     assert len(drawn) == 10 and len({str(p) for p in drawn}) == 10 and len(M.random_points(M.SEARCH_SPACES["random_forest"])) == 8
-    assert M.classifier("logistic_regression", 5).getMaxIter() == 2000 and M.classifier("random_forest", 5).getMaxDepth() == 20
-    fits = []
+    assert M.spec_of("logistic_regression", 0).max_iter == 2000 and M.forest_of().getMaxDepth() == 20 and M.forest_of().getNumTrees() == 40
+    units = []
+
+    class Nothing:
+        def __init__(self, df, kinds):
+            self.folds = list(range(5))
+
+        def drop(self):
+            pass
 
-    def fit(train, kind, name, **parameters):
-        fits.append((kind, name, str(parameters)))
+    def unit(vectors, unit, points):
+        units.append(unit)
+        kind, name, fold, balanced = unit
+        mine = [i for i, p in enumerate(points[name]) if balanced is None or p.get("balanced", True) == balanced]
+        return [M.result_row(vectors, kind, name, i, k, 0.1, {(0, 0): 3, (0, 1): 1, (1, 1): 4}) for i in mine for k in ([fold] if fold is not None else vectors.folds)]
 
-    scores = spark.createDataFrame([(0.5, 0.5, 0.5)], "f1_macro double, f1_weighted double, accuracy double")
     rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "id long, target string")
-    monkeypatch.setattr(M, "fit", fit)
-    monkeypatch.setattr(M, "score", lambda model, df: scores)
+    monkeypatch.setattr(M, "Vectors", Nothing)
+    monkeypatch.setattr(M, "linear_unit", unit)
+    monkeypatch.setattr(M, "forest_unit", unit)
     monkeypatch.setattr(model_queries, "labelled_documents", lambda spark, sf: rows)
-    assert registry.QUERIES["m24_cross_validation"](spark, "").count() == 12 and len(fits) == 60
-    fits.clear()
-    assert registry.QUERIES["m10_random_forest"](spark, "").count() == 5 and {f[2] for f in fits} == {"{}"}
-    fits.clear()
+    assert registry.QUERIES["m24_cross_validation"](spark, "").count() == 12 and len(units) == 4 * (2 + 5)
+    assert registry.QUERIES["m10_random_forest"](spark, "").count() == 5
     monkeypatch.setattr(M, "REPRESENTATIONS", ["tfidf_word"])
-    assert registry.QUERIES["m21_grid_search"](spark, "").count() == 32 and len(fits) == 160 and len(set(fits)) == 32
+    units.clear()
+    found = registry.QUERIES["m21_grid_search"](spark, "")
+    assert found.count() == 32 and found.select("experiment", "params").distinct().count() == 32 and len(units) == 2 + 10
 
 
 def test_group_column(spark):

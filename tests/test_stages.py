@@ -79,11 +79,11 @@ def test_leakage_run(spark, tmp_path):
     df = spark.createDataFrame(rows, "id string, texto string, target string, split string").withColumn("nível", F.lit(1))
     report = leakage.check(df, "id", "texto", "target")
     kinds = [(f["severity"], f["check"]) for f in report["findings"]]
-    assert kinds == [("warning", "target_like_columns"), ("critical", "id_overlap"), ("critical", "exact_text_overlap"), ("warning", "normalized_text_overlap"), ("warning", "near_duplicate_texts")]
+    assert kinds == [("warning", "target_like_columns"), ("critical", "id_overlap"), ("critical", "exact_text_overlap"), ("critical", "normalized_text_overlap"), ("warning", "near_duplicate_texts")]
     near = report["findings"][-1]["details"]
     assert near["pairs"] == 2 and {(r["left_id"], r["right_id"]) for r in near["records"]} == {("1", "3"), ("2", "5")}
     assert all(r["left_target"] == r["right_target"] and r["left_preview"] for r in near["records"])
-    assert report["summary"] == {"total_findings": 5, "info_findings": 0, "warning_findings": 3, "critical_findings": 2, "status": "failed"}
+    assert report["summary"] == {"total_findings": 5, "info_findings": 0, "warning_findings": 2, "critical_findings": 3, "status": "failed"}
     assert leakage.findings_frame(spark, report).count() == 5 and "failed" in reports.leakage_report(report)
     off = leakage.check(df, "id", "texto", "target", enabled=False)
     assert off["summary"]["status"] == "disabled" and off["summary"]["info_findings"] == 1 and off["findings"][0]["severity"] == "info"

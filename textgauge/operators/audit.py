@@ -53,9 +53,10 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
 
 
 def gap_ratio(df: DataFrame, text: str, target: str, warn: float = 0.10) -> DataFrame:
+    """How far the classes' mean lengths are apart, as a share of the smallest (1 word at least); null if a class has no words."""
     means = df.groupBy(target).agg(F.avg(F.size(T.words(F.col(text)))).alias("m"))
-    gap = (F.max("m") - F.min("m")) / F.greatest(F.lit(1.0), F.max("m"))
-    return means.agg(F.round(gap, 9).alias("gap")).withColumn("warns", F.col("gap") > warn)
+    gap = F.when(F.min("m") > 0, (F.max("m") - F.min("m")) / F.greatest(F.lit(1.0), F.min("m")))
+    return means.agg(F.round(gap, 9).alias("gap")).withColumn("warns", F.coalesce(F.col("gap") > warn, F.lit(False)))
 
 
 def concentration(df: DataFrame, column: str, warn: float, most: int = 20) -> DataFrame:

@@ -149,9 +149,22 @@ def summary(results: DataFrame, key: str, names: list[str]) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))  # one row for each experiment
 
 
+class SelectionError(ValueError):
+    """Experiments of which none can be chosen."""
+
+
 def best(results: DataFrame, metric: str) -> DataFrame:
-    """The experiment with the largest metric, then f1_weighted, accuracy, then the earliest."""
-    return results.where(F.col(metric).isNotNull() & ~F.isnan(metric)).orderBy(F.desc(metric), F.desc("f1_weighted"), F.desc("accuracy"), "position").limit(1)
+    """The experiment with the largest metric, then f1_weighted, accuracy, then the earliest.
+
+    No experiments, a column that isn't there, and a metric that is null or not finite are errors: such a run has failed.
+    """
+    if metric not in results.columns:
+        raise SelectionError(f"no metric {metric}; there are {', '.join(results.columns)}")
+    m = F.col(metric).cast("double")
+    n, bad = results.agg(F.count(F.lit(1)), F.count(F.when(m.isNull() | F.isnan(m) | (F.abs(m) == float("inf")), 1))).first()
+    if not n or bad:
+        raise SelectionError(f"{bad} of {n} experiments have no finite {metric}" if n else "no experiments")
+    return results.orderBy(F.desc(metric), F.desc("f1_weighted"), F.desc("accuracy"), "position").limit(1)
 
 
 def softmax(margins):

@@ -113,8 +113,8 @@ def disabled() -> dict:
 def check(df: DataFrame, id_col: str, text_col: str, target_col: str, clean_col: str | None = None, threshold: float = 0.92, records: int = 1000, enabled: bool = True) -> dict:
     """All checks between the splits of `df`, which has a column split: the report, with findings by severity.
 
-    Shared ids and equal texts are critical, equal normalised texts, near copies and columns that name the target are
-    warnings.  Near copies are all counted; the first `records` of each pair of splits are listed.  `gate` decides.
+    Shared ids and texts that are equal, as they are or normalised, are critical; near copies and columns that name the target
+    are warnings.  Near copies are all counted; the first `records` of each pair of splits are listed.  `gate` decides.
     """
     if not enabled:
         return disabled()
@@ -122,7 +122,7 @@ def check(df: DataFrame, id_col: str, text_col: str, target_col: str, clean_col:
     used = {id_col, text_col, target_col, clean_col, "split"}
     if named := target_like_columns([c for c in df.columns if c not in used], []):
         out.append(finding("warning", "target_like_columns", f"columns that give the target away: {', '.join(named)}", columns=named))
-    checks = [("id_overlap", F.col(id_col).cast("string"), "critical"), ("exact_text_overlap", F.col(text_col), "critical"), ("normalized_text_overlap", T.leakage_form(F.col(clean_col or text_col)), "warning")]
+    checks = [("id_overlap", F.col(id_col).cast("string"), "critical"), ("exact_text_overlap", F.col(text_col), "critical"), ("normalized_text_overlap", T.leakage_form(F.col(clean_col or text_col)), "critical")]
     for name, value, severity in checks:
         for r in value_overlap(df, value, name).orderBy("left_split", "right_split").collect():
             if r.shared:

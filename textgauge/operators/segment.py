@@ -32,13 +32,14 @@ def paragraphs(df: DataFrame, key: list[str], text: str, min_words: int = MIN_PA
 
 
 def windows(df: DataFrame, key: list[str], text: str, min_words: int = 80, target: int = 160, most: int = 220, overlap: int = 45) -> DataFrame:
-    """key, window (0-based token offset) and its text: every step tokens a window of `target` tokens, min_words at least."""
+    """key, offset (0-based, in tokens), number (0-based) and window, its text: every step tokens a window of `target` tokens,
+    min_words at least.  Numbers count all of a text's windows, whatever filters come later."""
     step = max(20, target - overlap)
     tokens = F.filter(F.split(F.col(text), r"(?U)\s+"), lambda t: t != "")
     df = df.select(*key, tokens.alias("__w")).withColumn("__n", F.size("__w")).where(F.col("__n") >= min_words)
     df = df.select(*key, "__w", F.explode(F.sequence(F.lit(0), F.col("__n") - min_words, F.lit(step))).alias("offset"))
     chunk = F.array_join(F.slice("__w", F.col("offset") + 1, F.lit(min(target, most))), " ")
-    return df.select(*key, F.col("offset").cast("long"), F.regexp_replace(chunk, r"(?U)\s+([,.;:!?])", "$1").alias("window"))
+    return df.select(*key, F.col("offset").cast("long"), F.floor(F.col("offset") / step).alias("number"), F.regexp_replace(chunk, r"(?U)\s+([,.;:!?])", "$1").alias("window"))
 
 
 def measured(df: DataFrame, text: str) -> DataFrame:
@@ -70,7 +71,10 @@ def first_by_hash(df: DataFrame, hash_col: str, order: list[str]) -> DataFrame:
 
 
 def candidates(df: DataFrame, work: str, text: str = "window", target: int = 160) -> DataFrame:
-    """id, chapter, janela_inicio and janela_fim of windows: the id names work, offset and digest."""
-    at = F.lpad(F.col("offset").cast("string"), 5, "0")
+    """id, chapter, janela_inicio and janela_fim of windows: the id names work, number and digest.
+
+    The last two are the window's number, and that plus the words of a window.
+    """
+    at = F.lpad(F.col("number").cast("string"), 5, "0")
     name = F.concat_ws("_", work, at, T.stable_hash(F.col(text)))
-    return df.select(name.alias("id"), F.concat(F.lit("janela_"), at).alias("chapter"), F.col("offset").alias("janela_inicio"), (F.col("offset") + target).alias("janela_fim"))
+    return df.select(name.alias("id"), F.concat(F.lit("janela_"), at).alias("chapter"), F.col("number").alias("janela_inicio"), (F.col("number") + target).alias("janela_fim"))

@@ -70,7 +70,7 @@ def g04_cap_per_work_whole(spark, sf):
 HASHED = f"{FILTERED}, w5 AS (SELECT *, substr(sha1({S.normalize_text('t')}), 1, 16) AS hash FROM w4)"
 
 
-@query(f"""WITH {HASHED} SELECT source || '_' || lpad("offset"::VARCHAR, 5, '0') || '_' || hash AS id, 'janela_' || lpad("offset"::VARCHAR, 5, '0') AS chapter, "offset" AS janela_inicio, "offset" + 160 AS janela_fim FROM w5""")
+@query(f"""WITH {HASHED} SELECT source || '_' || lpad(("offset" // 115)::VARCHAR, 5, '0') || '_' || hash AS id, 'janela_' || lpad(("offset" // 115)::VARCHAR, 5, '0') AS chapter, "offset" // 115 AS janela_inicio, "offset" // 115 + 160 AS janela_fim FROM w5""")
 def g05_candidates(spark, sf):
     return segment.candidates(filtered(spark, sf), "source")
 
@@ -203,7 +203,7 @@ def a05_class_distribution(spark, sf):
     return audit.class_distribution(documents(spark, sf), "lang")
 
 
-@query(f"WITH x AS (SELECT lang, avg(len({S.words('text')})) AS m FROM documents GROUP BY lang) SELECT round((max(m) - min(m)) / greatest(1, max(m)), 9) AS gap, gap > 0.1 AS warns FROM x")
+@query(f"WITH x AS (SELECT lang, avg(len({S.words('text')})) AS m FROM documents GROUP BY lang) SELECT CASE WHEN min(m) > 0 THEN round((max(m) - min(m)) / greatest(1, min(m)), 9) END AS gap, coalesce(gap > 0.1, false) AS warns FROM x")
 def a06_gap_ratio(spark, sf):
     return audit.gap_ratio(documents(spark, sf), "text", "lang")
 
@@ -375,7 +375,7 @@ def k09_split_summary(spark, sf):
 SHARED = "SELECT count(*) AS n FROM (SELECT v FROM s GROUP BY v HAVING bool_or(split = '{a}') AND bool_or(split = '{b}'))"
 K10_CHECKS = " UNION ALL ".join(
     f"SELECT '{severity}' AS severity, '{check}' AS check, '{a} and {b} share ' || n || ' values' AS message FROM (WITH s AS (SELECT DISTINCT split, trim({value}) AS v FROM t WHERE trim({value}) <> '') {SHARED.format(a=a, b=b)}) WHERE n > 0"
-    for check, value, severity in (("id_overlap", "id", "critical"), ("exact_text_overlap", "text", "critical"))
+    for check, value, severity in (("id_overlap", "id", "critical"), ("exact_text_overlap", "text", "critical"), ("normalized_text_overlap", S.leakage_form("text"), "critical"))
     for a, b in (("train", "val"), ("train", "test"), ("val", "test"))
 )
 

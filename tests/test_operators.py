@@ -182,6 +182,18 @@ def test_a_run_without_its_metric_is_an_error(spark):
     assert evaluate.best(rows, "accuracy").first().experiment == "b"
 
 
+def test_first_rows_of_a_hot_group(spark):
+    from textgauge.operators import ranking
+
+    # a third of all rows in one group, a null group, ties and repeated rows
+    rows = [(("hot" if i % 3 == 0 else None if i % 3 == 1 else f"w{i % 30}"), i * 7919 % 500, i % 11) for i in range(3000)] + [("w2", 0, 0)] * 3
+    got = ranking.first_rows(spark.createDataFrame(rows, "w string, a int, b int"), ["w"], ["a", "b"], 20, "rank").collect()
+    by = {}
+    for w, a, b in sorted(rows, key=lambda r: r[1:]):
+        by.setdefault(w, []).append((a, b))
+    assert {w: [(r.a, r.b) for r in sorted(got, key=lambda r: r["rank"]) if r.w == w] for w in by} == {w: v[:20] for w, v in by.items()}
+
+
 def test_entry_is_whole():
     import __spark_entry__ as entry
 

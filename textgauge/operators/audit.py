@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgauge.functions import text as T
+from textgauge.operators.ranking import quantiles
+from textgauge.sources.scratch import saved
 
 
 def measured(df: DataFrame, text: str) -> DataFrame:
@@ -17,10 +19,16 @@ def measured(df: DataFrame, text: str) -> DataFrame:
 
 
 def metrics_by_class(df: DataFrame, text: str, target: str) -> DataFrame:
-    return measured(df, text).groupBy(target).agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.avg("n"), 4).alias("words_mean"), F.round(F.percentile("n", F.lit(0.5)), 4).alias("words_median"),
-        F.min("n").cast("long").alias("words_min"), F.max("n").cast("long").alias("words_max"), F.round(F.avg("per_sentence"), 4).alias("sentence_mean"), F.round(F.avg("ttr"), 4).alias("ttr_mean"),
+    """Rows and lengths by class.  Texts are measured once, into a table; medians are found by counting ranges of lengths."""
+    rows = saved(measured(df, text).select(target, "n", "per_sentence", "ttr"), "measured")
+    by = rows.groupBy(target).agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.avg("n"), 4).alias("words_mean"), F.min("n").cast("long").alias("words_min"), F.max("n").cast("long").alias("words_max"),
+        F.round(F.avg("per_sentence"), 4).alias("sentence_mean"), F.round(F.avg("ttr"), 4).alias("ttr_mean"),
     )
+    medians = quantiles(rows, target, "n", [0.5]).select(F.col(target).alias("__class"), F.round(F.col("q")[0], 4).alias("words_median"))
+    # one row a class
+    out = by.join(F.broadcast(medians), F.col(target).eqNullSafe(F.col("__class")), "left")
+    return out.select(target, "rows", "words_mean", "words_median", "words_min", "words_max", "sentence_mean", "ttr_mean")
 
 
 def length_crosstab(df: DataFrame, text: str, target: str, labels: list[str]) -> DataFrame:

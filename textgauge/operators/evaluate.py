@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textgauge.functions import text as T
-from textgauge.operators.ranking import ranked
+from textgauge.operators.ranking import first_rows, ranked
 
 
 class MergeError(ValueError):
@@ -180,14 +180,13 @@ def top_terms(coefficients: DataFrame, most: int = 30) -> DataFrame:
     c = coefficients.withColumn("coefficient", F.bround("coefficient", 8))
     sides = []
     for name, order in (("positive", F.desc("coefficient")), ("negative", F.asc("coefficient"))):
-        rank = F.row_number().over(W.partitionBy("class").orderBy(order, "term")).cast("long")
-        sides.append(c.withColumn("direction", F.lit(name)).withColumn("rank", rank).where(F.col("rank") <= most))
+        sides.append(first_rows(c, ["class"], [order, "term"], most, "rank").withColumn("direction", F.lit(name)))
     return sides[0].unionByName(sides[1]).select("class", "direction", "rank", "term", "coefficient")
 
 
 def local_terms(weights: DataFrame, predicted: DataFrame, coefficients: DataFrame, id_col: str, rows: int = 10, most: int = 10) -> DataFrame:
     """For the first rows of each predicted class the terms with the largest contributions."""
-    chosen = predicted.withColumn("position", F.row_number().over(W.partitionBy("class").orderBy(id_col)).cast("long")).where(F.col("position") <= rows)
+    chosen = first_rows(predicted, ["class"], [id_col], rows, "position")
     parts = weights.join(chosen, id_col).join(coefficients, ["class", "term"])
     parts = parts.withColumn("contribution", F.round(F.col("weight") * F.col("coefficient"), 8))
     rank = F.row_number().over(W.partitionBy("class", id_col).orderBy(F.desc("contribution"), "term")).cast("long")

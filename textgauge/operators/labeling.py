@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textgauge.functions.lexicons import LABELS
-from textgauge.operators.ranking import quantiles
+from textgauge.operators.ranking import first_rows, quantiles
 from textgauge.sources.scratch import saved
 
 
@@ -31,10 +31,8 @@ def labelled(df: DataFrame, bin_col: str, score: str) -> DataFrame:
 
 def capped(df: DataFrame, work: str, target: str, order: list, per_class: int = 320, per_work: int = 850) -> DataFrame:
     """At most per_class rows of a work and class, then at most per_work of a work, in order."""
-    a = F.row_number().over(W.partitionBy(work, target).orderBy(*order))
-    df = df.withColumn("__a", a).where(F.col("__a") <= per_class)
-    b = F.row_number().over(W.partitionBy(work).orderBy(*order))
-    return df.withColumn("__b", b).where(F.col("__b") <= per_work).drop("__a", "__b")
+    df = first_rows(df, [work, target], order, per_class, "__a").drop("__a")
+    return first_rows(df, [work], order, per_work, "__b").drop("__b")
 
 
 def balanced(df: DataFrame, target: str, bin_col: str, order: list, bins: int = 3, most: int = 5000) -> DataFrame:

@@ -30,6 +30,22 @@ def ranked(df: DataFrame, group: str, digest: Column, ties: Column | None = None
     return out.withColumn("__rank", F.col("__place") + F.col("__before")).drop("__digest", "__range", "__place", "__before", "__group", "__of")
 
 
+#: Pieces of a group in which its first rows are looked for.
+PIECES = 64
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list, most: int, rank: str) -> DataFrame:
+    """The first `most` rows of each group in order, with their rank from 1.
+
+    They are found in PIECES parts of each group first, so that no task gets all rows of a large one; equal rows share a part.
+    """
+    piece = F.pmod(F.xxhash64(*(c for c, t in df.dtypes if not t.startswith("map"))), F.lit(PIECES))
+    rows = df.withColumn("__piece", piece)
+    for by in ([*keys, "__piece"], keys):
+        rows = rows.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(rank) <= most)
+    return rows.drop("__piece")
+
+
 def quantiles(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """group and q, an array of the exact quantiles, interpolated, of the group's values; nulls don't count.
 

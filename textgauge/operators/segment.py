@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textgauge.functions import text as T
+from textgauge.operators.ranking import first_rows
 
 MIN_PARAGRAPH_WORDS = 25
 
@@ -59,8 +60,7 @@ def plausible(min_words: int = 80, max_words: int = 220, min_sentences: int = 2,
 
 
 def first_per_work(df: DataFrame, work: str, order: list[str], most: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(work).orderBy(*order))
-    return df.withColumn("rank_in_work", rank.cast("long")).where(F.col("rank_in_work") <= most)
+    return first_rows(df, [work], order, most, "rank_in_work")
 
 
 def first_by_hash(df: DataFrame, hash_col: str, order: list[str]) -> DataFrame:

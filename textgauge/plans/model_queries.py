@@ -281,9 +281,12 @@ def e06_histogram(spark, sf):
 
 @query("SELECT lang, quantile_cont(n_chars::DOUBLE, 0.25) AS q1, quantile_cont(n_chars::DOUBLE, 0.5) AS median, quantile_cont(n_chars::DOUBLE, 0.75) AS q3, min(n_chars) AS low, max(n_chars) AS high FROM documents GROUP BY lang")
 def e06_boxplot_data(spark, sf):
-    q = F.percentile(F.col("n_chars").cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = documents(spark, sf).groupBy("lang").agg(q.alias("q"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
-    return rows.select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high")
+    from textgauge.operators.ranking import quantiles
+
+    rows = documents(spark, sf).select("lang", "n_chars")
+    boxes = quantiles(rows, "lang", "n_chars", [0.25, 0.5, 0.75]).select("lang", *(F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))))
+    ends = rows.groupBy(F.col("lang").alias("__lang")).agg(F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    return boxes.join(ends, F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang")  # one row a class
 
 
 #: Coefficients that SQL can make too: how much more often a class has a word than all have it.

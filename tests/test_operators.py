@@ -258,3 +258,66 @@ def test_registered_caps_are_the_references(spark, monkeypatch):
     windows = spark.range(2000).selectExpr("'w' AS source", "id AS doc_id", "0L AS `offset`")
     monkeypatch.setattr(corpus_queries, "filtered", lambda spark, sf: windows)
     assert registry.QUERIES["g04_cap_per_work_whole"](spark, "").count() == 1700
+
+
+def brute_near(rows, n=5):
+    """(id, part) -> links, and pairs of rows in different parts, by comparing all sets."""
+    sets = {}
+    for i, t, p in rows:
+        form = " ".join("".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" else " " for c in (t or "").lower()).split())
+        padded = f"  {form}  "
+        sets[i] = (p, len(form), {padded[k : k + n] for k in range(max(len(padded) - n + 1, 1))} if form else set())
+    links = dict.fromkeys(sets, 0)
+    for i, (p, c, x) in sets.items():
+        for j, (q, d, y) in sets.items():
+            if p != q and x and y and round(len(x & y) / len(x | y), 6) >= 0.92 and min(c, d) >= 0.7 * max(c, d):
+                links[i] += 1
+    return links
+
+
+def test_near_copies_of_whole_documents(spark):
+    """Texts of one sign to thousands, groups of copies, near copies at and beside the threshold, texts of one repeated word."""
+    import random
+
+    draw = random.Random(8)
+    vocabulary = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(1, 9))) for _ in range(400)]
+    rows = []
+    for _ in range(60):
+        base = [draw.choice(vocabulary) for _ in range(draw.choice([0, 1, 2, 3, 6, 12, 25, 60, 200, 1500]))]
+        for _ in range(draw.choice([1, 2, 5, 9])):
+            mine = list(base)
+            for _ in range(draw.choice([0, 0, 1, 1 + len(mine) // 100, 1 + len(mine) // 60, 1 + len(mine) // 30])):
+                if mine:
+                    mine[draw.randrange(len(mine))] = draw.choice(vocabulary)
+            rows.append((len(rows), draw.choice([" ", "  ", ", "]).join(mine).upper(), draw.choice(["train", "val", "test"])))
+    rows += [(len(rows) + k, "la " * m, ["train", "val"][k % 2]) for k, m in enumerate([1, 2, 3, 50, 60, 80, 200])]
+    rows += [(-1, None, "val"), (-2, "", "test"), (-3, " .!", "train")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, split string").withColumn("form", F.lit("x")).withColumn("class", F.lit(None).cast("int"))
+    got = {r.doc_id: r for r in leakage.near_duplicate_counts(docs, "doc_id", "text").collect()}
+    want = brute_near(rows)
+    assert {i: r.links for i, r in got.items()} == want and sum(want.values()) > 100
+    assert got[-1].class_id == -1 and all(r.class_id <= i and r.copies <= r.links for i, r in got.items())
+    assert leakage.near_duplicate_counts(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_parts_of_similar_sets_meet():
+    """Any two sets at the threshold share a part's digest, whatever their sizes; others hardly ever do."""
+    import numpy as np
+
+    from textgauge.operators import near
+
+    draw, starts = np.random.default_rng(3), near.levels(0.92 - 6e-7)
+    for size in [*range(1, 60), 100, 500, 3000]:
+        for _ in range(20):
+            most = int(size * 0.08)  # the smaller one lacks as many as it may
+            x = draw.choice(38**5, size, replace=False)
+            y = x[: size - draw.integers(0, most + 1)]
+            swap = int((len(y) - 0.92 * (len(x) + len(y)) / 1.92) + 1e-9)
+            y = np.concatenate([y[max(swap, 0) :], -1 - np.arange(max(swap, 0))]) if swap > 0 else y
+            if len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.92:
+                assert len(np.intersect1d(near.part_digests(x, 0.92 - 6e-7, starts), near.part_digests(y, 0.92 - 6e-7, starts)))
+    # few grams, so that parts are often empty
+    for _ in range(300):
+        x = draw.choice(14, 13, replace=False)
+        y = x[1:]
+        assert len(np.intersect1d(near.part_digests(x, 0.92 - 6e-7, starts), near.part_digests(y, 0.92 - 6e-7, starts)))

@@ -6,13 +6,14 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textgauge.functions import lexicons as lex
 from textgauge.functions import text as T
+from textgauge.operators.near import near_copies
 from textgauge.sources.scratch import saved
 
+SPLITS = ["train", "val", "test"]
 PAIRS = [("train", "val"), ("train", "test"), ("val", "test")]
 
 
@@ -45,38 +46,28 @@ def target_like_columns(columns: list[str], exempt: list[str]) -> list[str]:
     return [c for c in columns if c not in exempt and (norm(c) in known or "target" in norm(c))]
 
 
-def gram_sets(df: DataFrame, keep: list[str], text: Column, n: int = 5) -> DataFrame:
-    """keep, size and grams (64-bit hashes) of each row's normalised text."""
-    rows = df.select(*keep, T.leakage_form(text).alias("k"))
-    rows = rows.select(*keep, F.length("k").alias("chars"), F.transform(T.char_ngrams(F.col("k"), n), lambda g: F.xxhash64(g)).alias("grams"))
-    return rows.select(*keep, "chars", F.size("grams").cast("long").alias("size"), "grams")
+def near_duplicates(left: DataFrame, right: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, length_ratio: float = 0.70, n: int = 5) -> DataFrame:
+    """left_id, right_id, similarity of all rows on either side that are near copies; for tables with few copies, as pairs are expanded."""
+    sides = [x.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(s).alias("part")) for s, x in (("left", left), ("right", right))]
+    return near_copies(sides[0].unionByName(sides[1]), "id", "text", "part", ["left", "right"], threshold, length_ratio, n).expanded("left", "right")
 
 
-def near_duplicates(left: DataFrame, right: DataFrame, id_col: str, text_col: str, threshold: float = 0.92, length_ratio: float = 0.70, n: int = 5) -> DataFrame:
-    """Pairs whose Jaccard similarity of character n-grams reaches the threshold, by prefix filtering.
+def near_duplicates_across(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.92) -> DataFrame:
+    """left_split, right_split, left_id, right_id, similarity of near copies in each pair of splits, all found at once."""
+    found = near_copies(df, id_col, text_col, "split", SPLITS, threshold)
+    return reduce(DataFrame.unionByName, [found.expanded(a, b).select(F.lit(a).alias("left_split"), F.lit(b).alias("right_split"), "left_id", "right_id", "similarity") for a, b in PAIRS])
+
+
+def near_duplicate_counts(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.92) -> DataFrame:
+    """For each row its id, split, class_id, and how many rows of other splits equal it when normalised (copies) or are near copies (links, those among them).
 
-    Grams are ordered by their frequency on both sides, rare ones first.  Two sets that are similar enough share one of their
-    first size - ceil(t * size) + 1 grams, so only those are joined; the sets themselves are joined to candidates.  The
-    length filter is on normalised characters.
+    class_id is the smallest id of the rows with the same normalised text.  Rows without a letter or digit are classes of
+    their own with no link; so are rows of no split.  Nothing is expanded into pairs of rows.
     """
-    least = threshold - 5e-7  # similarities are rounded to six digits
-    a, b = (saved(gram_sets(x, [id_col], F.col(text_col), n), "grams") for x in (left, right))
-    both = a.select("grams").unionByName(b.select("grams"))
-    frequency = both.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(rows: DataFrame, side: str) -> DataFrame:
-        grams = rows.select(id_col, "size", "chars", F.explode("grams").alias("gram")).join(frequency, "gram")
-        place = F.row_number().over(W.partitionBy(id_col).orderBy("df", "gram"))
-        first = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
-        return grams.withColumn("place", place).where(F.col("place") <= first).select("gram", F.col(id_col).alias(f"{side}_id"), F.col("size").alias(f"{side}_size"), F.col("chars").alias(f"{side}_chars"))
-
-    sized = F.least("left_size", "right_size") >= F.lit(least) * F.greatest("left_size", "right_size") - 1e-9
-    long = F.least("left_chars", "right_chars") >= F.lit(length_ratio) * F.greatest("left_chars", "right_chars")
-    pairs = prefix(a, "left").join(prefix(b, "right"), "gram").where(sized & long).select("left_id", "right_id").distinct()
-    pairs = pairs.join(a.select(F.col(id_col).alias("left_id"), F.col("grams").alias("x")), "left_id").join(b.select(F.col(id_col).alias("right_id"), F.col("grams").alias("y")), "right_id")
-    shared = F.size(F.array_intersect("x", "y"))
-    similarity = F.bround(shared / (F.size("x") + F.size("y") - shared), 6)
-    return pairs.select("left_id", "right_id", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    linked = near_copies(df, id_col, text_col, "split", SPLITS, threshold).linked()
+    rest = df.where((T.leakage_form(F.col(text_col)) == "") | F.col("split").isNull() | ~F.col("split").isin(SPLITS))
+    alone = rest.select(F.col(id_col).alias("id"), F.col("split").alias("part"), F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
+    return linked.unionByName(alone).withColumnsRenamed({"id": id_col, "part": "split"})
 
 
 def summary(findings: DataFrame) -> DataFrame:
@@ -128,7 +119,7 @@ def check(df: DataFrame, id_col: str, text_col: str, target_col: str, clean_col:
             if r.shared:
                 out.append(finding(severity, name, f"{r.left_split} and {r.right_split} share {r.shared} values", left=r.left_split, right=r.right_split, shared=r.shared))
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(clean_col or text_col), F.lit("")).alias("text"), "split", F.col(target_col).cast("string").alias("target"))
-    near = saved(across_splits(rows.select("id", "text", "split"), lambda a, b: near_duplicates(a, b, "id", "text", threshold)), "near-copies")
+    near = saved(near_duplicates_across(rows, "id", "text", threshold), "near-copies")
     for left, right in PAIRS:
         pairs = near.where((F.col("left_split") == left) & (F.col("right_split") == right))
         if n := pairs.count():

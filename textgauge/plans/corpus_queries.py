@@ -351,7 +351,7 @@ def split_documents(spark, sf):
 
 
 def near_duplicates_by_split(rows):
-    return leakage.across_splits(rows, lambda a, b: leakage.near_duplicates(a, b, "doc_id", "text"))
+    return leakage.near_duplicates_across(rows, "doc_id", "text")
 
 
 @query(f"""WITH {GRAMS}, j AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS i FROM k2 a JOIN k2 b ON a.gram = b.gram AND 100 * a.n >= 91 * b.n AND 100 * b.n >= 91 * a.n WHERE {TURN_SPLIT.format('a.doc_id')} < {TURN_SPLIT.format('b.doc_id')} GROUP BY ALL)
@@ -363,8 +363,8 @@ def k05_near_duplicates_by_split(spark, sf):
 
 @query()
 def k05_near_duplicate_documents(spark, sf):
-    """Too slow in SQL on whole documents; the query above and the tests hold the operator against it on short texts."""
-    return near_duplicates_by_split(split_documents(spark, sf))
+    """Each document's class and number of near copies in other splits; too slow in SQL on whole documents, tests hold it against brute force."""
+    return leakage.near_duplicate_counts(split_documents(spark, sf), "doc_id", "text")
 
 
 @query("WITH s AS (SELECT CASE WHEN doc_id % 20 < 14 THEN 'train' WHEN doc_id % 20 < 17 THEN 'val' ELSE 'test' END AS split, lang AS target FROM documents) SELECT split, target, count(*) AS rows FROM s GROUP BY ALL")

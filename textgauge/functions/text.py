@@ -167,6 +167,26 @@ def leakage_form(c: Column) -> Column:
     return strip(F.regexp_replace(strip_accents(F.lower(strip(coerce(c)))), "[^0-9a-záàâãéêíóôõúç]+", " "))
 
 
+class _LeakageSigns(dict):
+    """What a lower-case character is in `leakage_form`: its base, nothing for a mark, a blank for all but letters and digits."""
+
+    def __missing__(self, code: int):
+        source, target = accent_map()
+        c = chr(code)
+        base = target[source.index(c)] if c in source else "" if unicodedata.category(c) == "Mn" else c
+        self[code] = out = base if base in LEAKAGE_SIGNS else " "  # the empty text is in any
+        return out
+
+
+LEAKAGE_SIGNS = "0123456789abcdefghijklmnopqrstuvwxyz"
+_leakage_signs = _LeakageSigns()
+
+
+def leakage_text(text: str | None) -> str:
+    """`leakage_form` of one text, for tasks that go on in Python; the two may differ in marks that only one of their Unicode versions has."""
+    return " ".join((text or "").lower().translate(_leakage_signs).split())
+
+
 def runs(c: Column, n: int) -> Column:
     """All runs of n characters.  The characters are an array first: a string's i-th character is only found from its start."""
 

@@ -5,11 +5,12 @@ differ in H grams at most, H = 2r(1 - t)/(1 + t).  If grams are dealt to H + 1 p
 sets, so sets meet by the digests of their parts (about a dozen grams each) and no gram is ever a join key.  Parts without
 grams would be alike in all sets: there are SPARE parts more than needed, and a set with at most as many empty ones need not
 show them.  r is bounded by levels of size, in which similar sets are in the same or neighbouring ones.  Candidates are
-verified on whole sets.
+verified on whole sets, which are told by what they lack of and have beyond a set that their group shares.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,6 +79,14 @@ def part_digests(codes: np.ndarray, threshold: float, starts: np.ndarray) -> np.
     return np.concatenate(out).view(np.int64)
 
 
+def normalised(batches):
+    """id, part, digest and normalised form of rows of id, part, text."""
+    for batch in batches:
+        forms = [T.leakage_text(t.as_py()) for t in batch.column(2)]
+        digests = [hashlib.sha256(f.encode()).digest() for f in forms]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(forms, pa.string())], names=["id", "part", "digest", "form"])
+
+
 @dataclass
 class NearCopies:
     """members: id, part, class; classes: class, first (the smallest id), n_<part>; pairs: left < right (classes), similarity.
@@ -126,8 +135,10 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, part_col: str, parts:
     ship(spark)
     least = threshold - 5e-7 - 1e-9
     starts, bits = levels(least), len(parts)
-    named = df.where(F.col(part_col).isin(parts)).select(F.col(id_col).alias("id"), F.col(part_col).alias("part"), T.leakage_form(F.col(text_col)).alias("form")).where("form <> ''")
-    forms = saved(named.select(F.monotonically_increasing_id().alias("row"), "id", "part", F.unhex(F.sha2("form", 256)).alias("digest"), "form"), "forms")
+    named = df.where(F.col(part_col).isin(parts)).select(F.col(id_col).alias("id"), F.col(part_col).alias("part"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    kind = dict(named.dtypes)["id"]
+    named = named.mapInArrow(normalised, f"id {kind}, part string, digest binary, form string").where("form <> ''")
+    forms = saved(named.select(F.monotonically_increasing_id().alias("row"), "*"), "forms")
     counts = [F.count(F.when(F.col("part") == p, 1)).alias(f"n_{p}") for p in parts]
     digests = saved(forms.groupBy("digest").agg(F.min("row").alias("class"), F.min("id").alias("first"), *counts), "classes")
     classes = digests.drop("digest")
@@ -172,16 +183,26 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, part_col: str, parts:
     owned = once.select(F.shiftleft("class", bits).bitwiseOR(F.col("mask")).alias("owner"), "form").mapInArrow(keys, "key long, owner long")
     one, other = owned.toDF("key", "x"), owned.toDF("key", "y")
     of = [F.col(c).bitwiseAND(F.lit((1 << bits) - 1)) for c in ("x", "y")]
-    apart = (of[0] != of[1]) | (of[0].bitwiseAND(of[0] - 1) != 0)
-    met = one.join(other, "key").where((F.col("x") < F.col("y")) & apart).select(F.shiftright("x", bits).alias("left"), F.shiftright("y", bits).alias("right")).distinct()
+    across = (of[0] != of[1]) | (of[0].bitwiseAND(of[0] - 1) != 0)
+    met = one.join(other, "key").where((F.col("x") < F.col("y")) & across).select(F.shiftright("x", bits).alias("left"), F.shiftright("y", bits).alias("right")).distinct()
     met = saved(met, "candidates")
     wanted = met.select(F.col("left").alias("class")).unionByName(met.select(F.col("right").alias("class"))).distinct()
     whole = saved(forms.select(F.col("row").alias("class"), "form").join(wanted, "class", "left_semi").mapInArrow(sets, f"class long, chars long, grams array<{'int' if n <= 5 else 'long'}>"), "grams")
-    a, b = whole.toDF("left", "left_chars", "x"), whole.toDF("right", "right_chars", "y")
+    # x and y differ where their differences from a third set do, so pairs carry those: a group's sets are all compared with its smallest class
+    both = met.unionByName(met.select(F.col("right").alias("left"), F.col("left").alias("right")))
+    pivots = both.groupBy("left").agg(F.least(F.col("left"), F.min("right")).alias("pivot"))
+    asked = saved(met.join(pivots, "left"), "pivots")
+    about = asked.select(F.col("left").alias("class"), "pivot").unionByName(asked.select(F.col("right").alias("class"), "pivot")).distinct()
+    pivot = whole.select(F.col("class").alias("pivot"), F.col("grams").alias("p"))
+    differ = F.concat(F.array_except("grams", "p"), F.array_except("p", "grams"))
+    apiece = saved(about.join(whole, "class").join(pivot, "pivot").select("class", "pivot", "chars", F.size("grams").alias("size"), differ.alias("differ")), "differences")
+    a, b = apiece.toDF("left", "pivot", "left_chars", "left_size", "x"), apiece.toDF("right", "pivot", "right_chars", "right_size", "y")
     long = F.least("left_chars", "right_chars") >= F.lit(length_ratio) * F.greatest("left_chars", "right_chars")
-    sized = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y"))
-    compared = met.join(a, "left").join(b, "right").where(long & sized).select("left", "right", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
+    sized = F.least("left_size", "right_size") >= F.lit(least) * F.greatest("left_size", "right_size")
+    apart = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
+    sizes = F.col("left_size") + F.col("right_size")
+    compared = asked.join(a, ["left", "pivot"]).join(b, ["right", "pivot"]).where(long & sized).select("left", "right", ((sizes - apart) / 2).cast("long").alias("shared"), sizes.alias("sizes"))
     pairs = compared.select("left", "right", F.bround(F.col("shared") / (F.col("sizes") - F.col("shared")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
     pairs = saved(pairs, "near-pairs")
-    dropped(forms, met, whole)
+    dropped(forms, met, whole, asked, apiece)
     return NearCopies(members, classes, pairs, list(parts))

@@ -184,7 +184,16 @@ _leakage_signs = _LeakageSigns()
 
 def leakage_text(text: str | None) -> str:
     """`leakage_form` of one text, for tasks that go on in Python; the two may differ in marks that only one of their Unicode versions has."""
-    return " ".join((text or "").lower().translate(_leakage_signs).split())
+    lower = (text or "").lower()
+    try:  # nearly all texts; a table of bytes is much faster than one of characters
+        return b" ".join(lower.encode("latin-1").translate(_latin_signs()).split()).decode("ascii")
+    except UnicodeEncodeError:
+        return " ".join(lower.translate(_leakage_signs).split())
+
+
+@lru_cache(1)
+def _latin_signs() -> bytes:
+    return "".join(_leakage_signs[c] for c in range(256)).encode("ascii")
 
 
 def runs(c: Column, n: int) -> Column:

@@ -28,6 +28,8 @@ BATCH = 1 << 20
 #: The normalised form's letters: with the end of a short text 38 signs, of which 12 fit 63 bits, 5 fit 31.
 LETTERS = b"0123456789abcdefghijklmnopqrstuvwxyz "
 MOST_N = 12
+SIGNS = np.zeros(256, np.int64)
+SIGNS[np.frombuffer(LETTERS, np.uint8)] = np.arange(1, len(LETTERS) + 1)
 
 
 def levels(threshold: float, most: float = 2.0**40) -> np.ndarray:
@@ -40,16 +42,16 @@ def levels(threshold: float, most: float = 2.0**40) -> np.ndarray:
 
 def grams(form: str, n: int) -> np.ndarray:
     """The distinct n-grams of a normalised text between two blanks on each side, as numbers, in order; all of it if it has n signs at most."""
-    table = np.zeros(256, np.int64)
-    table[np.frombuffer(LETTERS, np.uint8)] = np.arange(1, len(LETTERS) + 1)
     if not form:
         return np.zeros(0, np.int64)
-    signs = table[np.frombuffer(f"  {form}  ".encode("ascii"), np.uint8)]
+    signs = SIGNS[np.frombuffer(f"  {form}  ".encode("ascii"), np.uint8)].astype(np.int32 if n <= 5 else np.int64)
     n = min(n, len(signs))
-    codes = np.zeros(len(signs) - n + 1, np.int64)
-    for k in range(n):
-        codes = codes * (len(LETTERS) + 1) + signs[k : len(signs) - n + 1 + k]
-    return np.unique(codes)
+    codes = signs[: len(signs) - n + 1].copy()
+    for k in range(1, n):
+        codes *= len(LETTERS) + 1
+        codes += signs[k : len(signs) - n + 1 + k]
+    codes.sort()
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,19 +65,21 @@ def part_digests(codes: np.ndarray, threshold: float, starts: np.ndarray) -> np.
     """Digests of the set's parts in its own level and in the next, where larger sets may be similar to it."""
     level = int(np.searchsorted(starts, len(codes), "right")) - 1
     spread = mixed(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    again, out = mixed(spread), []
+    place = spread >> np.uint64(32)
+    # sums of 32 bits are exact in doubles, whatever their order
+    halves = [(x & np.uint64(0xFFFFFFFF)).astype(np.float64) for x in (spread, spread * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32))]
+    out = []
     for at in (level, level + 1):
         differ = int(2 * (starts[at + 1] - 1) * (1 - threshold) / (1 + threshold) + 1e-6)
         spare = SPARE if differ else 0
         k = differ + 1 + spare
-        part = ((spread >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(k, np.uint64)
-        np.add.at(sums, part, again)
-        full = np.bincount(part, minlength=k) > 0
+        part = (place * np.uint64(k) >> np.uint64(32)).astype(np.intp)
+        low, high = (np.bincount(part, x, k).astype(np.uint64) for x in halves)
+        full = (low | high) > 0
         if k - full.sum() > spare:
             full[:] = True
-        names = np.uint64(at << 40) + np.arange(k, dtype=np.uint64)
-        out.append(mixed(sums + mixed(names + np.uint64(1)))[full])
+        names = np.arange(k, dtype=np.uint64) + np.uint64((at << 40) + 1)
+        out.append(mixed((high << np.uint64(32)) + low + mixed(names))[full])
     return np.concatenate(out).view(np.int64)
 
 
@@ -159,25 +163,28 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, part_col: str, parts:
             if found:
                 yield pa.RecordBatch.from_arrays([np.concatenate(found), np.concatenate(owners)], names=["key", "owner"])
 
-    def sets(batches):
+    def differences(batches):
+        last, own = None, None
         for batch in batches:
-            names, sizes, found, held = [], [], [], 0
-            for name, form in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, held = [], 0
+            for name, pivot, form, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if pivot != last:
+                    last, own = pivot, grams(other.as_py(), n)
                 text = form.as_py()
-                names.append(name)
-                sizes.append(len(text))
-                found.append(grams(text, n))
-                held += len(found[-1])
+                mine = grams(text, n)
+                rows.append((name, pivot, len(text), len(mine), np.setxor1d(mine, own, assume_unique=True)))
+                held += len(rows[-1][-1])
                 if held >= BATCH:
-                    yield set_batch(names, sizes, found)
-                    names, sizes, found, held = [], [], [], 0
-            if names:
-                yield set_batch(names, sizes, found)
+                    yield difference_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield difference_batch(rows)
 
-    def set_batch(names, sizes, found):
-        ends = np.cumsum([0, *(len(x) for x in found)]).astype(np.int32)
-        values = pa.array(np.concatenate(found), number)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, values)], names=["class", "chars", "grams"])
+    def difference_batch(rows):
+        *plain, found = zip(*rows)
+        ends = pa.array(np.cumsum([0, *(len(x) for x in found)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), number))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in plain), lists], names=["class", "pivot", "chars", "size", "differ"])
 
     number = pa.int32() if n <= 5 else pa.int64()
     owned = once.select(F.shiftleft("class", bits).bitwiseOR(F.col("mask")).alias("owner"), "form").mapInArrow(keys, "key long, owner long")
@@ -186,16 +193,14 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, part_col: str, parts:
     across = (of[0] != of[1]) | (of[0].bitwiseAND(of[0] - 1) != 0)
     met = one.join(other, "key").where((F.col("x") < F.col("y")) & across).select(F.shiftright("x", bits).alias("left"), F.shiftright("y", bits).alias("right")).distinct()
     met = saved(met, "candidates")
-    wanted = met.select(F.col("left").alias("class")).unionByName(met.select(F.col("right").alias("class"))).distinct()
-    whole = saved(forms.select(F.col("row").alias("class"), "form").join(wanted, "class", "left_semi").mapInArrow(sets, f"class long, chars long, grams array<{'int' if n <= 5 else 'long'}>"), "grams")
     # x and y differ where their differences from a third set do, so pairs carry those: a group's sets are all compared with its smallest class
     both = met.unionByName(met.select(F.col("right").alias("left"), F.col("left").alias("right")))
     pivots = both.groupBy("left").agg(F.least(F.col("left"), F.min("right")).alias("pivot"))
     asked = saved(met.join(pivots, "left"), "pivots")
     about = asked.select(F.col("left").alias("class"), "pivot").unionByName(asked.select(F.col("right").alias("class"), "pivot")).distinct()
-    pivot = whole.select(F.col("class").alias("pivot"), F.col("grams").alias("p"))
-    differ = F.concat(F.array_except("grams", "p"), F.array_except("p", "grams"))
-    apiece = saved(about.join(whole, "class").join(pivot, "pivot").select("class", "pivot", "chars", F.size("grams").alias("size"), differ.alias("differ")), "differences")
+    texts = forms.select(F.col("row").alias("class"), "form")
+    told = about.join(texts, "class").join(texts.toDF("pivot", "other"), "pivot").select("class", "pivot", "form", "other")
+    apiece = saved(told.mapInArrow(differences, f"class long, pivot long, chars long, size long, differ array<{'int' if n <= 5 else 'long'}>"), "differences")
     a, b = apiece.toDF("left", "pivot", "left_chars", "left_size", "x"), apiece.toDF("right", "pivot", "right_chars", "right_size", "y")
     long = F.least("left_chars", "right_chars") >= F.lit(length_ratio) * F.greatest("left_chars", "right_chars")
     sized = F.least("left_size", "right_size") >= F.lit(least) * F.greatest("left_size", "right_size")
@@ -204,5 +209,5 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, part_col: str, parts:
     compared = asked.join(a, ["left", "pivot"]).join(b, ["right", "pivot"]).where(long & sized).select("left", "right", ((sizes - apart) / 2).cast("long").alias("shared"), sizes.alias("sizes"))
     pairs = compared.select("left", "right", F.bround(F.col("shared") / (F.col("sizes") - F.col("shared")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
     pairs = saved(pairs, "near-pairs")
-    dropped(forms, met, whole, asked, apiece)
+    dropped(forms, met, asked, apiece)
     return NearCopies(members, classes, pairs, list(parts))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgauge.functions import text as T
-from textgauge.sources.scratch import dropped, saved, ship
+from textgauge.sources.scratch import dropped, releasing, saved, ship
 
 #: Parts beyond H + 1; sets with more empty parts than this also meet by these.
 SPARE = 2
@@ -135,8 +135,12 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, part_col: str, parts:
     """
     if not 1 <= n <= MOST_N:
         raise ValueError(f"n-grams of 1 to {MOST_N} signs")
-    spark = df.sparkSession
-    ship(spark)
+    ship(df.sparkSession)
+    with releasing(df.sparkSession):
+        return _near_copies(df, id_col, text_col, part_col, parts, threshold, length_ratio, n)
+
+
+def _near_copies(df: DataFrame, id_col: str, text_col: str, part_col: str, parts: list[str], threshold: float, length_ratio: float, n: int) -> NearCopies:
     least = threshold - 5e-7 - 1e-9
     starts, bits = levels(least), len(parts)
     named = df.where(F.col(part_col).isin(parts)).select(F.col(id_col).alias("id"), F.col(part_col).alias("part"), F.col(text_col).cast("string").alias("text")).where("text <> ''")

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: A query's shuffles end with it, and Python workers get small batches.
+RELEASING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def releasing(spark: SparkSession):
+    """While tables are written one after another, each written table's shuffles go at once."""
+    before = {k: spark.conf.get(k, None) for k in RELEASING}
+    for k, v in RELEASING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table: what is costly is computed once for several readers, and a lost executor loses nothing of it.
 

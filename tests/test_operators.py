@@ -321,3 +321,16 @@ def test_parts_of_similar_sets_meet():
         x = draw.choice(14, 13, replace=False)
         y = x[1:]
         assert len(np.intersect1d(near.part_digests(x, 0.92 - 6e-7, starts), near.part_digests(y, 0.92 - 6e-7, starts)))
+
+
+def test_stratified_parts_have_the_sizes_of_the_split(spark):
+    """Three classes of ten: 20, 5 and 5 rows, not a rounding up in each class; a null class is one too."""
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)], "id int, y string")
+    got = {(r.split, r.y): r["count"] for r in prepare.stratified_split(rows, "id", "y").groupBy("split", "y").count().collect()}
+    assert {s: sum(n for (p, _), n in got.items() if p == s) for s in ("train", "val", "test")} == {"train": 20, "val": 5, "test": 5}
+    assert sorted(n for (p, _), n in got.items() if p == "test") == [1, 2, 2] and got["test", "c"] == 1
+    assert prepare.apportioned([6, 3, 1], 5) == [3, 2, 0] and prepare.apportioned([], 0) == []
+    rows = spark.createDataFrame([(i, None if i % 4 else "a") for i in range(41)], "id int, y string")
+    sizes = {r.split: r["count"] for r in prepare.stratified_split(rows, "id", "y").groupBy("split").count().collect()}
+    assert tuple(sizes[s] for s in ("train", "val", "test")) == prepare.split_counts(41, 0.15, 0.15)
+    assert prepare.stratified_split(rows.limit(0), "id", "y").count() == 0

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from textgauge.functions import text as T
 from textgauge.operators.ranking import ranked
@@ -107,10 +108,31 @@ def cut(rows: DataFrame, test: float, val: float) -> DataFrame:
     return rows.withColumn("split", split).drop("__rank", "__size")
 
 
+def apportioned(sizes: list[int], whole: int) -> list[int]:
+    """`whole` dealt to classes by their sizes: each its share rounded down, the rest to the largest remainders, earlier classes first."""
+    total = max(sum(sizes), 1)
+    out = [n * whole // total for n in sizes]
+    for i in sorted(range(len(sizes)), key=lambda i: (-(sizes[i] * whole % total), i))[: whole - sum(out)]:
+        out[i] += 1
+    return out
+
+
 def stratified_split(df: DataFrame, id_col: str, target_col: str, test: float = 0.15, val: float = 0.15) -> DataFrame:
-    """With a `split` column: within each class rows are ranked by the digest of their id and cut by the class's counts."""
+    """With a `split` column: the parts have the sizes of `split_counts`, dealt to the classes by their sizes.
+
+    Within each class rows are ranked by the digest of their id; test is the front, then val.  The classes, a few, come to the
+    driver with their counts, in the order of their names, null last.
+    """
     name = F.col(id_col).cast("string")
-    return cut(ranked(df, target_col, F.md5(name), name), test, val)
+    classes = df.groupBy(F.col(target_col).alias("__class")).agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted(classes.collect(), key=lambda r: (r[0] is None, str(r[0])))
+    _, v, t = split_counts(sum(r.n for r in counts), test, val)
+    tests = apportioned([r.n for r in counts], t)
+    vals = apportioned([r.n - k for r, k in zip(counts, tests)], v)
+    ends = df.sparkSession.createDataFrame([(r[0], k, k + m) for r, k, m in zip(counts, tests, vals)], StructType([StructField("__class", classes.schema[0].dataType), StructField("__test", LongType()), StructField("__val", LongType())]))
+    rows = ranked(df, target_col, F.md5(name), name).join(F.broadcast(ends), F.col(target_col).eqNullSafe(F.col("__class")))
+    split = F.when(F.col("__rank") <= F.col("__test"), "test").when(F.col("__rank") <= F.col("__val"), "val").otherwise("train")
+    return rows.withColumn("split", split).drop("__rank", "__size", "__class", "__test", "__val")
 
 
 def split_dataset(df: DataFrame, id_col: str, target_col: str, test: float = 0.15, val: float = 0.15) -> tuple[DataFrame, list[str]]:

@@ -284,9 +284,14 @@ def p06_preprocessed(spark, sf):
 
 
 SPLIT = """
-r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id::VARCHAR) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents),
-t AS (SELECT *, ceil(round(n * 0.15::DOUBLE, 9)) AS nt FROM r), v AS (SELECT *, ceil(round((n - nt) * (0.15::DOUBLE / (1 - 0.15::DOUBLE)), 9)) AS nv FROM t),
-sp AS (SELECT doc_id, lang, CASE WHEN k <= nt THEN 'test' WHEN k <= nt + nv THEN 'val' ELSE 'train' END AS split FROM v)"""
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id::VARCHAR) AS k FROM documents),
+c AS (SELECT lang, count(*)::BIGINT AS n FROM documents GROUP BY lang),
+z AS (SELECT a, t, ceil(round((a - t) * (0.15::DOUBLE / (1 - 0.15::DOUBLE)), 9))::BIGINT AS v FROM (SELECT sum(n)::BIGINT AS a, ceil(round(sum(n)::BIGINT * 0.15::DOUBLE, 9))::BIGINT AS t FROM c)),
+t0 AS (SELECT lang, n, a, t, v, n * t // a AS lo, row_number() OVER (ORDER BY n * t % a DESC, lang NULLS LAST) AS place FROM c, z),
+t1 AS (SELECT lang, n, a - t AS a, v, lo + (place <= t - (SELECT sum(lo) FROM t0))::BIGINT AS nt FROM t0),
+v0 AS (SELECT lang, nt, v, (n - nt) * v // a AS lo, row_number() OVER (ORDER BY (n - nt) * v % a DESC, lang NULLS LAST) AS place FROM t1),
+v1 AS (SELECT lang, nt, nt + lo + (place <= v - (SELECT sum(lo) FROM v0))::BIGINT AS nv FROM v0),
+sp AS (SELECT doc_id, r.lang, CASE WHEN k <= nt THEN 'test' WHEN k <= nv THEN 'val' ELSE 'train' END AS split FROM r JOIN v1 ON r.lang IS NOT DISTINCT FROM v1.lang)"""
 
 
 @query(f"WITH {SPLIT} SELECT doc_id, split FROM sp")

@@ -334,3 +334,12 @@ def test_stratified_parts_have_the_sizes_of_the_split(spark):
     sizes = {r.split: r["count"] for r in prepare.stratified_split(rows, "id", "y").groupBy("split").count().collect()}
     assert tuple(sizes[s] for s in ("train", "val", "test")) == prepare.split_counts(41, 0.15, 0.15)
     assert prepare.stratified_split(rows.limit(0), "id", "y").count() == 0
+
+
+def test_fold_metrics_over_fixed_labels(spark):
+    """Worked by hand: fold 1 lacks the label c, whose zeros count in the means."""
+    rows = spark.createDataFrame([(1, "a", "a"), (1, "a", "b"), (1, "b", "b"), (2, "c", "a"), (2, "c", None)], "fold int, y string, p string")
+    one, two = evaluate.fold_metrics(rows, "fold", ["a", "b", "c"]).orderBy("fold").collect()
+    assert tuple(one) == (1, 3, 0.666667, 0.5, 0.5, 0.444444)
+    assert tuple(two) == (2, 2, 0.0, 0.0, 0.0, 0.0)
+    assert evaluate.fold_metrics(rows.limit(0), "fold", ["a"]).count() == 0

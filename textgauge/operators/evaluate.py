@@ -167,6 +167,23 @@ def best(results: DataFrame, metric: str) -> DataFrame:
     return results.orderBy(F.desc(metric), F.desc("f1_weighted"), F.desc("accuracy"), "position").limit(1)
 
 
+def fold_metrics(df: DataFrame, fold: str, labels: list[str], true: str = "y", predicted: str = "p") -> DataFrame:
+    """fold, rows, accuracy and precision_macro, recall_macro, f1_macro, means over the fixed labels: one that a fold lacks counts as 0.
+
+    Rows with a label beyond the list count for accuracy alone.  One aggregation, with as many sums as there are labels.
+    """
+    y, p = F.col(true), F.col(predicted)
+    sums = [F.sum(F.when(cond, 1).otherwise(0)).alias(f"__{kind}{i}") for i, x in enumerate(labels) for kind, cond in (("hit", (y == x) & (p == x)), ("true", y == x), ("said", p == x))]
+    by = df.groupBy(fold).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.when(y == p, 1.0).otherwise(0.0)).alias("accuracy"), *sums)
+    each = [[F.col(f"__{kind}{i}") for kind in ("hit", "true", "said")] for i in range(len(labels))]
+
+    def mean(parts):
+        return F.bround(sum((T.ratio(a, b) for a, b in parts), F.lit(0.0)) / max(len(labels), 1), 6)
+
+    precision, recall, f1 = mean([(h, s) for h, _, s in each]), mean([(h, t) for h, t, _ in each]), mean([(2 * h, t + s) for h, t, s in each])
+    return by.select(fold, "rows", F.bround("accuracy", 6).alias("accuracy"), precision.alias("precision_macro"), recall.alias("recall_macro"), f1.alias("f1_macro"))
+
+
 def softmax(margins):
     """Shifted softmax of an array; equal shares if it sums to nothing."""
     top = F.array_max(margins)

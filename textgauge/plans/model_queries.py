@@ -251,6 +251,18 @@ def m30_group_metrics(spark, sf):
     return p.join(folds, "source").groupBy("fold").agg(F.bround(F.avg((F.col("y") == F.col("p")).cast("int")), 6).alias("accuracy"), F.count(F.lit(1)).alias("rows"))
 
 
+@query(f"""WITH {PREDICTED}, f AS (SELECT y, p, source AS fold FROM pr), lb AS (SELECT DISTINCT y AS label FROM pr WHERE y IS NOT NULL),
+k AS (SELECT fo.fold, label, (SELECT count(*) FROM f WHERE f.fold = fo.fold AND y = label AND p = label)::DOUBLE AS h, (SELECT count(*) FROM f WHERE f.fold = fo.fold AND y = label) AS t,
+(SELECT count(*) FROM f WHERE f.fold = fo.fold AND p = label) AS s FROM (SELECT DISTINCT fold FROM f) fo, lb),
+m AS (SELECT fold, round_even(avg(CASE WHEN s > 0 THEN h / s ELSE 0 END), 6) AS precision_macro, round_even(avg(CASE WHEN t > 0 THEN h / t ELSE 0 END), 6) AS recall_macro, round_even(avg(CASE WHEN t + s > 0 THEN 2 * h / (t + s) ELSE 0 END), 6) AS f1_macro FROM k GROUP BY fold),
+a AS (SELECT fold, count(*) AS rows, round_even(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM f GROUP BY fold) SELECT fold, rows, accuracy, precision_macro, recall_macro, f1_macro FROM a JOIN m USING (fold)""")
+def m30_fold_metrics(spark, sf):
+    """Each source is a group held out; the labels, a few, are those of all rows."""
+    p = predicted(spark, sf).withColumnRenamed("source", "fold")
+    labels = sorted(r.y for r in p.select("y").distinct().where("y is not null").collect())
+    return E.fold_metrics(p, "fold", labels)
+
+
 @query("SELECT count(*) AS rows, count(*) FILTER (WHERE doc_id IS NULL) AS null_ids, count(*) - count(DISTINCT doc_id) AS repeated_ids, count(*) FILTER (WHERE trim(coalesce(lang, '')) = '') AS blank_targets FROM documents")
 def e02_test_frame(spark, sf):
     return E.test_frame_counts(documents(spark, sf), "doc_id", "lang")

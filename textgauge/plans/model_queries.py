@@ -85,7 +85,7 @@ w0 AS (SELECT doc_id, term, tf * idf AS w FROM c1 JOIN v1 USING (term)), w1 AS (
 
 def turns(spark, sf):
     d = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    counts = V.term_counts(d, "doc_id", V.char_wb_terms(F.col("text")))
+    counts = saved(terms.row_counts(terms.prepared(terms.by_id(d, "doc_id", "text"), "char_wb", "id"), "char_wb").withColumnRenamed("id", "doc_id"), "term-counts")
     return V.tfidf(counts, V.vocabulary(counts, d.count()), "doc_id")
 
 
@@ -312,8 +312,8 @@ cl AS (SELECT lang AS class, term, count(*) AS k FROM tk GROUP BY ALL), co AS (S
 
 
 def coefficients(spark, sf):
-    tokens = documents(spark, sf).select("lang", F.explode(T.extract(F.lower("text"), r"(?U)\w\w+")).alias("term"))
-    by = tokens.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("k"))
+    tokens = documents(spark, sf).select(F.col("lang").alias("own"), T.extract(F.lower("text"), r"(?U)\w\w+").alias("values"))
+    by = saved(terms.totals(tokens, "term").select(F.col("own").alias("lang"), "term", F.col("total").alias("k")), "terms-by-class")
     total = by.groupBy("term").agg(F.sum("k").alias("n")).where("n >= 50")
     return by.join(total, "term").select(F.col("lang").alias("class"), "term", F.bround(F.col("k") / F.col("n"), 8).alias("coefficient"))
 
@@ -327,8 +327,16 @@ def e08_top_terms(spark, sf):
 ct AS (SELECT class, doc_id, position, term, round(weight * coefficient, 8) AS contribution FROM w1 JOIN ch USING (doc_id) JOIN co USING (class, term))
 SELECT class, doc_id, position, row_number() OVER (PARTITION BY class, doc_id ORDER BY contribution DESC, term) AS term_rank, term, contribution FROM ct QUALIFY term_rank <= 10""")
 def e09_local_terms(spark, sf):
-    weights = tfidf(spark, sf, V.word_terms, 5000)
-    return E.local_terms(weights, documents(spark, sf).select("doc_id", F.col("lang").alias("class")), coefficients(spark, sf), "doc_id")
+    rows = terms.by_id(documents(spark, sf), "doc_id", "text")
+    known = terms.vocabulary(rows, "word", documents(spark, sf).count(), 5000)
+    classes = documents(spark, sf).select("doc_id", F.col("lang").alias("class"))
+    # only the rows that are shown, a few of each class, get weights
+    chosen = saved(E.shown_rows(classes, "doc_id"), "shown-rows")
+    shown = rows.join(F.broadcast(chosen.select(F.col("doc_id").alias("id")).distinct()), "id", "left_semi")
+    found = terms.vectors(terms.prepared(shown, "word", "id"), "word", {0: known})
+    names = spark.createDataFrame(list(enumerate(t for t, _ in known)), "i int, term string")
+    weights = found.select(F.col("id").alias("doc_id"), F.explode(F.arrays_zip("i", "x")).alias("v")).select("doc_id", F.col("v.i").alias("i"), F.col("v.x").alias("weight")).join(F.broadcast(names), "i").drop("i")
+    return E.local_terms(weights, chosen, coefficients(spark, sf), "doc_id", chosen=True)
 
 
 MARGINS = "mg AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS m FROM embeddings), ex AS (SELECT vec_id, list_transform(m, lambda x: exp(x - list_max(m))) AS e FROM mg), sm AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS s FROM ex)"

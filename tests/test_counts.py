@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textgauge.functions import counts, features
+from textgauge.operators import segment
 
 
 def texts():
@@ -16,10 +17,12 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("of", ["linguistic", "builder"])
+@pytest.mark.parametrize("of", ["linguistic", "builder", "window"])
 def test_counts_of_tasks_are_those_of_expressions(spark, monkeypatch, of):
     rows = spark.createDataFrame(list(enumerate(texts())), "id long, text string").unionByName(spark.sql("SELECT 999L AS id, CAST(X'61FF2E62' AS STRING) AS text"))
-    measure = getattr(features, of)
+    measure = segment.measured if of == "window" else getattr(features, of)
+    if of == "window":
+        rows = rows.where("text IS NOT NULL")
     got = {r.id: r.asDict() for r in measure(rows, "text").drop("text").collect()}
     plain = features.counted(rows, "text", getattr(counts, of), **({"long_word": 7} if of == "linguistic" else {}))
     assert plain.where("__p IS NOT NULL").count() > 150 and plain.where("__p IS NULL AND __rest IS NOT NULL").count() > 20

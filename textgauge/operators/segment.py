@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textgauge.functions import counts as C
+from textgauge.functions import features as X
+from textgauge.functions import lexicons as lex
 from textgauge.functions import text as T
 from textgauge.operators.ranking import first_rows
 
@@ -38,25 +41,39 @@ def windows(df: DataFrame, key: list[str], text: str, min_words: int = 80, targe
     step = max(20, target - overlap)
     tokens = F.filter(F.split(F.col(text), r"(?U)\s+"), lambda t: t != "")
     df = df.select(*key, tokens.alias("__w")).withColumn("__n", F.size("__w")).where(F.col("__n") >= min_words)
-    df = df.select(*key, "__w", F.explode(F.sequence(F.lit(0), F.col("__n") - min_words, F.lit(step))).alias("offset"))
-    chunk = F.array_join(F.slice("__w", F.col("offset") + 1, F.lit(min(target, most))), " ")
+    # a text's tokens stay in its row: only the windows' own come out of it
+    at = F.sequence(F.lit(0), F.col("__n") - min_words, F.lit(step))
+    own = F.transform(at, lambda i: F.struct(i.alias("offset"), F.array_join(F.slice("__w", i + 1, F.lit(min(target, most))), " ").alias("__chunk")))
+    df, chunk = df.select(*key, F.inline(own)), F.col("__chunk")
     return df.select(*key, F.col("offset").cast("long"), F.floor(F.col("offset") / step).alias("number"), F.regexp_replace(chunk, r"(?U)\s+([,.;:!?])", "$1").alias("window"))
 
 
 def measured(df: DataFrame, text: str) -> DataFrame:
-    """With w, the normalised words, s, the sentences, alpha, the share of letters, and noise, whether it has an editor's words.
+    """With n, the number of normalised words, k, of sentences, alpha, the share of letters, stop, of stop words, and noise,
+    whether it has an editor's words.
 
-    They come out of a generator: a filter on them can't be pushed below it, where each of its terms would find them anew.
+    Plain texts are counted in tasks.  What others have comes out of a generator: a filter on it can't be pushed below it, where
+    each of its terms would find it anew.
     """
-    of = lambda t: F.struct(T.normalized_words(t).alias("w"), T.sentences(t).alias("s"), T.alpha_ratio(t).alias("alpha"), T.has_editorial_noise(t).alias("noise"))
-    return df.select("*", F.inline_outer(F.transform(F.array(text), of)))
+
+    def of(t: Column) -> Column:
+        w = T.normalized_words(t)
+        stops = F.size(F.filter(w, lambda x: x.isin(lex.STOPWORDS)))
+        letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+        return F.struct(F.length(t).alias("chars"), F.size(w).alias("words"), F.size(T.sentences(t)).alias("sentences"), letters.alias("letters"), stops.alias("stopwords"), T.has_editorial_noise(t).cast("int").alias("noise"))
+
+    rows = X.counted(df, text, C.window)
+    rows = rows.select("*", F.inline_outer(F.transform(F.array("__rest"), lambda t: F.struct(of(t).alias("__g")))))
+    at = lambda name: F.coalesce(F.col("__p").getField(name), F.col("__g").getField(name))
+    n = at("words")
+    return rows.select(*df.columns, n.alias("n"), at("sentences").alias("k"), T.ratio(at("letters"), at("chars")).alias("alpha"), (at("stopwords").cast("double") / F.greatest(n, F.lit(1))).alias("stop"), (at("noise") > 0).alias("noise"))
 
 
 def plausible(min_words: int = 80, max_words: int = 220, min_sentences: int = 2, min_alpha: float = 0.65, min_stopwords: float = 0.015) -> Column:
     """The builder's filters on what `measured` adds, cheap ones first."""
-    n = F.size("w")
-    sizes = n.between(min_words, max_words) & (F.size("s") >= min_sentences) & (F.col("alpha") >= min_alpha) & ~F.col("noise")
-    return sizes & (T.length_bin(n) != "out_of_range") & (T.stopword_ratio(F.col("w")) >= min_stopwords)
+    n = F.col("n")
+    sizes = n.between(min_words, max_words) & (F.col("k") >= min_sentences) & (F.col("alpha") >= min_alpha) & ~F.col("noise")
+    return sizes & (T.length_bin(n) != "out_of_range") & (F.col("stop") >= min_stopwords)
 
 
 def first_per_work(df: DataFrame, work: str, order: list[str], most: int) -> DataFrame:

@@ -54,7 +54,7 @@ def filtered(spark, sf):
 
 @query(f'WITH {FILTERED} SELECT doc_id, "offset", len(w)::BIGINT AS n, {S.length_bin("len(w)")} AS length_bin FROM w4')
 def g03_window_filters(spark, sf):
-    return filtered(spark, sf).select("doc_id", "offset", F.size("w").cast("long").alias("n"), T.length_bin(F.size("w")).alias("length_bin"))
+    return filtered(spark, sf).select("doc_id", "offset", F.col("n").cast("long").alias("n"), T.length_bin(F.col("n")).alias("length_bin"))
 
 
 @query(f'WITH {FILTERED} SELECT source, doc_id, "offset", row_number() OVER (PARTITION BY source ORDER BY doc_id, "offset") AS rank_in_work FROM w4 QUALIFY rank_in_work <= 20')

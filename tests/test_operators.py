@@ -323,6 +323,27 @@ def test_parts_of_similar_sets_meet():
         assert len(np.intersect1d(near.part_digests(x, 0.92 - 6e-7, starts), near.part_digests(y, 0.92 - 6e-7, starts)))
 
 
+def test_long_texts_of_one_vocabulary_are_no_candidates(spark, monkeypatch):
+    """Sets that share four fifths have a part in common but not its block's sketch; near copies among them are found."""
+    import random
+
+    from textgauge.operators import near
+
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(2, 7))) for _ in range(120)]
+    texts = [" ".join(draw.choice(vocabulary) for _ in range(6000)) for _ in range(40)]
+    texts.append(texts[0].replace(" ", " new ", 3))
+    rows = [(i, t, ["train", "val"][i % 2 if i < 40 else 1]) for i, t in enumerate(texts)]
+    counts, saved = {}, near.saved
+    monkeypatch.setattr(near, "saved", lambda df, name: counts.setdefault(name, saved(df, name)))
+    dropped = near.dropped
+    sizes = {}
+    monkeypatch.setattr(near, "dropped", lambda *tables: (sizes.update({n: t.count() for n, t in counts.items()}), dropped(*tables)))
+    got = {r.doc_id: r.links for r in leakage.near_duplicate_counts(spark.createDataFrame(rows, "doc_id long, text string, split string"), "doc_id", "text").collect()}
+    assert got == brute_near(rows) and got[0] == got[40] == 1
+    assert sizes["candidates"] < 40
+
+
 def test_stratified_parts_have_the_sizes_of_the_split(spark):
     """Three classes of ten: 20, 5 and 5 rows, not a rounding up in each class; a null class is one too."""
     rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)], "id int, y string")
